@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import packing, quality_classifier, quality_rules, toxicity
+from . import near_dedup, packing, quality_classifier, quality_rules, toxicity
 from .common import stage, table
 
 
@@ -14,6 +14,10 @@ def op4(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8(spark, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     pieces = stage(packing.tokenize(table(spark, sf_dir, "documents"), keep_ids=False), "pieces")
     return packing.pack(pieces)
@@ -24,6 +28,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1,
         "op4_quality_rules": op4,
         "op6_quality_classifier": quality_classifier.op6,
+        "op8_near_dedup": op8,
         "op9_packing": op9,
     }
 
