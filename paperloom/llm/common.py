@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: 0x20 and 0x09 to 0x0D.
@@ -67,3 +67,18 @@ def sample_ids(df: DataFrame, key: str, cap: int) -> DataFrame:
         return df
     share = int(cap / n * (1 << 30))
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < share).limit(cap)
+
+
+def gapless_rank(df: DataFrame, by: list[str], first: list[str], ties: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """Adds `name`: a rank from 0 without gaps within `by`, in the order of `first`, then of a hash of `ties`.
+
+    Rows are counted per bucket and only the counts are summed in order, so no group of `by` is
+    ever sorted by one task. `first` must have few values.
+    """
+    b = df.withColumn("_bucket", F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int"))
+    keys = [*by, *first, "_bucket"]
+    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(*first, "_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, before.alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*ties))
+    return b.withColumn("_local", local).join(counts, keys).withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_bucket", "_local", "_before")

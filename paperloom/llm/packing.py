@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import gapless_rank, stage
 
 END_ID = 1
 #: Ranks among pieces of one length are counted per salt first, so that one very
@@ -140,16 +140,6 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, in
     return out
 
 
-def with_ranks(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Adds `rank`, gapless from 0 among the pieces of equal length, without one task per length."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("length", "salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start"))
-    return salted.withColumn("local", local).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("local") - 1).drop("salt", "local", "before")
-
-
 def pack(pieces: DataFrame, max_len: int = 2048, salts: int = SALTS) -> DataFrame:
     """Adds sequence_id and offset to staged pieces (`doc_id, start, length, ...`).
 
@@ -162,7 +152,7 @@ def pack(pieces: DataFrame, max_len: int = 2048, salts: int = SALTS) -> DataFram
     schema = "length long, lo long, hi long, first_sequence long, first_offset long, times long"
     # Bounded: a function of max_len alone (histogram entries and the packs they split).
     places = F.broadcast(spark.createDataFrame(rows, schema))
-    ranked = with_ranks(pieces, salts)
+    ranked = gapless_rank(pieces, ["length"], [], ["doc_id", "start"], "rank", salts)
     hit = (ranked["length"] == places["length"]) & (ranked["rank"] >= places["lo"]) & (ranked["rank"] < places["hi"])
     at = F.col("rank") - F.col("lo")
     return (

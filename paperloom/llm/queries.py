@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, quality_classifier, quality_rules, toxicity
+from . import line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
 from .common import stage, table
 
 
@@ -14,10 +14,33 @@ def op4(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5(spark, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7(spark, sf_dir: str) -> DataFrame:
+    """Per document: lines with words, lines removed, which (numbers from 0) and the sha256 of what stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.remove_lines(docs, line_dedup.repeated_lines(docs))
+    gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
+    return out.select(
+        "doc_id",
+        F.size(gone).cast("long").alias("n_removed"),
+        F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"),
+        F.length(F.coalesce("kept_text", F.lit(""))).cast("long").alias("n_kept_chars"),
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op10(spark, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block", "mix_order")
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     pieces = stage(packing.tokenize(table(spark, sf_dir, "documents"), keep_ids=False), "pieces")
     return packing.pack(pieces)
@@ -27,9 +50,12 @@ def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
         "op4_quality_rules": op4,
+        "op5_sharding": op5,
         "op6_quality_classifier": quality_classifier.op6,
+        "op7_line_dedup": op7,
         "op8_near_dedup": op8,
         "op9_packing": op9,
+        "op10_mixing": op10,
     }
 
 
