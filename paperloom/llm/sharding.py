@@ -43,7 +43,7 @@ def quotas(wish: dict[tuple[int, int], int], load: list[int], cap: int) -> dict[
     return share
 
 
-def propagate(cells: DataFrame, singles: list[int], shards: int, *, rounds: int = 4, slack: float = 0.1) -> DataFrame:
+def propagate(cells: DataFrame, singles: list[int], shards: int, *, rounds: int = 6, slack: float = 0.1) -> DataFrame:
     """Rounds of moves over `cells(link, shard, n)`; `singles` are the unlinked rows per shard, which stay."""
     spark = cells.sparkSession
     for step in range(rounds):
@@ -51,8 +51,11 @@ def propagate(cells: DataFrame, singles: list[int], shards: int, *, rounds: int
         for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row per shard
             load[r["shard"]] += r["n"]
         cap = int(sum(load) / shards * (1 + slack)) + 8  # evened out at the end, with unlinked rows where there are any
-        goal = cells.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard"))["shard"].alias("to"))
-        moving = cells.join(goal, "link").filter(F.col("shard") != F.col("to"))
+        # a full shard is nobody's goal: what a group cannot bring there gathers in its next largest one
+        open_shards = [s for s in range(shards) if load[s] * 100 < cap * 99]
+        rank = F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard")
+        goal = cells.filter(F.col("shard").isin(open_shards)).groupBy("link").agg(F.max(rank).alias("best"))
+        moving = cells.join(goal, "link").filter(rank < F.col("best")).withColumn("to", F.col("best.shard")).drop("best")
         wish = {(r["shard"], r["to"]): r["n"] for r in moving.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}  # shards squared at most
         if not wish:
             break
@@ -65,7 +68,7 @@ def propagate(cells: DataFrame, singles: list[int], shards: int, *, rounds: int
         delta = moved.select("link", "shard", (-F.col("m")).alias("n")).union(moved.select("link", F.col("to"), F.col("m")))
         cells = stage(cells.select("link", "shard", "n").union(delta).groupBy("link", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
         count = moved.agg(F.sum("m")).first()[0] or 0
-        if count * 1000 < sum(load):
+        if count * 10_000 < sum(load):
             break
     return cells
 
@@ -92,7 +95,7 @@ def transfers(load: list[int]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6) -> DataFrame:
     """doc_id, size, text_crc32, link, shard, slot for every row; counts per shard at most one apart.
 
     Null texts are linked with empty ones; null or repeated ids are rows like others. An empty table gives an empty result.

@@ -90,6 +90,6 @@ def test_shard_edges_and_hot_group(spark):
     _even(got, 8)
     assert len(got) == len(rows)
     hot = Counter(r["shard"] for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and r["size"] == 4)
-    assert len(hot) <= 5  # 400 rows need three shards of 138
+    assert sum(n for _, n in hot.most_common(4)) >= 280  # 400 rows need three shards of 138; by chance four hold 200
     assert sharding.shard_documents(df.limit(0)).count() == 0
     assert len(sharding.shard_documents(df.limit(3)).collect()) == 3
