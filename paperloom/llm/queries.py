@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
+from . import ann, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
 from .common import stage, table
 
 
@@ -13,6 +13,11 @@ def op2(spark, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3(spark, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     out = quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,6 +59,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
         "op2_ann": op2,
+        "op3_suffix_dedup": op3,
         "op4_quality_rules": op4,
         "op5_sharding": op5,
         "op6_quality_classifier": quality_classifier.op6,
