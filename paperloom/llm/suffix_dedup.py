@@ -20,6 +20,7 @@ shard is bounded; a passage that very many documents hold is one block per batch
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, stage
+from .common import parts, shared_dir, stage
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1  # K-grams in a window
@@ -39,7 +40,7 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _expand(data: bytes, dtype="u1") -> np.ndarray:
@@ -178,12 +179,8 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
 BLOCK_SCHEMA = "shard int, batch long, data binary, lengths binary, number binary, low binary, high binary"
 
 
-def _blocks_of_batch(payload: pd.DataFrame, shared: pd.DataFrame, bits: int, shards: int) -> pd.DataFrame:
-    """The distinct blocks of a batch, by content shard, and (shard -1) which block is where."""
-    columns = ["shard", "batch", "data", "lengths", "number", "low", "high"]
-    if not len(payload):
-        return pd.DataFrame([], columns=columns)
-    row = payload.iloc[0]
+def _find_blocks(row: pd.Series, shared: pd.DataFrame, bits: int) -> tuple:
+    """Bytes, ids and ends of a batch; first window, document and block number of each run with a shared sample; keys and texts of its blocks."""
     x, ids, ends = _expand(row["data"]), np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["ends"], dtype=np.int64)
     first, count, key = window_samples(x, ends)
     doc = np.searchsorted(ends, first, side="right")
@@ -203,19 +200,30 @@ def _blocks_of_batch(payload: pd.DataFrame, shared: pd.DataFrame, bits: int, sha
     text = x.tobytes()
     found: dict[bytes, int] = {}
     number = np.fromiter((found.setdefault(text[a : a + c + LENGTH - 1], len(found)) for a, c in zip(first.tolist(), count.tolist(), strict=True)), dtype=np.int64, count=len(first))
-    low, high = np.full(len(found), NO_ID, dtype=np.int64), np.full(len(found), -NO_ID, dtype=np.int64)
+    keys = np.zeros(len(found), dtype=np.uint64)
+    keys[number] = key
+    return x, ids, ends, first, doc, number, keys, list(found)
+
+
+def _blocks_of_batch(payload: pd.DataFrame, shared: pd.DataFrame, bits: int, shards: int) -> pd.DataFrame:
+    """The distinct blocks of a batch by content shard, with the smallest and largest id that has each."""
+    columns = ["shard", "batch", "data", "lengths", "number", "low", "high"]
+    if not len(payload):
+        return pd.DataFrame([], columns=columns)
+    row = payload.iloc[0]
+    _, ids, _, _, doc, number, keys, texts = _find_blocks(row, shared, bits)
+    low, high = np.full(len(texts), NO_ID, dtype=np.int64), np.full(len(texts), -NO_ID, dtype=np.int64)
     np.minimum.at(low, number, ids[doc])
     np.maximum.at(high, number, ids[doc])
-    shard = np.zeros(len(found), dtype=np.int64)
-    shard[number] = ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % shards
-    blocks = np.array(list(found), dtype=object)
-    rows = [(-1, row["batch"], _squeeze(number.astype(np.uint32).tobytes()), None, _squeeze(first.astype(np.uint32).tobytes()), None, None)]
+    shard = ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % shards
+    blocks = np.array(texts, dtype=object)
+    rows = []
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1], True]) if len(order) else np.zeros(1, dtype=np.int64)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         part = order[lo:hi]
-        texts = blocks[part].tolist()
-        rows.append((int(shard[part[0]]), row["batch"], _squeeze(b"".join(texts)), np.array([len(t) for t in texts], dtype=np.uint16).tobytes(), part.astype(np.uint32).tobytes(), low[part].tobytes(), high[part].tobytes()))
+        own = blocks[part].tolist()
+        rows.append((int(shard[part[0]]), row["batch"], _squeeze(b"".join(own)), np.array([len(t) for t in own], dtype=np.uint16).tobytes(), part.astype(np.uint32).tobytes(), _squeeze(low[part].tobytes()), _squeeze(high[part].tobytes())))
     return pd.DataFrame(rows, columns=columns)
 
 
@@ -322,7 +330,7 @@ def _shard_owners(blocks: DataFrame) -> DataFrame:
             data = _expand(row.data).tobytes()
             cut = np.r_[0, np.cumsum(np.frombuffer(row.lengths, dtype=np.uint16), dtype=np.int64)].tolist()
             mine = np.fromiter((texts.setdefault(data[a:b], len(texts)) for a, b in zip(cut[:-1], cut[1:], strict=True)), dtype=np.int64, count=len(cut) - 1)
-            places.append((row.batch, mine, np.frombuffer(row.number, dtype=np.uint32), np.frombuffer(row.low, dtype=np.int64), np.frombuffer(row.high, dtype=np.int64)))
+            places.append((row.batch, mine, np.frombuffer(row.number, dtype=np.uint32), _expand(row.low, np.int64), _expand(row.high, np.int64)))
         low = np.full(len(texts), NO_ID, dtype=np.int64)
         for _, mine, _, lo, _ in places:
             np.minimum.at(low, mine, lo)
@@ -353,19 +361,17 @@ def _shard_owners(blocks: DataFrame) -> DataFrame:
 # ---- cutting -------------------------------------------------------------------------------
 
 
-def _cut_batch(payload: pd.DataFrame, marks: pd.DataFrame, with_text: bool) -> pd.DataFrame:
+def _cut_batch(payload: pd.DataFrame, marks: pd.DataFrame, bits: int, with_text: bool) -> pd.DataFrame:
     """Per document its removed spans and what is left."""
     columns = ["doc_id", "n_bytes", "n_removed", "span_starts", "span_ends", "kept_sha256"] + ["kept"] * with_text
     if not len(payload):
         return pd.DataFrame([], columns=columns)
     row = payload.iloc[0]
-    x, ids, ends = _expand(row["data"]), np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["ends"], dtype=np.int64)
-    where = marks[marks["first"].notna()]
     got = marks[marks["owner"].notna()]
+    x, ids, ends, first, doc, number, _, _ = _find_blocks(row, marks[marks["owner"].isna()], bits)
     depth = np.zeros(len(x) + 1, dtype=np.int64)
-    if len(where) and len(got):
-        number, first = _expand(where["number"].iloc[0], np.uint32), _expand(where["first"].iloc[0], np.uint32).astype(np.int64)
-        block = np.concatenate([_expand(d, np.uint32) for d in got["number"]])
+    if len(got):
+        block = np.concatenate([_expand(d, np.uint32) for d in got["data"]])
         span = np.concatenate([_expand(d, np.uint16).reshape(2, -1) for d in got["windows"]], axis=1).astype(np.int64)
         owner = np.concatenate([_expand(d, np.int64) for d in got["owner"]])
         order = np.argsort(block, kind="stable")
@@ -374,7 +380,7 @@ def _cut_batch(payload: pd.DataFrame, marks: pd.DataFrame, with_text: bool) -> p
         n = hi - lo
         pick = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         at = np.repeat(first, n)
-        use = owner[pick] < ids[np.searchsorted(ends, at, side="right")]
+        use = owner[pick] < np.repeat(ids[doc], n)
         at, pick = at[use], pick[use]
         np.add.at(depth, at + span[0, pick], 1)
         np.add.at(depth, at + span[1, pick] + LENGTH, -1)
@@ -388,17 +394,28 @@ def _cut_batch(payload: pd.DataFrame, marks: pd.DataFrame, with_text: bool) -> p
     text = x.tobytes()
     rows = []
     i0, i1 = np.searchsorted(a, starts), np.searchsorted(a, ends)
-    for doc, s, e, p, q in zip(ids.tolist(), starts.tolist(), ends.tolist(), i0.tolist(), i1.tolist(), strict=True):
+    for own, s, e, p, q in zip(ids.tolist(), starts.tolist(), ends.tolist(), i0.tolist(), i1.tolist(), strict=True):
         kept, at = [], s
         for u, v in zip(a[p:q].tolist(), b[p:q].tolist(), strict=True):
             kept.append(text[at:u])
             at = v
         kept.append(text[at:e])
         left = b"".join(kept)
-        rows.append((None if doc == NO_ID else doc, e - s, e - s - len(left), a[p:q] - s, b[p:q] - s, hashlib.sha256(left).hexdigest(), left)[: len(columns)])
+        rows.append((None if own == NO_ID else own, e - s, e - s - len(left), a[p:q] - s, b[p:q] - s, hashlib.sha256(left).hexdigest(), left)[: len(columns)])
     return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
 
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """`df` written once to the shared folder in buckets of `key`, so that later grouping by it moves no text."""
+    spark = df.sparkSession
+    name = f"paperloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/paperloom/{name}").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, with_text: bool = True, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, span_starts, span_ends, kept_sha256[, kept] for every row.
 
@@ -409,7 +426,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bits = max(4, int(np.ceil(np.log2(parts(spark)))))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    batches = stage(_batches(d, bits, batch_bytes), "batches")
+    batches = _bucketed(_batches(d, bits, batch_bytes), "batch", parts(spark))
     payload = batches.filter("bucket = -1").select("batch", "data", "ids", "ends")
     shared = stage(_shared_keys(batches.filter("bucket >= 0").select("batch", "bucket", "data")), "shared")
     total = d.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -418,14 +435,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _blocks_of_batch(left, right, bits, shards)
 
-    made = stage(payload.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(blocks, BLOCK_SCHEMA), "blocks")
-    owners = _shard_owners(made.filter("shard >= 0")).select("batch", "number", F.lit(None).cast("binary").alias("first"), "windows", "owner")
+    made = payload.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(blocks, BLOCK_SCHEMA)
     nothing = F.lit(None).cast("binary")
-    places = made.filter("shard = -1").select("batch", F.col("data").alias("number"), F.col("number").alias("first"), nothing.alias("windows"), nothing.alias("owner"))
-    marks = owners.union(places)
+    owners = _shard_owners(made).select("batch", F.lit(-1).alias("bucket"), F.col("number").alias("data"), "windows", "owner")
+    marks = shared.select("batch", "bucket", "data", nothing.alias("windows"), nothing.alias("owner")).union(owners)
     schema = "doc_id long, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _cut_batch(left, right, with_text)
+        return _cut_batch(left, right, bits, with_text)
 
     return payload.groupBy("batch").cogroup(marks.groupBy("batch")).applyInPandas(cut, schema)
