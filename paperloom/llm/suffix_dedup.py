@@ -230,6 +230,15 @@ def _blocks_of_batch(payload: pd.DataFrame, shared: pd.DataFrame, bits: int, sha
 # ---- suffix arrays -------------------------------------------------------------------------
 
 
+def _words(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian integer (zeros beyond the end)."""
+    w = np.r_[x, np.zeros(8, dtype=np.uint8)].astype(np.uint64)
+    for bits in (8, 16, 32):
+        k = bits // 8
+        w = (w[: len(w) - k] << np.uint64(bits)) | w[k:]
+    return np.r_[w[: len(x)], np.zeros(8, dtype=np.uint64)]
+
+
 def suffix_array(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Suffixes of the blocks in `x` in order; `rest` is the number of bytes up to the block's end.
 
@@ -240,12 +249,18 @@ def suffix_array(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
     n = len(x)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    h = 7
-    padded = np.r_[x, np.zeros(h, dtype=np.uint8)]
-    key = np.zeros(n, dtype=np.int64)
-    for j in range(h):
-        key <<= 9
-        key += np.where(rest > j, padded[j : j + n].astype(np.int64) + 1, 0)
+    used = np.bincount(x, minlength=256) > 0
+    if used.sum() < 256:  # bytes as codes from 1: eight symbols a key, zeros after the block's end
+        h = 8
+        beyond = np.uint64(8) * np.maximum(0, 8 - rest).astype(np.uint64)
+        key = (_words(np.cumsum(used).astype(np.uint8)[x])[:n] >> beyond) << beyond
+    else:
+        h = 7
+        padded = np.r_[x, np.zeros(h, dtype=np.uint8)]
+        key = np.zeros(n, dtype=np.int64)
+        for j in range(h):
+            key <<= 9
+            key += np.where(rest > j, padded[j : j + n].astype(np.int64) + 1, 0)
     order = np.argsort(key)
     sorted_key = key[order]
     new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
@@ -261,9 +276,14 @@ def suffix_array(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
             order[open_at] = s[np.lexsort((s, rank[s]))]
             return order
         after = np.where(rest[s] > h, rank[np.minimum(s + h, n - 1)] + 1, 0)
-        key = (rank[s] << 32) | after
-        o = np.argsort(key)
-        key, s = key[o], s[o]
+        if n < 1 << 21:  # rank, next rank and place fit one integer, which sorts faster than by index
+            key = np.sort((rank[s] << 42) | (after << 21) | np.arange(len(s)))
+            s = s[key & ((1 << 21) - 1)]
+            key >>= 21
+        else:
+            key = (rank[s] << 32) | after
+            o = np.argsort(key)
+            key, s = key[o], s[o]
         order[open_at] = s
         head = np.r_[True, key[1:] != key[:-1]]
         new[open_at] = head
@@ -271,38 +291,46 @@ def suffix_array(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(x: np.ndarray, rest: np.ndarray, order: np.ndarray, lanes: int = 4096) -> np.ndarray:
+_LIMITS = [np.uint64(1) << np.uint64(8 * k) for k in range(8)]
+
+
+def common_prefixes(x: np.ndarray, rest: np.ndarray, order: np.ndarray, lanes: int = 4096, least: int = 1) -> np.ndarray:
     """For each place in `order`, the bytes its suffix shares with the one before it (0 for the first).
 
-    Kasai's method: going through suffixes in text order, the common prefix shrinks by one
-    at most from one to the next. `lanes` stretches of the text are walked at once.
+    Kasai's method: from one suffix to the next in text order the common prefix shrinks by one at
+    most. `lanes` stretches of the text are walked at once, eight bytes a step. Suffixes shorter than
+    `least` are left out (0).
     """
     n = len(x)
-    out = np.zeros(n, dtype=np.int32)
-    if n < 2:
-        return out
-    before = np.empty(n, dtype=np.int64)
-    before[order[0]] = -1
+    before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    lcp = np.zeros(n, dtype=np.int32)
-    size = -(-n // min(lanes, n))
-    at = np.arange(0, n, size)
-    stop = np.minimum(at + size, n)
-    h = np.zeros(len(at), dtype=np.int64)
-    padded = np.r_[x, np.uint8(0)]
-    while len(at):
+    lcp = np.zeros(n, dtype=np.int64)
+    want = np.flatnonzero((rest >= least) & (before >= 0))
+    if not len(want):
+        return lcp[order]
+    follows = np.r_[False, (want[1:] == want[:-1] + 1) & (rest[want[1:]] < rest[want[:-1]])]
+    words = _words(x)
+    size = -(-len(want) // min(lanes, len(want)))
+    k = np.arange(0, len(want), size)
+    stop = np.minimum(k + size, len(want))
+    h = np.zeros(len(k), dtype=np.int64)
+    while len(k):
+        at = want[k]
         b = before[at]
-        most = np.minimum(rest[at], np.where(b < 0, 0, rest[b]))
-        more = (h < most) & (padded[np.minimum(at + h, n)] == padded[np.minimum(b + h, n)])
-        done = ~more
+        most = np.minimum(rest[at], rest[b])
+        differ = words[np.minimum(at + h, n)] ^ words[np.minimum(b + h, n)]
+        same = np.zeros(len(k), dtype=np.int64)
+        for limit in _LIMITS:
+            same += differ < limit
+        h = np.minimum(h + same, most)
+        done = (same < 8) | (h == most)
         lcp[at[done]] = h[done]
-        h = np.where(more, h + 1, np.maximum(h - 1, 0))
-        at = at + done
-        live = at < stop
+        k = k + done
+        live = k < stop
         if not live.all():
-            at, stop, h = at[live], stop[live], h[live]
-    out[:] = lcp[order]
-    return out
+            k, stop, h, done = k[live], stop[live], h[live], done[live]
+        h = np.where(done, np.where(follows[np.minimum(k, len(want) - 1)], np.maximum(h - 1, 0), 0), h)
+    return lcp[order]
 
 
 def window_owners(x: np.ndarray, lengths: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -311,7 +339,7 @@ def window_owners(x: np.ndarray, lengths: np.ndarray, low: np.ndarray) -> np.nda
     ends = np.cumsum(lengths)
     rest = ends[block] - np.arange(len(x))
     order = suffix_array(x, rest)
-    same = common_prefixes(x, rest, order) >= LENGTH
+    same = common_prefixes(x, rest, order, least=LENGTH) >= LENGTH
     head = np.flatnonzero(~same)
     owner = np.minimum.reduceat(low[block[order]], head) if len(head) else np.zeros(0, dtype=np.int64)
     out = np.empty(len(x), dtype=np.int64)

@@ -34,7 +34,7 @@ def _digest(rows):
 
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(2)
-    for alphabet, size in ((2, 60), (3, 200), (60, 300), (1, 40)):
+    for alphabet, size in ((2, 60), (3, 200), (60, 300), (1, 40), (256, 3000)):
         blocks = [bytes(rng.randrange(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(size // 5)]
         x = np.frombuffer(b"".join(blocks), dtype=np.uint8)
         rest = np.concatenate([np.arange(len(b), 0, -1) for b in blocks])
