@@ -24,7 +24,7 @@ from .common import sample_ids, stage
 BITS, SUBSTRINGS = 64, 4
 SUB_BITS = BITS // SUBSTRINGS
 #: Index rows and queries in one group at most (about).
-CHUNK, QUERY_BLOCK = 12_000, 4_000
+CHUNK, QUERY_BLOCK = 60_000, 4_000
 MAX_PREFIX = 12
 
 
