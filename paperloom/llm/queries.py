@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
+from . import ann, line_dedup, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
 from .common import stage, table
 
 
@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
