@@ -12,7 +12,8 @@ def op3(n: int = 50) -> str:
     """Texts as hex strings; a window is 2n digits at an even place, compared by a 64-bit hash."""
     return f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, {2 * n})) AS g FROM (SELECT doc_id, h, unnest(range(greatest(0, CAST(length(h) / 2 AS BIGINT) - {n - 1}))) AS i FROM d)),
+c AS (SELECT doc_id, 1000 * c AS base, substr(h, 2000 * c + 1, {2000 + 2 * (n - 1)}) AS p FROM (SELECT doc_id, h, unnest(range(CAST(ceil(length(h) / 2000) AS BIGINT))) AS c FROM d)),
+w AS (SELECT doc_id, base + i AS i, hash(substr(p, 2 * i + 1, {2 * n})) AS g FROM (SELECT doc_id, base, p, unnest(range(greatest(0, least(1000, CAST(length(p) / 2 AS BIGINT) - {n - 1})))) AS i FROM c)),
 f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
 hit AS (SELECT w.doc_id, w.i FROM w JOIN f USING (g) WHERE f.first < w.doc_id),
 isl AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {n} THEN 0 ELSE 1 END AS new FROM hit)),
