@@ -8,6 +8,8 @@ in its own order, and the first blocks of one more.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,6 @@ def find_exponent(totals: DataFrame, *, max_repeats: float | None = 2.0, target_
     more than `max_repeats` times when the least repeated one is read once. Each step is one
     aggregate over the sources for all its trial exponents; nothing but its few sums is collected.
     """
-    spark = totals.sparkSession
     p = totals.agg(F.count(F.lit(1)).alias("k"), F.min("share").alias("lo"), F.max("share").alias("hi")).first()
     if not p["k"] or p["lo"] == p["hi"]:
         return 1.0
@@ -49,13 +50,11 @@ def find_exponent(totals: DataFrame, *, max_repeats: float | None = 2.0, target_
         trial = [lo + (hi - lo) * i / sections for i in range(sections + 1)]
         a = F.col("a")
         w = F.pow("share", a)
-        grid = totals.crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in trial], "a double")))  # sections + 1 rows
+        grid = totals.withColumn("a", F.explode(F.array(*map(F.lit, trial))))
         sums = grid.groupBy("a").agg(F.sum(w).alias("s"), F.sum(w * a * F.log("share")).alias("e"), F.max(F.pow("share", a - 1)).alias("most"), F.min(F.pow("share", a - 1)).alias("least"))
         ok = {}
         for r in sums.collect():
             if target_entropy is not None:
-                import math
-
                 entropy = math.log(r["s"]) - r["e"] / r["s"]
                 ok[r["a"]] = entropy < target_entropy * math.log(p["k"]) - 1e-12
             else:
