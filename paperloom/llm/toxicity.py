@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, held_out, sample_ids, stage, table
+from .common import held_out, sample_ids, stage, table
 from .quality_classifier import EXCLAIM, LOWER, NEWLINE, PUNCT, SPACE, UPPER, char_classes
 
 #: Insults in English, German, French and Spanish; a start for the learned lexicons.
@@ -92,7 +92,7 @@ def features(texts: list[str], strong: dict[str, float], mild: dict[str, float])
     return out
 
 
-def learn_lexicon(sample: DataFrame, *, size: int = 300, min_docs: int = 5) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(sample: DataFrame, *, size: int = 300, min_docs: int = 3) -> tuple[dict[str, float], dict[str, float]]:
     """Words of toxic training documents with their log odds: strong (over 2) and mild (over 0.7), `size` at most of each."""
     words = sample.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).filter(F.length("word") > 1)
     total = sample.agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -100,9 +100,11 @@ def learn_lexicon(sample: DataFrame, *, size: int = 300, min_docs: int = 5) -> t
     counts = words.groupBy("word").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("d")).filter(F.col("a") >= min_docs)
     a, b = F.col("a"), F.col("d") - F.col("a")
     odds = F.log((a + 0.5) / F.lit(toxic + 1.0)) - F.log((b + 0.5) / F.lit(n - toxic + 1.0))
-    z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    top = counts.select("word", odds.alias("odds"), z.alias("z")).filter((F.col("odds") > 0.7) & (F.col("z") > 4))
-    rows = top.orderBy(F.desc("z"), "word").limit(2 * size).collect()  # bounded by 2 * size
+    share = F.lit(toxic / n)
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("d") * p))).otherwise(0.0)
+    ratio = 2 * (part(a, share) + part(b, 1 - share))  # log-likelihood ratio: over 16 hardly comes by chance among all words
+    top = counts.select("word", odds.alias("odds"), ratio.alias("ratio")).filter((F.col("odds") > 0.7) & (F.col("ratio") > 16))
+    rows = top.orderBy(F.desc("ratio"), "word").limit(2 * size).collect()  # bounded by 2 * size
     strong = {r["word"]: float(r["odds"]) for r in rows if r["odds"] > 2}
     mild = {r["word"]: float(r["odds"]) for r in rows if r["odds"] <= 2}
     return dict(list(strong.items())[:size]), dict(list(mild.items())[:size])
@@ -152,13 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", *, max_r
     rows = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     rows = sample_ids(rows, "doc_id", max_rows)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")  # bounded by max_rows
-    d = stage(d.withColumn("fold", crc_mod(F.col("doc_id"), 25)), "toxic-sample").repartition(8)
+    d = stage(d, "toxic-sample").repartition(8)
     count = {r["y"]: r["n"] for r in d.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = count.get(0, 0), count.get(1, 0)
     if min(n0, n1) < 10:
         return ToxicityModel(({}, {}), None, None, (n1 + 0.5) / (n0 + n1 + 1.0))
-    lexicon = learn_lexicon(d.filter(F.col("fold") < 15).select("y", "text"))
-    x = feature_frame(d, lexicon, ["doc_id", "y", "fold"]).withColumn("label", F.col("y").cast("double"))
+    lexicon = learn_lexicon(d.select("y", "text"))
+    x = feature_frame(d, lexicon, ["doc_id", "y"]).withColumn("label", F.col("y").cast("double"))
     x = stage(x.withColumn("hold", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0), "toxic-features").coalesce(2).withColumn("features", array_to_vector("x")).cache()
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=7, featuresCol="features", labelCol="label", maxBins=64, subsamplingRate=0.8, minInstancesPerNode=5)
     trees = gbt.fit(x.filter(~F.col("hold")))
