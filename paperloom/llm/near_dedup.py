@@ -11,6 +11,9 @@
 3. Pairs whose 128-value signatures make a similarity over the threshold implausible are
    dropped at once; the rest are confirmed on the full sets.
 4. Confirmed links are joined into components.
+5. Regions that did not give all their pairs are searched again: all their pairs between
+   different components are weighed, and the plausible ones confirmed. Pairs within a component
+   are linked already, so a group of near copies costs little here.
 
 At similarity 0.8 a pair shares a depth-4 prefix in at least one of 16 trees with probability 0.9998.
 """
@@ -23,7 +26,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import may_contain, parts, stage
@@ -31,6 +34,7 @@ from .components import components
 
 TREES, DEPTH, BASE, REGION, BLOCK, SURE, UNSURE = 16, 8, 4, 12, 512, 2, 12
 PERMUTATIONS = TREES * DEPTH
+MARGIN = 0.16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,14 +191,20 @@ def region_pairs(keys: np.ndarray, low: np.ndarray, least: float, sure: float) -
     return np.concatenate(left), np.concatenate(right)
 
 
+def _open_starts(keys: np.ndarray) -> np.ndarray:
+    """First rows of the regions of one tree that `region_pairs` does not search wholly."""
+    starts = np.flatnonzero(np.r_[True, _common(keys, np.arange(len(keys) - 1), np.arange(1, len(keys))) < BASE])
+    return starts[np.diff(np.r_[starts, len(keys)]) > REGION]
+
+
 def _tree_rows(reps: DataFrame) -> DataFrame:
     width = 4 * DEPTH
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     return reps.select("doc_id", trees, "sig", "low").select("doc_id", "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("key"), "low")
 
 
-def candidates(reps: DataFrame, threshold: float, margin: float = 0.16) -> DataFrame:
-    """Distinct pairs (a < b) of the forest over `reps(doc_id, sig, low)`.
+def candidates(reps: DataFrame, threshold: float, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of the forest over `reps(doc_id, sig, low)`, and the regions not searched wholly.
 
     Pairs whose signatures agree in less than threshold - margin (4.5 standard deviations) are
     left out. The orders are range-partitioned, so a prefix that very many sets share spreads over
@@ -221,6 +231,8 @@ def candidates(reps: DataFrame, threshold: float, margin: float = 0.16) -> DataF
             i, j = region_pairs(keys[at], low[at], least, sure)
             a, b = ids[at[i]], ids[at[j]]
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": -1, "part": -1, "key": None, "low": None}).drop_duplicates()
+            more = f["key"].iloc[at[_open_starts(keys[at])]]
+            yield pd.DataFrame({"a": -1, "b": -1, "tree": t, "part": -2, "key": more, "low": None})
         for side, edge in ((0, f.head(REGION)), (1, f.tail(REGION))):
             yield pd.DataFrame({"a": edge["doc_id"], "b": np.int64(side), "tree": edge["tree"], "part": part, "key": edge["key"], "low": edge["low"]})
 
@@ -239,7 +251,36 @@ def candidates(reps: DataFrame, threshold: float, margin: float = 0.16) -> DataF
     # a cut has at most 2 * REGION rows around it
     edges = out.filter("part >= 0").withColumn("cut", F.col("part") + F.col("b"))
     cut = edges.groupBy("cut", "tree").applyInPandas(across, "a long, b long")
-    return within.union(cut).filter("a <> b").distinct()
+    return within.union(cut).filter("a <> b").distinct(), out.filter("part = -2").select(_region()).distinct()
+
+
+def _region() -> Column:
+    return F.xxhash64("tree", F.substring("key", 1, 4 * BASE)).alias("region")
+
+
+def between(reps: DataFrame, regions: DataFrame, found: DataFrame, threshold: float, margin: float = MARGIN) -> DataFrame:
+    """Distinct plausible pairs (a < b) of `regions` whose ends are in different components of `found(node, component)`: all of them."""
+    rows = may_contain(_tree_rows(reps).select("doc_id", _region()), regions, "region").join(regions, "region")
+    rows = rows.join(found, F.col("doc_id") == F.col("node"), "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows = stage(rows, "open")
+    mixed = rows.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
+    least = (threshold - margin) * PERMUTATIONS
+
+    def weigh(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("component")
+        ids, label = f["doc_id"].to_numpy(), f["component"].to_numpy()
+        low = np.frombuffer(b"".join(f["low"]), dtype=np.uint8).reshape(len(f), PERMUTATIONS)
+        after = np.searchsorted(label, label, "right")
+        a, b = [], []
+        for i in np.flatnonzero(after < len(f)):
+            hit = after[i] + np.flatnonzero((low[after[i] :] == low[i]).sum(axis=1, dtype=np.uint8) >= least)
+            a.append(np.full(len(hit), ids[i]))
+            b.append(ids[hit])
+        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    rows = rows.join(mixed, "region").join(reps.select("doc_id", "low"), "doc_id")
+    return rows.groupBy("region").applyInPandas(weigh, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -278,9 +319,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_rows = stage(sketches(docs, id_col, text_col, shingle), "sketches")
     groups = all_rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     groups = stage(groups, "groups")
-    pairs = stage(candidates(groups.select(F.col("rep").alias("doc_id"), "sig", "low"), percent / 100), "plausible")
-    links = confirm(pairs, docs, id_col, text_col, shingle, percent)
-    found = components(links)
+    reps = groups.select(F.col("rep").alias("doc_id"), "sig", "low")
+    pairs, regions = candidates(reps, percent / 100)
+    pairs, regions = stage(pairs, "plausible"), stage(regions, "regions")
+    found = components(confirm(pairs, docs, id_col, text_col, shingle, percent))
+    # a pair left out here is in one component already, so one further round is enough
+    more = stage(between(reps, regions, found, percent / 100).join(pairs, ["a", "b"], "left_anti"), "plausible")
+    if not more.isEmpty():
+        links = confirm(more, docs, id_col, text_col, shingle, percent)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
     by_key = groups.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     own = all_rows.select("doc_id", "n_shingles", "set_key").join(by_key, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))

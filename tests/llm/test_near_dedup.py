@@ -49,3 +49,19 @@ def test_components(spark):
     random.Random(1).shuffle(links)
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 150, 200)}, **{1000 + i: 1000 for i in range(300)}}
+
+
+def _family(seed, edits, words=120):
+    """Copies of one text; the i-th has `edits[i]` words of its own at random places."""
+    rng, rows = random.Random(seed), []
+    for i, e in enumerate(edits):
+        copy = [f"w{k}" for k in range(words)]
+        for k in rng.sample(range(words), e(rng) if callable(e) else e):
+            copy[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_links_among_many_borderline_copies(spark):
+    df = spark.createDataFrame(_family(1, [lambda rng: rng.randint(7, 16)] * 400), "doc_id long, text string")
+    _compare(df, near_dedup.near_duplicates(df, shingle=1).collect(), 1)
