@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import may_contain, parts, stage
 from .components import components
 
-TREES, DEPTH, BASE, REGION, BLOCK, SURE, UNSURE = 16, 8, 4, 12, 512, 2, 12
+TREES, DEPTH, BASE, REGION, BLOCK, SLICE, SURE, UNSURE = 16, 8, 4, 12, 512, 1024, 2, 12
 PERMUTATIONS = TREES * DEPTH
 MARGIN = 0.16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -208,7 +208,8 @@ def candidates(reps: DataFrame, threshold: float, margin: float = MARGIN) -> tup
 
     Pairs whose signatures agree in less than threshold - margin (4.5 standard deviations) are
     left out. The orders are range-partitioned, so a prefix that very many sets share spreads over
-    as many partitions as it needs; what a cut separates is paired from the rows next to the cut.
+    as many partitions as it needs. Rows next to a cut are paired here, and regions that touch a
+    cut are among those not searched wholly.
     """
     n = parts(reps.sparkSession)
     least, sure = threshold - margin, threshold + 0.08
@@ -233,6 +234,8 @@ def candidates(reps: DataFrame, threshold: float, margin: float = MARGIN) -> tup
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": -1, "part": -1, "key": None, "low": None}).drop_duplicates()
             more = f["key"].iloc[at[_open_starts(keys[at])]]
             yield pd.DataFrame({"a": -1, "b": -1, "tree": t, "part": -2, "key": more, "low": None})
+        ends = f.iloc[[0, -1]]  # their regions may go on in other partitions
+        yield pd.DataFrame({"a": -1, "b": -1, "tree": ends["tree"], "part": -2, "key": ends["key"], "low": None})
         for side, edge in ((0, f.head(REGION)), (1, f.tail(REGION))):
             yield pd.DataFrame({"a": edge["doc_id"], "b": np.int64(side), "tree": edge["tree"], "part": part, "key": edge["key"], "low": edge["low"]})
 
@@ -259,28 +262,37 @@ def _region() -> Column:
 
 
 def between(reps: DataFrame, regions: DataFrame, found: DataFrame, threshold: float, margin: float = MARGIN) -> DataFrame:
-    """Distinct plausible pairs (a < b) of `regions` whose ends are in different components of `found(node, component)`: all of them."""
+    """Distinct plausible pairs (a < b) of `regions` whose ends are in different components of `found(node, component)`: all of them.
+
+    A region of more than SLICE rows is dealt over slices, and every two slices meet in one group.
+    """
     rows = may_contain(_tree_rows(reps).select("doc_id", _region()), regions, "region").join(regions, "region")
     rows = rows.join(found, F.col("doc_id") == F.col("node"), "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     rows = stage(rows, "open")
-    mixed = rows.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
+    mixed = rows.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.filter("lo < hi").select("region", F.ceil(F.col("n") / SLICE).alias("slices"))
     least = (threshold - margin) * PERMUTATIONS
 
     def weigh(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("component")
+        same, f = key[1] == key[2], f.sort_values("component")
+        side = (f["slice"] == key[1]).to_numpy()
         ids, label = f["doc_id"].to_numpy(), f["component"].to_numpy()
         low = np.frombuffer(b"".join(f["low"]), dtype=np.uint8).reshape(len(f), PERMUTATIONS)
-        after = np.searchsorted(label, label, "right")
-        a, b = [], []
-        for i in np.flatnonzero(after < len(f)):
-            hit = after[i] + np.flatnonzero((low[after[i] :] == low[i]).sum(axis=1, dtype=np.uint8) >= least)
-            a.append(np.full(len(hit), ids[i]))
-            b.append(ids[hit])
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+        ids_b, label_b, low_b = (x if same else x[~side] for x in (ids, label, low))
+        before, after = np.searchsorted(label_b, label, "left"), np.searchsorted(label_b, label, "right")
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i in np.flatnonzero(side):
+            for s in (slice(after[i], None),) if same else (slice(0, before[i]), slice(after[i], None)):
+                hit = ids_b[s][(low_b[s] == low[i]).sum(axis=1, dtype=np.uint8) >= least]
+                a.append(np.full(len(hit), ids[i]))
+                b.append(hit)
+        a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    rows = rows.join(mixed, "region").join(reps.select("doc_id", "low"), "doc_id")
-    return rows.groupBy("region").applyInPandas(weigh, "a long, b long").distinct()
+    rows = rows.join(mixed, "region").join(reps.select("doc_id", "low"), "doc_id").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("slices")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    rows = rows.select("region", F.least("slice", "other").alias("p"), F.greatest("slice", "other").alias("q"), "slice", "doc_id", "component", "low")
+    return rows.groupBy("region", "p", "q").applyInPandas(weigh, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:

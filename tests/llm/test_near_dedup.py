@@ -65,3 +65,11 @@ def _family(seed, edits, words=120):
 def test_links_among_many_borderline_copies(spark):
     df = spark.createDataFrame(_family(1, [lambda rng: rng.randint(7, 16)] * 400), "doc_id long, text string")
     _compare(df, near_dedup.near_duplicates(df, shingle=1).collect(), 1)
+
+
+def test_region_larger_than_a_slice(spark):
+    # nearly all are linked; some are on both sides of the threshold with very few others
+    edits = [lambda rng: rng.choice((3, 4, 5)) if rng.random() < 0.95 else rng.randint(8, 16)] * 2300
+    rows = _family(2, edits)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _compare(df, near_dedup.near_duplicates(df, shingle=1).collect(), 1)
