@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.bitmap import BITMAP_BITS, may_contain  # noqa: F401
+
 #: ASCII white space that separates words: 0x20 and 0x09 to 0x0D.
 WORD_SEP = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,19 +84,3 @@ def gapless_rank(df: DataFrame, by: list[str], first: list[str], ties: list[str]
     counts = counts.select(*keys, before.alias("_before"))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*ties))
     return b.withColumn("_local", local).join(counts, keys).withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_bucket", "_local", "_before")
-
-
-#: Size of the bitmap of `may_contain`: 2**25 bits, 4 MB whatever the number of keys.
-BITMAP_BITS = 1 << 25
-
-
-def may_contain(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of `df` whose key may be in `keys`: a pre-filter before a join, so that wide rows without a partner are not shuffled.
-
-    A bitmap over hashed keys is built by an aggregate and broadcast; its size is fixed, more keys only let more rows through.
-    """
-    at = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
-    bits = keys.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
-    out = df.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).withColumn("_pos", F.bitmap_bit_position("_at").cast("int"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, _pos div 8 + 1, 1)")), 16, 10).cast("int")
-    return out.join(F.broadcast(bits), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0).drop("_at", "_bucket", "_pos", "_bits")

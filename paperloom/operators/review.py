@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bitmap import may_contain
 from ..functions.text import digest, normalize_text
 from ..functions.vocab import COMPARED, PLACEHOLDER, REQUIRED
 from ..schemas import ANCHOR
 from .facts import requirement_ledger
 
 MAX_ANCHORS = 10
+#: Window starts of one piece of a text.
+PIECE = 256
 
 
 def anchor(document: str, node_id: Column, label: Column, excerpt: Column) -> Column:
@@ -107,17 +110,31 @@ def required_sections(nodes: DataFrame, pattern: str = REQUIRED) -> DataFrame:
     return nodes.filter(F.col("text").rlike("(?iu)" + pattern))
 
 
+def _windows(texts: DataFrame, lengths: DataFrame) -> DataFrame:
+    """doc_id and key: every substring of `n` of one of the lengths, by pieces so that long texts take linear time."""
+    starts = F.sequence(F.lit(1), F.length("n"), F.lit(PIECE))
+    piece = F.explode(F.transform(starts, lambda i: F.substring(F.col("n"), i, F.lit(PIECE) + F.col("size") - 1))).alias("piece")
+    pieces = texts.filter("n <> ''").join(F.broadcast(lengths)).select("doc_id", "size", piece).filter("length(piece) >= size")
+    at = F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1)
+    return pieces.select("doc_id", F.explode(F.transform(at, lambda j: F.substring(F.col("piece"), j, F.col("size")))).alias("key"))
+
+
 def missing_nodes(pairs: DataFrame, required: DataFrame, bid_nodes: DataFrame, prefix: int = 18, most: int | None = 20) -> DataFrame:
     """pair_id and required nodes whose first normalised characters no bid node holds (JN2, TK2).
 
-    Normalised text has no white space, so "some node holds it" is the same as "the nodes joined
-    by line feeds hold it": one joined text per bid, an equi-join, no pairs of nodes.
+    Normalised text has no white space, so a key lies within one node. Nodes are cut into windows of
+    the keys' lengths (at most `prefix` of them) and joined to the keys of their bid by value: no pairs
+    of nodes, and no row longer than a node, however many nodes a bid has.
     """
-    joined = normalize_text(bid_nodes.select("doc_id", "pos", "text"), "text", "n").groupBy("doc_id")
-    joined = joined.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]), "\n").alias("all"))
     need = normalize_text(required.select("doc_id", "pos", "node_id", "text"), "text", "n").withColumn("key", F.substring("n", 1, prefix)).drop("n")
-    d = _sided(pairs, need, "tender", "").join(joined.withColumnRenamed("doc_id", "bid_id"), "bid_id", "left")
-    d = d.filter(~F.coalesce(F.contains(F.col("all"), F.col("key")), F.lit(False))).select("pair_id", "pos", "node_id", "text")
+    d = _sided(pairs, need, "tender", "")
+    keys = d.filter("key <> ''").select(F.col("bid_id").alias("doc_id"), "key").distinct()
+    lengths = keys.select(F.length("key").alias("size")).distinct()
+    windows = _windows(normalize_text(bid_nodes.select("doc_id", "text"), "text", "n").select("doc_id", "n"), lengths)
+    mark = F.xxhash64("doc_id", "key")
+    held = may_contain(windows.withColumn("mark", mark), keys.select(mark.alias("mark")), "mark").drop("mark").distinct()
+    held = held.union(bid_nodes.select("doc_id", F.lit("")).distinct())  # any node holds an empty key
+    d = d.join(held.withColumnRenamed("doc_id", "bid_id"), ["bid_id", "key"], "left_anti").select("pair_id", "pos", "node_id", "text")
     if most is None:
         return d
     return d.withColumn("r", F.row_number().over(Window.partitionBy("pair_id").orderBy("pos"))).filter(F.col("r") <= most).drop("r")

@@ -261,3 +261,16 @@ def test_streams(spark, tmp_path):
         assert [r["task_id"] for r in spark.table("confirmed").collect()] == ["t"]
     finally:
         q.stop()
+
+
+def test_missing_nodes_without_gathering_a_document(spark):
+    pairs = spark.createDataFrame([("p", "T", "B"), ("q", "T", "none"), ("r", "T", "nulls")], "pair_id string, tender_id string, bid_id string")
+    long = "".join(chr(97 + i * i % 23) + str(i) for i in range(400))
+    texts = ["ab", "a", "", None, long[250:280], long[-18:], "Ab  c", "x" * 18 + "tail differs", "资格 要求", "cdef"]
+    required = _nodes(spark, texts, "T")
+    bids = _nodes(spark, [long, "ABC", "x" * 20, None, "de", "f资格要求"], "B").union(_nodes(spark, [None], "nulls"))
+    out = review.missing_nodes(pairs, required, bids, most=None)
+    got = {(r["pair_id"], r["pos"]) for r in out.collect()}
+    assert got == {("p", 3), ("p", 9)} | {("q", i) for i in range(10)} | {("r", i) for i in range(10) if i != 2}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_join" not in plan
