@@ -71,6 +71,25 @@ def sample_ids(df: DataFrame, key: str, cap: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < share).limit(cap)
 
 
+#: Keys with more than a thousandth of the rows are dealt over so many salts.
+SALTS = 256
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, count: str, ties: list[str], how: str = "inner") -> DataFrame:
+    """Join of `left` with `right`, which has each key once and in `count` how many rows of `left` have it about.
+
+    Keys with over a thousandth of all rows (so at most 1000 of them) are broadcast, and their rows
+    dealt over salts by `ties`, so no task gets all rows of one key. `right` should be staged.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * 1000 > total
+    few = right.filter(hot).select(key, F.lit(True).alias("hot_key"))
+    salt = F.when(F.col("hot_key"), F.pmod(F.xxhash64(*ties, F.lit(11)), F.lit(SALTS))).otherwise(0).cast("int")
+    spread = left.join(F.broadcast(few), key, "left").withColumn("salt", salt).drop("hot_key")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return spread.join(right.withColumn("salt", F.explode(salts)).drop(count), [key, "salt"], how).drop("salt")
+
+
 def gapless_rank(df: DataFrame, by: list[str], first: list[str], ties: list[str], name: str, buckets: int = 256) -> DataFrame:
     """Adds `name`: a rank from 0 without gaps within `by`, in the order of `first`, then of a hash of `ties`.
 

@@ -37,7 +37,7 @@ def test_edges_copies_and_borders(spark):
 
 
 def test_empty_null_and_repeated(spark):
-    df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string").withColumnRenamed("x", "kept")
+    df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
     rows = near_dedup.near_duplicates(df).collect()
     assert len(rows) == 4 and {(r["doc_id"], r["kept"]) for r in rows} == {(None, True), (1, True), (2, False)}
     assert near_dedup.drop_near_duplicates(df).count() == 3
@@ -73,3 +73,24 @@ def test_region_larger_than_a_slice(spark):
     rows = _family(2, edits)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     _compare(df, near_dedup.near_duplicates(df, shingle=1).collect(), 1)
+
+
+def test_star_of_copies_linked_to_one_document_only(spark):
+    # 2,000 words; the centre shares just over 80 % with each of the 1,500 others, which share about 67 % with each other
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(2000)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1501):
+        copy = list(base)
+        for k in rng.sample(range(2000), 222 if i % 10 else 223):  # 1778 / 2222 and 1777 / 2223 on both sides of 0.8
+            copy[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, shingle=1).collect()}
+    assert got == {i: 0 if i % 10 else i for i in range(1501)} | {0: 0}
+
+
+def test_names_of_the_engine_as_user_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4), (2, "a b c", 5, 6, 7, 8), (None, None, 9, 9, 9, 9)], "doc_id long, text string, _gone int, row int, set_key int, component_id int")
+    out = near_dedup.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(map(repr, out.collect())) == sorted(map(repr, df.filter("doc_id is null or doc_id = 1").collect()))
