@@ -117,8 +117,12 @@ def plan_patterns(histogram: dict[int, int], max_len: int) -> list[tuple[int, di
                 put(space - length, used, pattern | {length: pattern.get(length, 0) + 1})
                 left -= used
             else:
-                # fresh packs, each filled with one piece of this length
-                put(max_len - length, left, {length: 1})
+                # fresh packs: the open one is the only one that fits until it is full
+                times = max_len // length
+                if left >= times:
+                    put(max_len - times * length, left // times, {length: times})
+                if left % times:
+                    put(max_len - left % times * length, 1, {length: left % times})
                 left = 0
     for packs in open_packs.values():
         done.extend(packs)
