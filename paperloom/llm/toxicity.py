@@ -32,6 +32,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, ".": None, "-": None, "_": None, "+": "t"})
 _EDGE = ".,;:!?\"'()[]{}«»“”…|#&%$*<>"
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Weight of the trees' margin beside the isotonic output.
+ORDER = 0.001
 NAMES = ["seed", "strong", "mild", "hidden", "any", "max_weight", "weight", "near_you", "you", "upper", "shouted", "exclaim", "punct", "obfuscated", "log_words", "per_line"]
 
 
@@ -141,27 +143,30 @@ def _raw(trees, calibration, x: DataFrame) -> DataFrame:
     out = trees.transform(x.withColumn("features", array_to_vector("x"))).withColumn("margin", F.element_at(vector_to_array("probability"), 2))
     if calibration is None:
         return out
-    # a tenth of the margin keeps an order among documents on one step of the isotonic fit
+    # the score is the isotonic output; a thousandth of the margin orders documents on one step of it
     out = calibration.transform(out.drop("prediction"))
-    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.9 * F.col("calibrated") + 0.1 * F.col("margin"))))
+    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - ORDER) * F.col("calibrated") + ORDER * F.col("margin"))))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", *, max_rows: int = 16_000, rounds: int = 25, depth: int = 3) -> ToxicityModel:
-    """Fit on at most `max_rows` labelled documents outside the held-out fold; a fifth of them calibrates.
+    """Fit on at most `max_rows` labelled documents outside the held-out fold.
+
+    A fifth of them calibrates and has no part in lexicons and trees, so the isotonic step is fitted
+    on margins as they are for documents never seen.
 
     With fewer than 10 documents of either label the model is a constant, the share of label 1.
     """
     rows = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     rows = sample_ids(rows, "doc_id", max_rows)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")  # bounded by max_rows
-    d = stage(d, "toxic-sample").repartition(8)
+    d = stage(d.withColumn("hold", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0), "toxic-sample").repartition(8)
     count = {r["y"]: r["n"] for r in d.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = count.get(0, 0), count.get(1, 0)
     if min(n0, n1) < 10:
         return ToxicityModel(({}, {}), None, None, (n1 + 0.5) / (n0 + n1 + 1.0))
-    lexicon = learn_lexicon(d.select("y", "text"))
-    x = feature_frame(d, lexicon, ["doc_id", "y"]).withColumn("label", F.col("y").cast("double"))
-    x = stage(x.withColumn("hold", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0), "toxic-features").coalesce(2).withColumn("features", array_to_vector("x")).cache()
+    lexicon = learn_lexicon(d.filter("not hold").select("y", "text"))
+    x = feature_frame(d, lexicon, ["hold", "y"]).withColumn("label", F.col("y").cast("double"))
+    x = stage(x, "toxic-features").coalesce(2).withColumn("features", array_to_vector("x")).cache()
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=7, featuresCol="features", labelCol="label", maxBins=64, subsamplingRate=0.8, minInstancesPerNode=5)
     trees = gbt.fit(x.filter(~F.col("hold")))
     held = _raw(trees, None, x.filter("hold").drop("features")).select("margin", "label")
