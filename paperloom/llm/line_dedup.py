@@ -1,6 +1,6 @@
 """Line dedup by winnowing over line hashes (operator 7), built-in functions only.
 
-Lines with words are hashed (white space at the ends does not count). Of every `window`
+Lines with words are hashed to 128 bits (white space at the ends does not count). Of every `window`
 consecutive line hashes of a document the smallest is its fingerprint, so two documents that share
 `window` lines in a row share a fingerprint at the same place in them. Fingerprints are joined
 by value; where one occurs more than once, the match is extended both ways, and every line inside a
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SEP, let, stage
+from .common import WORD_SEP, join_spread, let, stage
 
 WINDOW = 3
 LONG_WORDS = 20
@@ -28,9 +28,9 @@ def _text(col: str) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, long_words: int) -> DataFrame:
-    """doc_id, version (hash of the text) and `h`: number, hash and length class of each line with a word."""
+    """doc_id, version (hash of the text) and `h`: number, both halves h and g of the hash and length class of each line with a word."""
     full = F.filter(F.transform(F.split(_text(text_col), "\n", -1), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("t"))), lambda s: s["t"] != "")
-    h = F.transform(full, lambda s: F.struct(s["line"].alias("line"), F.xxhash64(s["t"]).alias("h"), (F.size(F.split(s["t"], WORD_SEP + "+", long_words)) >= long_words).alias("long")))
+    h = F.transform(full, lambda s: F.struct(s["line"].alias("line"), F.xxhash64(s["t"]).alias("h"), F.xxhash64(F.lit(7), s["t"]).alias("g"), (F.size(F.split(s["t"], WORD_SEP + "+", long_words)) >= long_words).alias("long")))
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(_text(text_col)).alias("version"), h.alias("h"))
 
 
@@ -54,7 +54,8 @@ def _runs_around(lines: DataFrame, shared: DataFrame, window: int) -> DataFrame:
 
         def run(i: Column) -> Column:
             part = F.slice(h, i + 1, window)
-            return F.struct(F.xxhash64(F.transform(part, lambda x: x["h"]), F.lit(1)).alias("run"), i.alias("start"), F.transform(part, lambda x: x["line"]).alias("lines"))
+            half = lambda k: F.xxhash64(F.lit(window), F.transform(part, lambda x: x[k]))
+            return F.struct(half("h").alias("run"), half("g").alias("run_g"), i.alias("start"), F.transform(part, lambda x: x["line"]).alias("lines"))
 
         return F.transform(starts, run)
 
@@ -72,14 +73,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = stage(line_table(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, long_words).filter(F.size("h") > 0), "lines")
     prints = fingerprints(lines, window)
     # join positions: fingerprints that occur at more than one place (a count with map-side combine)
-    many = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
-    runs = _runs_around(lines, prints.join(many, "fp", "left_semi"), window)
+    many = stage(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    runs = _runs_around(lines, join_spread(prints, many, "fp", "n", ["doc_id", "at"], "left_semi"), window)
     single = lines.select("doc_id", "version", F.posexplode("h").alias("start", "x")).filter("x.long")
-    single = single.select("doc_id", "version", F.xxhash64("x.h", F.lit(2)).alias("run"), "start", F.array("x.line").alias("lines"))
+    single = single.select("doc_id", "version", F.xxhash64(F.lit(-1), "x.h").alias("run"), F.xxhash64(F.lit(-1), "x.g").alias("run_g"), "start", F.array("x.line").alias("lines"))
     runs = stage(runs.unionByName(single), "runs")
     place = F.struct("doc_id", "version", "start")
-    first = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
-    later = runs.join(first, "run").filter(place > F.col("first"))
+    key = ["run", "run_g"]
+    first = stage(runs.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
+    later = join_spread(runs, first, key, "n", ["doc_id", "start"]).filter(place > F.col("first"))
     return later.select("doc_id", "version", F.explode("lines").alias("k")).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("k")).alias("lines"))
 
 
@@ -90,23 +92,29 @@ def _without(text: Column, gone: Column) -> Column:
     return let(keep, lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i)), "\n"))
 
 
+def _cut(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (the user's columns as they are), removed_lines and kept_text of every row."""
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(_text(text_col)).alias("version"))
+    out = d.join(gone.select("doc_id", "version", F.col("lines").alias("removed_lines")), ["doc_id", "version"], "left")
+    text = F.col("row").getField(text_col)
+    kept = F.when(F.col("removed_lines").isNull(), text).otherwise(_without(F.coalesce(text.cast("string"), F.lit("")), F.col("removed_lines")))
+    return out.select("row", "removed_lines", kept.alias("kept_text"))
+
+
 def remove_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds `removed_lines` (null where nothing goes) and `kept_text` to all rows; other columns unchanged."""
-    g = gone.select(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), F.col("lines").alias("removed_lines"))
-    d = docs.drop("removed_lines", "kept_text")
-    out = d.join(g, (d[id_col] == g["_id"]) & (F.xxhash64(_text(text_col)) == g["_v"]), "left").drop("_id", "_v")
-    return out.withColumn("kept_text", F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(_without(_text(text_col), F.col("removed_lines"))))
+    """Adds `removed_lines` (null where nothing goes) and `kept_text` to all rows; they win over columns of these names, others stay."""
+    return _cut(docs.drop("removed_lines", "kept_text"), gone, id_col, text_col).select("row.*", "removed_lines", "kept_text")
 
 
 def drop_repeated_lines(docs: DataFrame, *, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """`docs` with the repeated runs cut from `text` and `n_chars` brought up to date; columns unchanged.
+    """`docs` with the repeated runs cut from `text` and `n_chars` brought up to date; columns unchanged, whatever their names.
 
     A document all of whose words were in repeated runs goes; one that had no words before stays.
     """
-    out = remove_lines(docs, repeated_lines(docs, window=window, long_words=long_words))
+    out = _cut(docs, repeated_lines(docs, window=window, long_words=long_words), "doc_id", "text")
     out = out.filter(F.col("removed_lines").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        n = F.when(F.col("removed_lines").isNull(), F.col("n_chars")).otherwise(F.length("kept_text"))
+        n = F.when(F.col("removed_lines").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text"))
         new["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
