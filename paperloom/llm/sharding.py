@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, stage
+from .common import gapless_rank, join_spread, stage
 
 #: Cells of at least so many documents are split between staying and moving; smaller ones move whole or stay.
 SPLIT = 64
@@ -103,18 +103,19 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     base = stage(measured(docs, id_col, text_col), "measured")
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")
-    group = base.groupBy("link").agg(F.count(F.lit(1)).alias("size_of_group")).filter("size_of_group > 1").select("link")
-    rows = stage(base.withColumn("shard", start).join(group.withColumn("linked", F.lit(1)), "link", "left").withColumn("linked", F.coalesce("linked", F.lit(0))), "rows")
+    group = stage(base.groupBy("link").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("linked", F.lit(1)), "groups")
+    rows = join_spread(base.withColumn("shard", start), group, "link", "n", ["doc_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(0)))
+    rows = stage(rows, "rows")
     singles = [0] * shards
     for r in rows.filter("linked = 0").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per shard
         singles[r["shard"]] = r["n"]
     cells = stage(rows.filter("linked = 1").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n")), "cells")
     cells = propagate(cells, singles, shards, rounds=rounds)
     # hand the cells' counts out to documents: ranks within the group, in ranges
-    ranges = cells.groupBy("link").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("c"))  # at most `shards` entries
+    ranges = cells.groupBy("link").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("c"), F.sum("n").alias("n"))  # at most `shards` entries
     ends = F.transform("c", lambda x, i: F.struct(F.aggregate(F.slice(F.col("c"), 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("end"), x["shard"].alias("shard")))
     linked = gapless_rank(rows.filter("linked = 1").drop("shard"), ["link"], [], ["doc_id"], "k", 64)
-    linked = linked.join(ranges.select("link", ends.alias("ends")), "link").withColumn("shard", F.element_at(F.filter("ends", lambda e: F.col("k") < e["end"]), 1)["shard"])
+    linked = join_spread(linked, stage(ranges.select("link", ends.alias("ends"), "n"), "ranges"), "link", "n", ["doc_id"]).withColumn("shard", F.element_at(F.filter("ends", lambda e: F.col("k") < e["end"]), 1)["shard"])
     cols = ["doc_id", "size", "text_crc32", "link", "linked", "shard"]
     placed = stage(rows.filter("linked = 0").select(*cols).union(linked.select(*cols)), "placed")
     load = [0] * shards
