@@ -30,8 +30,8 @@ def word_tokens(text: Column) -> Column:
 def source_totals(docs: DataFrame, source: Column, tokens: Column) -> DataFrame:
     """source, tokens, docs, share. A null source is a source of its own."""
     t = docs.select(source.alias("source"), tokens.alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    total = F.sum("tokens").over(Window.partitionBy())
-    return t.filter("tokens > 0").withColumn("share", F.col("tokens") / total)
+    total = t.agg(F.sum("tokens")).first()[0] or 1
+    return t.filter("tokens > 0").withColumn("share", F.col("tokens") / F.lit(total))
 
 
 def find_exponent(totals: DataFrame, *, max_repeats: float | None = 2.0, target_entropy: float | None = None, steps: int = 6, sections: int = 16) -> float:
@@ -72,11 +72,10 @@ def find_exponent(totals: DataFrame, *, max_repeats: float | None = 2.0, target_
 
 def budgets(totals: DataFrame, exponent: float, budget: float | None = None) -> DataFrame:
     """Adds weight, quota (tokens) and epochs. Without a budget the least repeated source is read exactly once."""
-    one = Window.partitionBy()
     w = F.pow("share", F.lit(exponent))
-    t = totals.withColumn("weight", w / F.sum(w).over(one))
-    whole = F.max(F.col("tokens") / F.col("weight")).over(one) if budget is None else F.lit(float(budget))
-    return t.withColumn("quota", F.col("weight") * whole).withColumn("epochs", F.col("quota") / F.col("tokens"))
+    t = totals.withColumn("weight", w / F.lit(totals.agg(F.sum(w)).first()[0] or 1.0))
+    whole = t.agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0.0 if budget is None else float(budget)
+    return t.withColumn("quota", F.col("weight") * F.lit(whole)).withColumn("epochs", F.col("quota") / F.col("tokens"))
 
 
 def block_plan(blocks: DataFrame, quotas: DataFrame, seed: int = 0) -> DataFrame:
@@ -85,8 +84,8 @@ def block_plan(blocks: DataFrame, quotas: DataFrame, seed: int = 0) -> DataFrame
     `blocks(source, block, tokens)`. Within an epoch blocks come in the order of a seeded hash; the
     last epoch ends where its quota does, to half a block.
     """
-    q = quotas.select(F.col("source").alias("_s"), "quota", "epochs", F.col("tokens").alias("total"))
-    b = blocks.join(q, F.col("source").eqNullSafe(F.col("_s")))
+    q = quotas.select(F.col("source").alias("of"), "quota", "epochs", F.col("tokens").alias("total"))
+    b = blocks.join(q, F.col("source").eqNullSafe(F.col("of")))
     b = b.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1))))
     order = F.xxhash64("block", "epoch", F.lit(seed))
     w = Window.partitionBy("source", "epoch").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,28 +93,35 @@ def block_plan(blocks: DataFrame, quotas: DataFrame, seed: int = 0) -> DataFrame
     return b.withColumn("at", at).filter((F.col("at") <= F.col("quota") * (1 + 1e-9)) | (F.col("tokens") == 0) & (F.col("epoch") == 0)).select("source", "block", "epoch", (F.col("at") / F.col("quota")).alias("mix_order"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
-    """The rows of the mixture: all columns of `docs` plus n_tokens, epoch, block, mix_order.
+ADDED = ["n_tokens", "epoch", "block", "mix_order"]
 
-    Sorting by mix_order reads the sources in their target proportions throughout. Without a
-    `budget` every row is read at least once. Rows of sources without any word are read once
-    (epoch 0, mix_order 0). Null sources mix as one source; rows with equal or null ids share a block.
-    """
-    added = ["n_tokens", "epoch", "block", "mix_order"]
-    d = docs.drop(*added)
-    keyed = d.withColumn("n_tokens", word_tokens(F.col(text_col))).withColumn("block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).cast("int"))
-    per_block = stage(keyed.groupBy(F.col(source_col).alias("source"), "block").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "blocks")
+
+def _placed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
+    """row (the user's columns as they are) and the `ADDED` columns of every place in the mixture."""
+    block = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).cast("int")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), word_tokens(F.col(text_col)).alias("n_tokens"), block.alias("block"))
+    per_block = stage(keyed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "blocks")
     totals = stage(source_totals(per_block, F.col("source"), F.col("tokens")), "totals")
     quotas = budgets(totals, find_exponent(totals, max_repeats=max_repeats, target_entropy=target_entropy), budget)
     plan = block_plan(per_block.select("source", "block", "tokens"), quotas, seed)
     empty = per_block.join(totals, per_block["source"].eqNullSafe(totals["source"]), "left_anti").select("source", "block", F.lit(0).alias("epoch"), F.lit(0.0).alias("mix_order"))
-    plan = stage(plan.union(empty), "plan").select(F.col("source").alias("_s"), F.col("block").alias("_b"), "epoch", "mix_order")
+    plan = stage(plan.union(empty), "plan").select(F.col("source").alias("of"), F.col("block").alias("of_block"), "epoch", "mix_order")
     if plan.count() <= PLAN_ROWS:
         plan = F.broadcast(plan)
-    out = keyed.join(plan, keyed[source_col].eqNullSafe(plan["_s"]) & (keyed["block"] == plan["_b"])).drop("_s", "_b")
-    return out.select(*[F.col(f"`{c}`") for c in d.columns], *added)
+    return keyed.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block"))).select("row", *ADDED)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mixture: all columns of `docs` plus n_tokens, epoch, block, mix_order, which win over columns of these names.
+
+    Sorting by mix_order reads the sources in their target proportions throughout. Without a
+    `budget` every row is read at least once. Rows of sources without any word are read once
+    (epoch 0, mix_order 0). Null sources mix as one source; rows with equal or null ids share a block.
+    Options: id_col, source_col, text_col, max_repeats, target_entropy, budget, blocks, seed.
+    """
+    return _placed(docs.drop(*ADDED), **options).select("row.*", *ADDED)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture with the columns of `docs` only; a document read in several epochs appears once for each."""
-    return mix(docs, **options).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixture with the columns of `docs` only, whatever their names; a document read in several epochs appears once for each."""
+    return _placed(docs, **options).select("row.*")
