@@ -13,6 +13,7 @@ all that any result list can use, so thousands of copies of one vector cost one
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,13 +89,11 @@ def learn_codes(x: np.ndarray, norm: float, k: int, *, iterations: int = 25, sha
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, x (array of doubles): rows with an id and a vector of the commonest length, finite, without nulls, not zero."""
+    """vec_id, x (array of doubles): rows with an id and a vector that is finite, without nulls, not zero."""
     x = F.col(vector_col).cast("array<double>")
     d = df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull())
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    d = d.filter(~bad & F.exists("x", lambda v: v != 0))
-    size = d.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return d.filter(F.size("x") == (size[0]["d"] if size else 0))
+    return d.filter(~bad & F.exists("x", lambda v: v != 0))
 
 
 def fold_equal(v: DataFrame, keep: int, salts: int = 64) -> DataFrame:
@@ -196,16 +195,21 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
 
     `is_query` is a condition on `vec_id`. Codes are learned on at most `max_sample` vectors;
     every vector is indexed. Null, zero or non-finite vectors, vectors with null parts and rows
-    without an id take no part; equal (id, vector) rows count once. A query for which the radius holds fewer
-    than k others is searched again without one.
+    without an id take no part; equal (id, vector) rows count once. Vectors of different lengths have no inner
+    product: each length has an index of its own and is searched by the queries of that length. A query for
+    which the radius holds fewer than k others is searched again without one.
     """
-    keep = k + 1
     v = stage(valid_vectors(vectors, id_col, vector_col).distinct(), "vectors")
+    sizes = sorted(r["d"] for r in v.select(F.size("x").alias("d")).distinct().collect())  # one row per length
+    found = [_search_length(v if len(sizes) == 1 else v.filter(F.size("x") == d), is_query, k, max_sample) for d in sizes]
+    return reduce(DataFrame.union, found) if found else v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search_length(v: DataFrame, is_query: Column, k: int, max_sample: int) -> DataFrame:
+    """The search among staged vectors of one length."""
+    keep = k + 1
     reps = stage(fold_equal(v, keep), "reps")
     n = reps.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return v.sparkSession.createDataFrame([], schema)
     members = v.filter(is_query).join(reps.select("rep", "x"), "x").select("vec_id", F.col("rep").alias("query"))
     members = stage(members, "members")
     asked = reps.join(members.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "x")
