@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, shared_dir, stage
+from .common import parts, stage, stage_dir
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1  # K-grams in a window
-BATCH_BYTES, SHARD_BYTES = 4_000_000, 4_000_000
+BATCH_BYTES, SHARD_BYTES, RANGE_BYTES = 4_000_000, 4_000_000, 256_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -59,24 +59,19 @@ def window_samples(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     none = np.zeros(0, dtype=np.int64)
     if n < LENGTH:
         return none, none, np.zeros(0, dtype=np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
+    base = 0x9E3779B97F4A7C15
 
     def join(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
         m = len(x) - width + 1
-        return a[:m] * power + b[:m]
+        return a[:m] * np.uint64(pow(base, width // 2, 1 << 64)) + b[:m]
 
     h1 = x.astype(np.uint64) + np.uint64(1)
-    power = base
     h2 = join(h1, h1[1:], 2)
-    power = base * base
     h4 = join(h2, h2[2:], 4)
-    power = power * power
     h8 = join(h4, h4[4:], 8)
-    power = power * power
     h16 = join(h8, h8[8:], 16)
-    p4 = (base * base) * (base * base)
     m = n - K + 1
-    h = h16[:m] * p4 + h4[16 : 16 + m]
+    h = h16[:m] * np.uint64(pow(base, 4, 1 << 64)) + h4[16 : 16 + m]
     del h1, h2, h8, h16, h4
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -123,9 +118,8 @@ def _batches(docs: DataFrame, bits: int, batch_bytes: int) -> DataFrame:
             _, _, key = window_samples(x, ends)
             bucket, rest = _split_key(np.unique(key), bits)
             cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            for b in range(1 << bits):
-                if cuts[b] < cuts[b + 1]:
-                    rows.append((number, b, np.unique(rest[cuts[b] : cuts[b + 1]]).tobytes(), None, None))
+            for b in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
+                rows.append((number, b, np.unique(rest[cuts[b] : cuts[b + 1]]).tobytes(), None, None))
             number += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -437,7 +431,7 @@ def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """`df` written once to the shared folder in buckets of `key`, so that later grouping by it moves no text."""
     spark = df.sparkSession
     name = f"paperloom_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/paperloom/{name}").format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{stage_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved before the name goes; the files stay
     spark.sql(f"DROP TABLE {name}")
@@ -452,12 +446,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Memory follows `batch_bytes` and the longest document.
     """
     spark = docs.sparkSession
-    bits = max(4, int(np.ceil(np.log2(parts(spark)))))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    total = d.agg(F.sum(F.length("text"))).first()[0] or 0
+    # key ranges: as many as partitions, and more where a range would hold the keys of over RANGE_BYTES of text
+    bits = max(4, int(np.ceil(np.log2(max(parts(spark), total / RANGE_BYTES)))))
     batches = _bucketed(_batches(d, bits, batch_bytes), "batch", parts(spark))
     payload = batches.filter("bucket = -1").select("batch", "data", "ids", "ends")
     shared = stage(_shared_keys(batches.filter("bucket >= 0").select("batch", "bucket", "data")), "shared")
-    total = d.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(4, -(-total // shard_bytes))
 
     def blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
