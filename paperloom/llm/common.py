@@ -1,7 +1,7 @@
 """Shared helpers: table access, lineage cuts and salts.
 
-Every operator accepts extra columns with any names: it selects the columns it
-needs under private names first and joins the rest back only where it says so.
+Every operator accepts extra columns with any names: it selects the columns it needs into a
+frame of its own, and carries the user's row as one struct where rows are returned.
 """
 
 from __future__ import annotations
@@ -24,21 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where none is configured."""
+    """The folder every executor sees. A temporary one only in local mode; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def stage_dir(spark: SparkSession) -> str:
+    """Where this application stages tables; results that were not written yet still read them."""
+    return f"{shared_dir(spark)}/paperloom/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all tables this application staged, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` once to the shared folder and read it back.
 
     A lost executor then costs a re-read of one file, not a re-run of the plan.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,39 +76,48 @@ def let(value: Column, body) -> Column:
 
 
 def sample_ids(df: DataFrame, key: str, cap: int) -> DataFrame:
-    """At most about `cap` rows, picked by a hash of `key`; all rows if there are no more than `cap`."""
+    """The `cap` rows with the smallest hashes of `key`, which must be distinct; all rows if there are no more than `cap`."""
     n = df.count()
     if n <= cap:
         return df
-    share = int(cap / n * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < share).limit(cap)
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 40))
+    # a filter first, so that few more than `cap` rows are compared
+    near = df.filter(place < int((cap + 6 * cap**0.5) / n * (1 << 40)))
+    return near.orderBy(place, key).limit(cap)
 
 
 #: Keys with more than a thousandth of the rows are dealt over so many salts.
 SALTS = 256
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str, count: str, ties: list[str], how: str = "inner") -> DataFrame:
-    """Join of `left` with `right`, which has each key once and in `count` how many rows of `left` have it about.
+def join_spread(left: DataFrame, right: DataFrame, key: str | list[str], count: str, ties: list[str], how: str = "inner") -> DataFrame:
+    """Join of `left` with `right`, which has each key once and in `count` about how many rows of `left` have it.
 
     Keys with over a thousandth of all rows (so at most 1000 of them) are broadcast, and their rows
     dealt over salts by `ties`, so no task gets all rows of one key. `right` should be staged.
     """
+    keys = [key] if isinstance(key, str) else key
     total = right.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * 1000 > total
-    few = right.filter(hot).select(key, F.lit(True).alias("hot_key"))
+    few = right.filter(hot).select(*keys, F.lit(True).alias("hot_key"))
     salt = F.when(F.col("hot_key"), F.pmod(F.xxhash64(*ties, F.lit(11)), F.lit(SALTS))).otherwise(0).cast("int")
-    spread = left.join(F.broadcast(few), key, "left").withColumn("salt", salt).drop("hot_key")
+    spread = left.join(F.broadcast(few), keys, "left").withColumn("salt", salt).drop("hot_key")
     salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return spread.join(right.withColumn("salt", F.explode(salts)).drop(count), [key, "salt"], how).drop("salt")
+    return spread.join(right.withColumn("salt", F.explode(salts)).drop(count), [*keys, "salt"], how).drop("salt")
+
+
+#: Rows that one bucket of `gapless_rank` has about.
+BUCKET_ROWS = 100_000
 
 
-def gapless_rank(df: DataFrame, by: list[str], first: list[str], ties: list[str], name: str, buckets: int = 256) -> DataFrame:
+def gapless_rank(df: DataFrame, by: list[str], first: list[str], ties: list[str], name: str, least_buckets: int = 256) -> DataFrame:
     """Adds `name`: a rank from 0 without gaps within `by`, in the order of `first`, then of a hash of `ties`.
 
     Rows are counted per bucket and only the counts are summed in order, so no group of `by` is
-    ever sorted by one task. `first` must have few values.
+    ever sorted by one task, and there are more buckets the more rows there are. `first` must have
+    few values; `df` should be staged.
     """
+    buckets = max(least_buckets, -(-df.count() // BUCKET_ROWS))
     b = df.withColumn("_bucket", F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int"))
     keys = [*by, *first, "_bucket"]
     counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

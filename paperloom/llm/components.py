@@ -27,7 +27,7 @@ def _star(e: DataFrame, larger_only: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """`links(a, b)` to `(node, component)`: the smallest node reachable, for every node in a link.
 
     Rounds of large star and small star until the edges stop changing; every round is written to
@@ -35,12 +35,10 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     e = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct(), "links")
     before = None
-    for _ in range(max_rounds):
+    while True:
         e = stage(_star(_star(e, False), True), "stars")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

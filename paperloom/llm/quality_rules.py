@@ -78,9 +78,9 @@ def clean_lines(docs: DataFrame, text_col: str = "text", *, max_lost: float = 0.
     rejected if more than `max_lost` of its non-space characters went, or the base rules fail.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned_text", "lost_share", "base_failed", "kept"]
-    d = docs.drop(*[c for c in added if c != text_col]).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    d = d.withColumn("_lines", F.split("_text", "\n", -1))
-    words = F.filter(_split_words(F.col("_text")), lambda w: w != "")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added or c == text_col]).alias("row"), text.alias("of_text"), F.split(text, "\n", -1).alias("of_lines"))
+    words = F.filter(_split_words(F.col("of_text")), lambda w: w != "")
     counts = let(
         words,
         lambda w: F.struct(
@@ -90,21 +90,21 @@ def clean_lines(docs: DataFrame, text_col: str = "text", *, max_lost: float = 0.
         ),
     )
     full = let(
-        F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        F.filter("of_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.filter(x, lambda y: ~line_fails(y)).alias("good")),
     )
-    d = d.withColumns({"_c": counts, "_l": full, "n_symbols": (F.size(F.split("_text", SYMBOLS, -1)) - 1).cast("long")})
-    good_chars = F.aggregate(F.col("_l.good"), F.lit(0).cast("long"), lambda a, x: a + F.length(F.regexp_replace(x, WORD_SEP, "")))
+    d = d.withColumns({"c": counts, "l": full, "n_symbols": (F.size(F.split("of_text", SYMBOLS, -1)) - 1).cast("long")})
+    good_chars = F.aggregate(F.col("l.good"), F.lit(0).cast("long"), lambda a, x: a + F.length(F.regexp_replace(x, WORD_SEP, "")))
     d = d.withColumns(
         {
-            "n_words": F.col("_c.n_words"),
-            "word_chars": F.col("_c.word_chars"),
-            "n_repeat_words": F.col("_c.n_repeat_words"),
-            "n_dup_lines": F.col("_l.n_dup_lines"),
-            "cleaned_text": F.array_join("_l.good", "\n"),
-            "lost_share": F.when(F.col("_c.word_chars") > 0, 1 - good_chars / F.col("_c.word_chars")).otherwise(F.lit(0.0)),
+            "n_words": F.col("c.n_words"),
+            "word_chars": F.col("c.word_chars"),
+            "n_repeat_words": F.col("c.n_repeat_words"),
+            "n_dup_lines": F.col("l.n_dup_lines"),
+            "cleaned_text": F.array_join("l.good", "\n"),
+            "lost_share": F.when(F.col("c.word_chars") > 0, 1 - good_chars / F.col("c.word_chars")).otherwise(F.lit(0.0)),
         }
     )
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     d = d.withColumn("base_failed", base)
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost)).drop("_text", "_lines", "_c", "_l")
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost)).select("row.*", *[c for c in added if c != text_col])
