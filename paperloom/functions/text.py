@@ -45,9 +45,9 @@ def _fold(c: Column) -> Column:
 
 
 def normalize_text(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Adds the normalised form of `col` (T1). Only rows with non-ASCII text pass through Python."""
-    plain = F.col(col).isNull() | ~F.col(col).rlike("[^\\x00-\\x7F]")
-    return df.filter(plain).withColumn(out, _fold(F.col(col))).unionByName(df.filter(~plain).withColumn(out, _fold(_nfkc(F.col(col)))))
+    """Adds the normalised form of `col` (T1). Only non-ASCII texts go to Python; other rows send a null."""
+    odd = F.when(F.col(col).rlike("[^\\x00-\\x7F]"), F.col(col))
+    return df.withColumn(out, _fold(F.coalesce(_nfkc(odd), F.col(col))))
 
 
 def escape_html(c: Column) -> Column:

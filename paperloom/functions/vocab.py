@@ -16,6 +16,9 @@ FACT_LABELS = {
     "quality": ["质量标准", "质量要求", "验收标准"],
     "role": ["招标人", "招标单位", "采购人"],
 }
+#: What a value may hold, by kind, and the word that may follow a bidder's label.
+FACT_VALUES = {"project_number": "[A-Za-z0-9\\-_/]+", "other": "[^\\n,，;；]+"}
+FACT_NAME = {"bidder_name": "名称"}
 LEDGER_KINDS = ["project_name", "project_number", "section_name", "duration", "quality"]
 #: Display names of the kinds, in the order of the local summary.
 SUMMARY_KINDS = {"project_name": "项目名称", "project_number": "项目编号", "section_name": "标段", "duration": "工期/服务期", "quality": "质量标准", "role": "招标人"}
@@ -55,6 +58,11 @@ PDF_SECTION = "(?iu)^(?:qualification" + WS + "+(?:template|document" + WS + "+)
 PDF_NUMBERING = "^(?:第" + WS + "*[0-9一二三四五六七八九十百]+" + WS + "*[章节部分]|[一二三四五六七八九十]+[、.．]|\\d+(?:\\.\\d+){0,5})" + WS + "*"
 IMAGE_MARKER = "(?:\\[\\[|【请插入[：:]?)(图片|证照|签章|印章|照片)(?:\\]\\]|】)"
 
+#: What ends a value behind a label, and what stands for an image, in templates that are filled.
+SEPARATOR = "[；;，,\\n]"
+MARKER = "(?:\\[\\[(?:图片|证照|签章|印章|照片)[^\\]]*\\]\\]|【请插入[：:]?(?:图片|证照|签章|印章|照片)】)"
+PLACEHOLDER_NAMES = {"image": "图片", "certificate": "证照", "signature": "签章", "stamp": "印章", "text": "文字"}
+
 #: Task states and the changes between them that are allowed.
 TRANSITIONS = {
     "created": ["previewing", "failed", "cancelled"],

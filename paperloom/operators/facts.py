@@ -2,72 +2,65 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_value
-from ..functions.vocab import FACT_LABELS, WS
-from ..schemas import FACTS
+from ..functions.text import normalize_text
+from ..functions.vocab import FACT_LABELS, FACT_NAME, FACT_VALUES, WS
 
 _ANY = "|".join(x for v in FACT_LABELS.values() for x in v)
+#: Characters of a joined text in one bucket of the join of facts with nodes.
+BUCKET = 4096
+
+
+def fact_pattern(kind: str) -> str:
+    """Label, optional 名称 for bidders, 为 or a colon, and the value as the last group."""
+    name = FACT_NAME.get(kind, "")
+    return f"(?iu)(?:{'|'.join(FACT_LABELS[kind])}){WS}*{f'(?:{name}{WS}*)?' if name else ''}(?:为{WS}*|[：:]){WS}*({FACT_VALUES.get(kind, FACT_VALUES['other'])})"
+
 
+def _matches(whole: Column, kind: str) -> Column:
+    """ord, begin (from 0) and value of each match in a text: what lies before a match is the gaps and matches before it."""
+    pattern = fact_pattern(kind)
+    found = F.struct(F.split(whole, pattern, -1).alias("gaps"), F.regexp_extract_all(whole, F.lit(pattern), 0).alias("hits"))
 
-def _pattern(kind: str) -> re.Pattern:
-    value = "[A-Za-z0-9\\-_/]+" if kind == "project_number" else "[^\\n,，;；]+"
-    name = f"(?:名称{WS}*)?" if kind == "bidder_name" else ""
-    return re.compile(f"(?:{'|'.join(FACT_LABELS[kind])}){WS}*{name}(?:为{WS}*|[：:]){WS}*({value})", re.IGNORECASE)
-
-
-PATTERNS = {k: _pattern(k) for k in FACT_LABELS}
-_EDGE = re.compile(f"^{WS}+|{WS}+$")
-
-
-def facts_of(texts: list[str], ids: list[str]) -> Iterator[tuple]:
-    """(kind, ord, node_id, value, normalized, excerpt) of one document's nodes in order."""
-    whole = "\n".join(texts)
-    starts, at = [], 0
-    for t in texts:
-        starts.append(at)
-        at += len(t) + 1
-    for kind, pattern in PATTERNS.items():
-        n = 0
-        for m in pattern.finditer(whole):
-            raw = m[1]
-            value = _EDGE.sub("", raw)
-            if not value:
-                continue
-            begin = m.start() + m[0].index(raw) + raw.index(value[0])
-            k = bisect_right(starts, begin) - 1
-            inside = begin - starts[k]
-            if texts[k][inside : inside + len(value)] != value:
-                continue
-            cut = max(0, inside - 120)
-            yield kind, n, ids[k], value, normalize_value(value), texts[k][cut : cut + 300]
-            n += 1
+    def places(s: Column) -> Column:
+        def one(hit: Column, k: Column) -> Column:
+            before = F.aggregate(F.slice(s["gaps"], 1, k + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(s["hits"], 1, k), F.lit(0), lambda a, x: a + F.length(x))
+            raw = F.regexp_extract(hit, pattern, 1)
+            lead = F.length(raw) - F.length(F.regexp_replace(raw, f"^{WS}+", ""))
+            value = F.regexp_replace(F.regexp_replace(raw, f"^{WS}+", ""), f"{WS}+\\z", "")
+            return F.struct((before + F.position(raw, hit) - 1 + lead).alias("begin"), value.alias("value"), k.alias("k"))
+
+        return F.transform(s["hits"], one)
+
+    return F.element_at(F.transform(F.array(found), places), 1)
 
 
 def extract_facts(nodes: DataFrame) -> DataFrame:
     """All labelled facts over the documents' joined texts; a value may stand in the node after its label.
 
-    Only documents with a label word reach Python, one row per document (documents are bounded
-    by the text gate). `nodes(doc_id, pos, node_id, text)`; null texts count as empty.
+    `nodes(doc_id, pos, node_id, text)`; null texts count as empty. Built-in functions only: the
+    patterns run over the joined text of each document that has a label, and the places found are
+    joined back to the nodes by document and range of characters. A fact counts if its value lies in
+    one node; where a match holds its value twice, its first place counts. Documents are bounded by the text gate.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "kind", "ord", "node_id", "value", "normalized", "excerpt"]
-        for b in batches:
-            rows = [(d, *f) for d, texts, ids in zip(b["doc_id"], b["texts"], b["ids"], strict=True) for f in facts_of(list(texts), list(ids))]
-            yield pd.DataFrame(rows, columns=names)
-
-    has = F.coalesce("text", F.lit("")).rlike(_ANY)
-    own = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"), "node_id")))
-    docs = nodes.groupBy("doc_id").agg(own.alias("n"), F.max(has.cast("int")).alias("has")).filter("has = 1")
-    return docs.select("doc_id", F.col("n.text").alias("texts"), F.col("n.node_id").alias("ids")).mapInPandas(run, FACTS)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    n = nodes.select("doc_id", "pos", "node_id", text).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    docs = nodes.select("doc_id", "pos", text).groupBy("doc_id").agg(rows.alias("whole"), F.max(F.col("text").rlike(_ANY)).alias("has")).filter("has")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _matches(F.col("whole"), k).alias("found")) for k in FACT_LABELS])
+    hits = docs.select("doc_id", F.explode(kinds).alias("x")).select("doc_id", "x.kind", F.explode("x.found").alias("f")).select("doc_id", "kind", "f.*").filter("value <> ''")
+    hits = hits.withColumn("bucket", F.floor(F.col("begin") / BUCKET))
+    spans = F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("start") + F.length("text")) / BUCKET))
+    d = hits.join(n.withColumn("bucket", F.explode(spans)), ["doc_id", "bucket"])
+    inside = F.col("begin") - F.col("start")
+    d = d.filter((inside >= 0) & (inside <= F.length("text"))).withColumn("inside", inside.cast("int"))
+    d = d.filter(F.substring("text", F.col("inside") + 1, F.length("value")) == F.col("value"))
+    order = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("k")) - 1
+    d = d.withColumn("ord", order.cast("int")).withColumn("excerpt", F.substring("text", F.greatest(F.lit(0), F.col("inside") - 120) + 1, F.lit(300)))
+    return normalize_text(d, "value", "normalized").select("doc_id", "kind", "ord", "node_id", "value", "normalized", "excerpt")
 
 
 def requirement_ledger(facts: DataFrame) -> DataFrame:

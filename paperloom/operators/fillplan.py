@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import action_id, any_field_pattern, digest, field_pattern, js_trim, label_pattern, normalize_text
-from ..functions.vocab import EMPTY_SLOT, FIELD_SYNONYMS, FIXED_BLANK, FIXED_FIELDS, FORM_FIELDS, IMAGE_MARKER, LEFTOVER, WS
+from ..functions.vocab import EMPTY_SLOT, FIELD_SYNONYMS, FIXED_BLANK, FIXED_FIELDS, FORM_FIELDS, IMAGE_MARKER, LEFTOVER, MARKER, PLACEHOLDER_NAMES, SEPARATOR, WS
 from .templates import _END, adjacent_cells, candidate_nodes, form_slot
 
 CAND = ["doc_id", "candidate_id"]
@@ -23,33 +21,35 @@ def _first_target(hits: DataFrame, fields: DataFrame, by: list[str]) -> DataFram
     return first.join(beside, [*CAND, "node_id"], "left").withColumn("target_node_id", F.coalesce("value_node_id", "node_id")).drop("value_node_id")
 
 
-def form_targets(cands: DataFrame, nodes: DataFrame, form: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(actions, unresolved) of known form values (JN15). `form(form_id, field, value)`; empty values are skipped."""
+def form_targets(cands: DataFrame, nodes: DataFrame, form: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(actions, unresolved) of known form values (JN15). `form(form_id, field, value)`; empty values are skipped.
+
+    `plans(doc_id, candidate_id, form_id)` says which form fills which candidate; nothing else meets.
+    """
     fields = candidate_nodes(cands, nodes.filter("kind <> 'table'"))
     flags = F.array_compact(F.array(*[F.when(form_slot(F.col("text"), f), F.lit(f)) for f in FORM_FIELDS]))
     hits = fields.withColumn("field", F.explode(flags))
     target = _first_target(hits, fields, [*CAND, "field"]).select(*CAND, "field", "target_node_id")
-    want = cands.select(*CAND).crossJoin(F.broadcast(form.filter("coalesce(value, '') <> ''").select("form_id", "field", "value")))  # a form is one page of values
+    want = cands.select(*CAND).join(plans, CAND).join(form.filter("coalesce(value, '') <> ''").select("form_id", "field", "value"), "form_id")
     d = want.join(target, [*CAND, "field"], "left")
     found = d.filter("target_node_id is not null")
     actions = found.select(*CAND, "form_id", action_id(F.col("field"), F.col("target_node_id"), F.col("value")).alias("field_id"), F.col("field").alias("label"), "target_node_id", F.lit("replace").alias("action"), F.lit("user-form").alias("source"), "value")
     return actions, d.filter("target_node_id is null").select(*CAND, "form_id", "field")
 
 
-def extra_targets(cands: DataFrame, nodes: DataFrame, extras: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(actions, unresolved) of user-defined labels (JN16). `extras(form_id, key, label, value)`."""
-    fields = normalize_text(candidate_nodes(cands, nodes.filter("kind <> 'table'")).filter(js_trim(F.col("text")) != ""), "text", "_n")
+def extra_targets(cands: DataFrame, nodes: DataFrame, extras: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(actions, unresolved) of user-defined labels (JN16). `extras(form_id, key, label, value)`.
 
-    @F.pandas_udf("string")
-    def pattern(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else label_pattern(x))
+    `plans(doc_id, candidate_id, form_id)` as for forms: a candidate's nodes meet the labels of its own form only.
+    """
+    fields = normalize_text(candidate_nodes(cands, nodes.filter("kind <> 'table'")).filter(js_trim(F.col("text")) != ""), "text", "_n")
 
-    e = normalize_text(extras.filter("coalesce(value, '') <> ''"), "label", "_key").withColumn("_p", pattern("label")).filter("_key <> ''")
+    e = normalize_text(extras.filter("coalesce(value, '') <> ''"), "label", "_key").withColumn("_p", slot_pattern(F.col("label"))).filter("_key <> ''")
     slot = F.concat(F.lit("(?iu)(?:^|[|]|" + WS + ")(?:"), F.col("_p"), F.lit(")" + WS + "*[：:]" + WS + "*" + EMPTY_SLOT + _END))
-    hits = fields.crossJoin(F.broadcast(e)).withColumn("_slot", slot).filter((F.col("_n") == F.col("_key")) | F.expr("text rlike _slot"))
+    hits = fields.join(plans, CAND).join(e, "form_id").withColumn("_slot", slot).filter((F.col("_n") == F.col("_key")) | F.expr("text rlike _slot"))
     target = _first_target(hits.select(*CAND, "node_id", "pos", "form_id", "key", "label", "value"), fields, [*CAND, "form_id", "key"])
     actions = target.select(*CAND, "form_id", action_id(F.lit("extra"), F.col("key"), F.col("target_node_id"), F.col("value")).alias("field_id"), "label", "target_node_id", F.lit("replace").alias("action"), F.lit("user-form").alias("source"), "value")
-    want = cands.select(*CAND).crossJoin(F.broadcast(e.select("form_id", "key", "label")))
+    want = cands.select(*CAND).join(plans, CAND).join(e.select("form_id", "key", "label"), "form_id")
     return actions, want.join(target, [*CAND, "form_id", "key"], "left_anti").select(*CAND, "form_id", F.col("key").alias("field"))
 
 
@@ -92,60 +92,62 @@ def image_placeholders(nodes: DataFrame) -> DataFrame:
     return d.select(*keep, action_id(F.lit("placeholder"), F.col("node_id"), F.col("ord").cast("string")).alias("field_id"), "ord", "label", type_.alias("placeholder_type"))
 
 
-_SEPARATOR = re.compile("[；;，,\\n]")
-_EMPTY = re.compile(EMPTY_SLOT, re.IGNORECASE)
-_MARKER = re.compile("(?:\\[\\[(?:图片|证照|签章|印章|照片)[^\\]]*\\]\\]|【请插入[：:]?(?:图片|证照|签章|印章|照片)】)")
-_NEXT = re.compile(f"(?=(?:{any_field_pattern()}){WS}*[：:])", re.IGNORECASE)
-_NEXT_SPACED = re.compile(f"{WS}+(?=(?:{any_field_pattern()}){WS}*[：:])", re.IGNORECASE)
-PLACEHOLDER_NAMES = {"image": "图片", "certificate": "证照", "signature": "签章", "stamp": "印章", "text": "文字"}
-
-
-def replace_field_value(text: str, label: str, value: str) -> str:
-    """Put a value after its label: over the placeholder there, else up to a separator or the next label, else to the end."""
-    pattern = field_pattern(label) if label in FIELD_SYNONYMS else label_pattern(label)
-    m = re.search(f"(?:{pattern}){WS}*[：:]?{WS}*", text, re.IGNORECASE) if pattern else None
-    if not m:
-        return value
-    rest = text[m.end() :]
-    blank = _EMPTY.match(rest)
-    if blank:
-        stop = blank.end()
-    else:
-        after = _NEXT_SPACED.search(rest) or _NEXT.search(rest)
-        stop = min([x.start() for x in (_SEPARATOR.search(rest), after) if x], default=len(rest))
-    return text[: m.end()] + value + rest[stop:]
-
-
-def apply_action(text: str, action: str, label: str, value: str | None, placeholder_type: str | None) -> str:
-    """One action on a node's text."""
-    if action == "replace":
-        return replace_field_value(text, label, value or "") if text.strip() else value or ""
-    if action == "placeholder":
-        new = f"【请插入：{PLACEHOLDER_NAMES.get(placeholder_type or 'image', '图片')}】"
-        return _MARKER.sub(lambda _: new, text, count=1) if _MARKER.search(text) else new
-    return text
+_LABEL_AHEAD = f"(?:{any_field_pattern()}){WS}*[：:]"
+_LABEL_END = f"{WS}*[：:]?{WS}*"
+# a value goes on to a separator, to the next label after white space, or, if none follows after white space, to the next label
+_VALUE_END = f"(?={SEPARATOR}|{WS}+{_LABEL_AHEAD}|{_LABEL_AHEAD}(?![\\s\\S]*{WS}{_LABEL_AHEAD})|\\z)"
+
+
+def _literal(c: Column) -> Column:
+    """A replacement text in which nothing refers to a group."""
+    return F.regexp_replace(c, "([\\\\$])", "\\\\$1")
+
+
+def slot_pattern(label: Column) -> Column:
+    """Pattern of a field's synonyms, or of a free label; null for a label without characters (T5)."""
+
+    @F.pandas_udf("string")
+    def free(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else label_pattern(x) or None)
+
+    known = F.create_map(*[F.lit(x) for f in FIELD_SYNONYMS for x in (f, field_pattern(f))])[label]
+    return F.coalesce(known, free(label))
+
+
+def replace_field(text: Column, pattern: Column, value: Column) -> Column:
+    """`value` behind the first label: in place of the placeholder there, else of what stands there up to the end of the value.
+
+    Without the label, or without a pattern, the value is the whole text.
+    """
+    label = F.concat(F.lit("(?iu)(?:"), pattern, F.lit(f"){_LABEL_END}"))
+    whole = F.concat(F.lit("(?iu)\\A([\\s\\S]*?(?:"), pattern, F.lit(f"){_LABEL_END})(?:{EMPTY_SLOT}|[\\s\\S]*?{_VALUE_END})"))
+    return F.when(F.coalesce(F.rlike(text, label), F.lit(False)), F.regexp_replace(text, whole, F.concat(F.lit("$1"), _literal(value)))).otherwise(value)
+
+
+def insert_placeholder(text: Column, placeholder_type: Column) -> Column:
+    """The first image marker replaced by a request for the image, or that request alone."""
+    name = F.coalesce(F.create_map(*[F.lit(x) for kv in PLACEHOLDER_NAMES.items() for x in kv])[F.coalesce(placeholder_type, F.lit("image"))], F.lit(PLACEHOLDER_NAMES["image"]))
+    new = F.concat(F.lit("【请插入："), name, F.lit("】"))
+    return F.when(text.rlike(MARKER), F.regexp_replace(text, F.lit(f"\\A([\\s\\S]*?){MARKER}"), F.concat(F.lit("$1"), new))).otherwise(new)
 
 
 def apply_actions(nodes: DataFrame, actions: DataFrame) -> DataFrame:
-    """Adds `new_text`: the node's ordered actions folded over its text (T8). Nodes without actions stay out of Python.
+    """Adds `new_text`: the node's ordered actions folded over its text (T8), all in SQL functions.
 
     `actions(doc_id, target_node_id, ord, action, label, value, placeholder_type)`.
     """
-    step = F.struct("ord", "action", "label", F.col("value").alias("value"), F.col("placeholder_type").alias("placeholder_type"))
-    per_node = actions.groupBy("doc_id", F.col("target_node_id").alias("node_id")).agg(F.sort_array(F.collect_list(step)).alias("_steps"))
-
-    @F.pandas_udf("string")
-    def fold(text: pd.Series, steps: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(text, steps, strict=True):
-            for a in s:
-                t = apply_action(t or "", a["action"], a["label"], a["value"], a["placeholder_type"])
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    hit = nodes.join(per_node, ["doc_id", "node_id"]).withColumn("new_text", fold("text", "_steps")).drop("_steps")
-    rest = nodes.join(per_node.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti").withColumn("new_text", F.col("text"))
-    return hit.unionByName(rest)
+    value = F.coalesce("value", F.lit(""))
+    step = F.struct("ord", "action", "label", value.alias("value"), "placeholder_type", slot_pattern(F.col("label")).alias("pattern"))
+    steps = actions.select("doc_id", F.col("target_node_id").alias("node_id"), step.alias("step"))
+    per_node = steps.groupBy("doc_id", "node_id").agg(F.sort_array(F.collect_list("step")).alias("steps"))
+
+    def one(text: Column, s: Column) -> Column:
+        filled = F.when(js_trim(text) == "", s["value"]).otherwise(replace_field(text, s["pattern"], s["value"]))
+        return F.when(s["action"] == "replace", filled).when(s["action"] == "placeholder", insert_placeholder(text, s["placeholder_type"])).otherwise(text)
+
+    d = nodes.join(per_node.withColumnRenamed("steps", "_steps"), ["doc_id", "node_id"], "left")
+    folded = F.aggregate("_steps", F.coalesce("text", F.lit("")), one)
+    return d.withColumn("new_text", F.when(F.col("_steps").isNull(), F.col("text")).otherwise(folded)).select(*nodes.columns, "new_text")
 
 
 def leftover_blanks(filled: DataFrame) -> DataFrame:

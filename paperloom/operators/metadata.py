@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
 from ..functions.text import digest, display_value, js_trim
 from ..functions.vocab import INTEGER_BOUNDS
 
@@ -100,7 +101,8 @@ def aliases(occ: DataFrame, salt: bytes, now: int, scope: list[str] | None = Non
     """One alias per (scope, kind, original): stable for a salt, distinct within scope and kind, never the original.
 
     Aliases are made from an HMAC of the key, so no state is shared. Only keys that collide are
-    made again, with the next attempt number; the loop ends when a count of them is zero. `now` is in epoch seconds.
+    made again, with the next attempt number, and a round joins only the aliases that were made in it;
+    the loop ends when none collided. `now` is in epoch seconds.
     """
     scope = scope or ["doc_id"]
     key = [*scope, "kind", "original_value"]
@@ -110,15 +112,22 @@ def aliases(occ: DataFrame, salt: bytes, now: int, scope: list[str] | None = Non
         message = F.concat_ws("\0", "kind", F.lit("string"), "original_value", F.concat_ws("|", *scope), F.col("attempt").cast("string"))
         return x.withColumn("alias", _shape(F.col("kind"), _hmac(salt, message), F.col("original_value"), now))
 
-    out = made(d)
+    holder = [*scope, "kind", "alias"]
+    kept, new = None, stage(made(d), "aliases")
     for _ in range(max_attempts):
-        w = Window.partitionBy(*scope, "kind", "alias").orderBy("attempt", "original_value")
-        clash = F.col("kind").isin(*DISTINCT_KINDS) & ((F.row_number().over(w) > 1) | (F.col("alias") == F.col("original_value")))
-        marked = out.withColumn("_clash", clash)
-        if marked.filter("_clash").limit(1).count() == 0:
-            return out.select(*key, "alias", "attempt")
-        # what clashed is made anew; what holds its alias keeps it by its lower attempt
-        out = made(marked.withColumn("attempt", F.col("attempt") + F.col("_clash").cast("int")).drop("alias", "_clash"))
+        first = F.row_number().over(Window.partitionBy(*holder).orderBy("original_value")) == 1
+        own = F.col("alias").eqNullSafe(F.col("original_value"))
+        marked = new.withColumn("fresh", ~F.col("kind").isin(*DISTINCT_KINDS) | first & ~own)
+        if kept is not None:  # what was settled in an earlier round keeps its alias
+            taken = kept.filter(F.col("kind").isin(*DISTINCT_KINDS)).select(*holder, F.lit(True).alias("taken"))
+            marked = marked.join(taken, holder, "left").withColumn("fresh", F.col("fresh") & F.col("taken").isNull()).drop("taken")
+        marked = stage(marked, "marked")
+        settled = marked.filter("fresh").drop("fresh")
+        kept = settled if kept is None else kept.unionByName(settled)
+        again = marked.filter("not fresh").drop("fresh", "alias").withColumn("attempt", F.col("attempt") + 1)
+        if again.isEmpty():
+            return kept.select(*key, "alias", "attempt")
+        new = stage(made(again), "aliases")
     raise RuntimeError("aliases did not become distinct")
 
 

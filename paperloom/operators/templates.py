@@ -28,12 +28,12 @@ def template_titles(nodes: DataFrame, document_type: str = "docx") -> DataFrame:
 def section_ends(nodes: DataFrame) -> DataFrame:
     """For each heading the place of the next one of the same or a higher rank; null without one (JN5).
 
-    A self range join of headings, which are few per document.
+    One running minimum per level over the document's headings from the last to the first; levels are 1 to 9.
     """
-    h = nodes.filter("kind = 'heading' and level is not null").select("doc_id", "pos", "level")
-    later = h.select(F.col("doc_id").alias("d"), F.col("pos").alias("end_pos"), F.col("level").alias("end_level"))
-    hit = (F.col("doc_id") == F.col("d")) & (F.col("end_pos") > F.col("pos")) & (F.col("end_level") <= F.col("level"))
-    return h.join(later, hit, "left").groupBy("doc_id", "pos").agg(F.min("end_pos").alias("next_pos"))
+    h = nodes.filter("kind = 'heading' and level is not null").select("doc_id", "pos", F.greatest(F.lit(1), F.least(F.lit(9), "level")).alias("rank"))
+    below = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.array(*[F.min(F.when(F.col("rank") <= k, F.col("pos"))).over(below) for k in range(1, 10)])
+    return h.withColumn("nearest", nearest).select("doc_id", "pos", F.element_at("nearest", F.col("rank")).alias("next_pos"))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:

@@ -5,10 +5,17 @@ Names in braces are tables or other corpora.
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.staging import stage
+
 CORPORA: dict[str, str] = {}
 
 CORPORA["deals"] = """
@@ -151,6 +158,13 @@ class Inputs:
                 self._seen[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._seen[name]
 
+    def staged(self, name: str) -> DataFrame:
+        """A corpus that a query reads several times, written once."""
+        key = f"{name} staged"
+        if key not in self._seen:
+            self._seen[key] = stage(self(name), name)
+        return self._seen[key]
+
 
 def with_corpora(body: str, extra: dict[str, str] | None = None) -> str:
     """DuckDB query: `body` with its corpora (names in braces) as common table expressions."""
@@ -206,3 +220,40 @@ CORPORA["filled"] = "SELECT doc_id, pos AS ord, CASE WHEN pos % 13 = 5 THEN text
 CORPORA["cands"] = """
 SELECT doc_id, doc_id || '-' || CAST(pos AS STRING) AS candidate_id, pos AS start_pos, pos + 1 + (pos * 7) % 12 AS end_pos, CAST((pos * 5) % 9 AS INT) AS fillable_slots FROM {template_nodes} WHERE kind = 'heading'"""
 CORPORA["outputs"] = "SELECT doc_id, candidate_id, '资格审查 ' || CAST(start_pos * 6 AS STRING) || ' 章节 15 说明 ECONOMY' AS text FROM {cands}"
+CORPORA["wide_nodes"] = """
+SELECT doc_id, text, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789()', 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ０１２３４５６７８９（）') AS wide FROM {documents}"""
+CORPORA["styled_nodes"] = """
+SELECT 'S' || CAST(o_custkey % 100 AS STRING) AS doc_id, 'p-' || CAST(o_orderkey AS STRING) AS node_id,
+  CASE o_orderkey % 7 WHEN 0 THEN 'h2' WHEN 1 THEN 'title' WHEN 2 THEN 'own' WHEN 3 THEN 'Heading7' WHEN 4 THEN 'body' WHEN 5 THEN 'Heading12' END AS style_id,
+  CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 11 END AS INT) AS outline FROM {orders}"""
+CORPORA["doc_styles"] = """
+SELECT DISTINCT doc_id, s.style_id, s.name, s.outline FROM {styled_nodes} CROSS JOIN (SELECT 'h2' AS style_id, '标题 2' AS name, CAST(NULL AS INT) AS outline UNION ALL SELECT 'title', 'Title', 7 UNION ALL SELECT 'own', 'Body', 4) s"""
+CORPORA["zip_entries"] = """
+SELECT 'Z' || CAST(l_orderkey AS STRING) AS doc_id, CASE l_partkey % 8 WHEN 0 THEN '../up' WHEN 1 THEN '/abs' WHEN 2 THEN 'C:x' WHEN 3 THEN 'a/./b' ELSE 'word/' END || CAST(l_linenumber AS STRING) AS name,
+  CAST(CASE WHEN l_suppkey % 11 = 0 THEN 9 ELSE 8 END AS INT) AS flags, CAST(CASE WHEN l_suppkey % 13 = 0 THEN 41471 ELSE 33188 END AS INT) AS mode,
+  CAST(CASE WHEN l_suppkey % 17 = 0 THEN 300000000 ELSE l_partkey END AS BIGINT) AS size, CAST(CASE WHEN l_suppkey % 17 = 0 THEN 200000000 WHEN l_suppkey % 19 = 0 THEN 0 ELSE l_partkey END AS BIGINT) AS compressed_size FROM {lines}"""
+CORPORA["zip_names"] = """
+SELECT 'Z' || CAST(l_orderkey AS STRING) AS doc_id, CASE l_linenumber WHEN 1 THEN 'Word/document.xml' WHEN 2 THEN '[Content_Types].xml'
+  ELSE CASE l_partkey % 9 WHEN 0 THEN 'word/vbaProject.bin' WHEN 1 THEN '_xmlsignatures/sig1.xml' ELSE 'word/x' || CAST(l_linenumber AS STRING) END END AS name FROM {lines}"""
+CORPORA["log_lines"] = """
+SELECT event_id AS seq, user_id % 13 = 0 AS broken, event_type AS stage, 'd' || CAST(user_id % 50 AS STRING) AS detail_id FROM {events}"""
+CORPORA["doc_xml"] = "SELECT CAST(doc_id AS STRING) AS doc_id, source, text FROM {documents} WHERE text IS NOT NULL"
+
+
+def docx_packages(docs: DataFrame) -> DataFrame:
+    """doc_id and content: a small DOCX package per row of `docs(doc_id, source, text)`, its lines as paragraphs."""
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def package(source: str, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            z.writestr("docProps/core.xml", f"<c><creator>{escape(source)}</creator><revision>3</revision><created>2020-01-01T00:00:00Z</created></c>")
+            z.writestr("word/document.xml", f"<w:document {w}><w:body>" + "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in text.split("\n")) + "</w:body></w:document>")
+        return out.getvalue()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "content": [package(s or "", t) for s, t in zip(b["source"], b["text"], strict=True)]})
+
+    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id string, content binary")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import display_value, escape_html
+from ..functions.staging import stage, stage_dir
+from ..functions.text import display_value, escape_html, normalize_text
 from ..functions.vocab import COMPARED, FACT_LABELS, FORM_FIELDS, PLACEHOLDER, TRANSITIONS
 from ..operators import chunks, facts, fillplan, grounding, metadata, nodes, package, quality, reports, review, tasks, templates
-from .corpora import Inputs, with_corpora
+from ..sources import files
+from .corpora import Inputs, docx_packages, with_corpora
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +56,12 @@ EXTRA = {
     "missing": """SELECT * FROM (SELECT p.pair_id, t.pos, t.node_id, t.text, row_number() OVER (PARTITION BY p.pair_id ORDER BY t.pos) AS r FROM {pairs} p JOIN {tender_nodes} t ON t.doc_id = p.tender_id AND regexp_matches(t.text, '资格|投标函|报价|承诺')
       LEFT JOIN (SELECT doc_id, string_agg(lower(regexp_replace(text, '\\s', '', 'g')), chr(10) ORDER BY pos) AS a FROM {bid_nodes} GROUP BY doc_id) b ON b.doc_id = p.bid_id
       WHERE NOT coalesce(contains(b.a, substr(lower(regexp_replace(t.text, '\\s', '', 'g')), 1, 18)), false)) WHERE r <= 20""",
+    "mismatch_rows": """SELECT m.pair_id, c.place AS ord, m.type, m.summary, c.label, t.node_id AS t_node, b.node_id AS b_node, CASE WHEN c.kind = 'project_number' THEN t.value ELSE t.excerpt END AS t_quote, CASE WHEN c.kind = 'project_number' THEN b.value ELSE b.excerpt END AS b_quote
+      FROM {mismatch} m JOIN {pairs} p ON p.pair_id = m.pair_id JOIN {compared} c ON c.kind = m.kind JOIN {t_facts} t ON t.doc_id = p.tender_id AND t.ord = 0 AND t.kind = m.kind JOIN {b_facts} b ON b.doc_id = p.bid_id AND b.ord = 0 AND b.kind = m.kind""",
+    "mismatch_json": """SELECT *, '[{"document":"tender","nodeId":"' || t_node || '","label":"' || label || '","excerpt":"' || t_quote || '"}]' AS te, '[{"document":"bid","nodeId":"' || b_node || '","label":"' || label || '","excerpt":"' || b_quote || '"}]' AS be FROM {mismatch_rows}""",
+    "finding_rows": """SELECT pair_id, type, 'error' AS severity, summary FROM {mismatch} UNION ALL SELECT pair_id, 'multiple-bidder-names', 'needs-review', summary FROM {many_names} UNION ALL SELECT pair_id, 'internal-conflict', 'needs-review', summary FROM {conflicts}
+      UNION ALL SELECT pair_id, 'role-confusion', 'warning', '投标文件中仍出现招标人主体字段。' FROM {roles} UNION ALL SELECT pair_id, 'template-placeholder', 'warning', '投标文件仍包含未替换的内容：“' || substr(text, 1, 120) || '”。' FROM {blanks}
+      UNION ALL SELECT pair_id, 'missing-response', 'warning', '投标文件可能缺少对应章节：“' || substr(text, 1, 120) || '”。' FROM {missing}""",
     "all_findings": """SELECT pair_id, 'error' AS severity, type FROM {mismatch} UNION ALL SELECT pair_id, 'needs-review', 'multiple-bidder-names' FROM {many_names} UNION ALL SELECT pair_id, 'needs-review', 'internal-conflict' FROM {conflicts}
       UNION ALL SELECT pair_id, 'warning', 'role-confusion' FROM {roles} UNION ALL SELECT pair_id, 'warning', 'template-placeholder' FROM {blanks} UNION ALL SELECT pair_id, 'warning', 'missing-response' FROM {missing}""",
     "doc_lines": "SELECT CAST(doc_id AS STRING) AS doc_id, CAST(pos AS BIGINT) - 1 AS pos, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {documents})",
@@ -69,10 +78,25 @@ EXTRA = {
       FROM {template_nodes} s JOIN {ends} e ON e.doc_id = s.doc_id AND e.pos = s.pos JOIN (SELECT doc_id, max(pos) AS last_pos FROM {template_nodes} WHERE kind NOT IN ('header', 'footer') GROUP BY 1) l ON l.doc_id = s.doc_id
       WHERE s.kind = 'heading' AND regexp_matches(s.text, '资格审')""",
     "pruned": "SELECT * FROM {cands} c WHERE NOT EXISTS (SELECT 1 FROM {cands} o WHERE o.doc_id = c.doc_id AND o.start_pos <= c.start_pos AND o.end_pos >= c.end_pos AND o.fillable_slots > c.fillable_slots)",
+    "slots": """SELECT doc_id, candidate_id, label, CAST(row_number() OVER (PARTITION BY doc_id, candidate_id ORDER BY pos) AS INT) AS n FROM (SELECT c.doc_id, c.candidate_id, label, min(s.pos) AS pos FROM {ranges_or_cands} c JOIN (
+        SELECT doc_id, pos, pos AS upto, replace(text, '：____', '') AS label FROM {template_nodes} WHERE text LIKE '规格%：____'
+        UNION ALL SELECT a.doc_id, a.pos, b.pos, a.text FROM {template_nodes} a JOIN {template_nodes} b ON b.doc_id = a.doc_id AND b.kind = 'cell' AND b.node_id = replace(a.node_id || '$', '-0$', '-1') AND b.text IN ('', '____') WHERE a.kind = 'cell' AND a.text LIKE '型号%'
+      ) s ON s.doc_id = c.doc_id AND s.pos BETWEEN c.start_pos AND c.end_pos AND s.upto BETWEEN c.start_pos AND c.end_pos GROUP BY 1, 2, 3)""",
+    "slots_c": "SELECT * FROM {slots_of_cands} WHERE n <= 30",
+    "known_fields": "SELECT doc_id, pos, node_id, CASE text WHEN '地址：____' THEN 'address' WHEN '联系电话：待填写' THEN 'phone' WHEN '邮箱' THEN 'email' END AS field FROM {template_nodes} WHERE text IN ('地址：____', '联系电话：待填写', '邮箱')",
+    "t17_rows": f"""SELECT r.doc_id, substr(sha256(r.node_id || '|' || e.node_id), 1, 24) AS candidate_id, r.start_pos, e.pos AS end_pos, r.range_kind FROM {{ranges}} r JOIN {{template_nodes}} e ON e.doc_id = r.doc_id AND e.pos = CASE WHEN r.range_kind = 'tight' THEN r.next_pos - 1 ELSE r.last_pos END WHERE r.range_kind IS NOT NULL""",
+    "t17_slots": """SELECT c.doc_id, c.candidate_id, c.start_pos, c.end_pos, c.range_kind, CAST(coalesce(k.n, 0) + coalesce(s.n, 0) AS INT) AS fillable_slots FROM {t17_rows} c
+      LEFT JOIN (SELECT c.doc_id, c.candidate_id, count(DISTINCT field) AS n FROM {t17_rows} c JOIN {known_fields} f ON f.doc_id = c.doc_id AND f.pos BETWEEN c.start_pos AND c.end_pos GROUP BY 1, 2) k ON k.doc_id = c.doc_id AND k.candidate_id = c.candidate_id
+      LEFT JOIN (SELECT doc_id, candidate_id, count(*) AS n FROM {slots_of_t17} WHERE n <= 30 GROUP BY 1, 2) s ON s.doc_id = c.doc_id AND s.candidate_id = c.candidate_id""",
+    "form_values": "SELECT CASE n_nationkey WHEN 3 THEN 'address' WHEN 5 THEN 'phone' ELSE 'bidderName' END AS field, n_name AS value FROM {nation} WHERE n_nationkey IN (3, 5, 7)",
+    "form_hits": "SELECT c.doc_id, c.candidate_id, v.field, v.value, arg_min(f.node_id, f.pos) AS node_id FROM {cands} c JOIN {form_values} v ON true JOIN {known_fields} f ON f.doc_id = c.doc_id AND f.field = v.field AND f.pos BETWEEN c.start_pos AND c.end_pos GROUP BY 1, 2, 3, 4",
     "specs": "SELECT 'core:creator' AS field, 'randomize' AS spec_action UNION ALL SELECT 'app:Company', 'randomize' UNION ALL SELECT 'core:revision', 'randomize' UNION ALL SELECT 'core:created', 'preserve'",
     "sent": "SELECT doc_id, chunk_index, node_id, string_agg(text, chr(10) ORDER BY piece_ord) AS sent FROM {small_chunks_t} GROUP BY 1, 2, 3",
 }
 
+EXTRA["slots_of_cands"] = EXTRA["slots"].replace("{ranges_or_cands}", "{cands}")
+EXTRA["slots_of_t17"] = EXTRA.pop("slots").replace("{ranges_or_cands}", "{t17_rows}")
+
 
 def query(name: str, sql: str | None = None):
     def register(f: Callable[[Inputs], DataFrame]):
@@ -85,7 +109,7 @@ def query(name: str, sql: str | None = None):
 
 
 def both_facts(i: Inputs) -> DataFrame:
-    return facts.extract_facts(i("tender_nodes").unionByName(i("bid_nodes")))
+    return facts.extract_facts(i.staged("tender_nodes").unionByName(i.staged("bid_nodes")))
 
 
 def _flat(f: DataFrame, *more: str) -> DataFrame:
@@ -138,7 +162,7 @@ def _(i):
 
 @query("jn2_missing_response", "SELECT pair_id, node_id FROM {missing}")
 def _(i):
-    return review.missing_response(i("pairs"), i("tender_nodes"), i("bid_nodes")).select("pair_id", F.col("tender_evidence")[0]["nodeId"].alias("node_id"))
+    return review.missing_response(i.staged("pairs"), i.staged("tender_nodes"), i.staged("bid_nodes")).select("pair_id", F.col("tender_evidence")[0]["nodeId"].alias("node_id"))
 
 
 @query(
@@ -151,7 +175,7 @@ def _(i):
 
 
 def all_findings(i) -> DataFrame:
-    return review.deterministic_findings(i("pairs"), i("tender_nodes"), i("bid_nodes"), both_facts(i))
+    return review.deterministic_findings(i.staged("pairs"), i.staged("tender_nodes"), i.staged("bid_nodes"), stage(both_facts(i), "facts"))
 
 
 @query("ag3_finding_counts", "SELECT pair_id, count(*) AS deterministic_count, CAST(0 AS BIGINT) AS ai_count, count(*) AS total FROM {all_findings} GROUP BY 1")
@@ -166,9 +190,10 @@ def _(i):
 
 @query("set1_merge_findings", "SELECT pair_id, count(*) AS deterministic_count, count(*) AS ai_count, 2 * count(*) AS total FROM {mismatch} GROUP BY 1")
 def _(i):
-    rules = review.finish(review.fixed_mismatch(i("pairs"), both_facts(i)))
+    found = stage(review.fixed_mismatch(i.staged("pairs"), both_facts(i)), "mismatches")
+    rules = review.finish(found)
     same = rules.withColumn("source", F.lit("ai"))
-    new = review.finish(review.fixed_mismatch(i("pairs"), both_facts(i)).withColumn("summary", F.concat("summary", F.lit(" ai"))), "ai")
+    new = review.finish(found.withColumn("summary", F.concat("summary", F.lit(" ai"))), "ai")
     return review.finding_counts(review.merge_findings(rules, same.unionByName(new)))
 
 
@@ -186,19 +211,29 @@ def _(i):
     return latest_plan(f, ["doc_id", "kind", "normalized"], ["_neg"]).select("doc_id", "kind", "normalized", "ord")
 
 
-@query("snk1_review_json")
+@query(
+    "snk1_review_json",
+    """SELECT pair_id, '{"schemaVersion":1,"taskId":"' || pair_id || '","findings":[' || string_agg('{"id":"' || substr(sha256(type || '|' || summary || '|' || te || '|' || be), 1, 24) || '","type":"' || type || '","severity":"error","confidence":0.98,"summary":"' || summary || '","tender_evidence":' || te || ',"bid_evidence":' || be || ',"suggestion":"请核对招标文件的固定参数。","source":"deterministic","status":"open"}', ',' ORDER BY ord) || ']}' AS report FROM {mismatch_json} GROUP BY 1""",
+)
 def _(i):
     return reports.review_json(review.finish(review.fixed_mismatch(i("pairs"), both_facts(i))), ["id", "type", "severity", "confidence", "summary", "tender_evidence", "bid_evidence", "suggestion", "source", "status"])
 
 
-@query("snk2_review_html")
+@query(
+    "snk2_review_html",
+    """SELECT pair_id, '<!doctype html><meta charset="utf-8"><title>对照审查</title><h1>对照审查</h1><table>' || string_agg('<tr><td>error</td><td>deterministic</td><td>0.98</td><td>' || summary || '</td><td>请核对招标文件的固定参数。</td><td><ul><li>tender / ' || label || ' / ' || t_node || '：' || t_quote || '</li><li>bid / ' || label || ' / ' || b_node || '：' || b_quote || '</li></ul></td></tr>', '' ORDER BY ord) || '</table>' AS html FROM {mismatch_rows} GROUP BY 1""",
+)
 def _(i):
     return reports.render_review_html(review.finish(review.fixed_mismatch(i("pairs"), both_facts(i))))
 
 
-@query("t3_finding_rows")
+@query(
+    "t3_finding_rows",
+    "SELECT *, CASE WHEN severity = 'error' THEN 0.98 ELSE 0.82 END AS confidence, 'deterministic' AS source, 'open' AS status, true AS id_ok FROM {finding_rows}",
+)
 def _(i):
-    return all_findings(i).select("pair_id", "id", "type", "severity", "confidence", "summary", "source", "status")
+    # ids are checked by their form here, by value in snk1_review_json
+    return all_findings(i).withColumn("id_ok", F.col("id").rlike("^[0-9a-f]{24}\\z")).select("pair_id", "id_ok", "type", "severity", "confidence", "summary", "source", "status")
 
 
 @query(
@@ -233,9 +268,9 @@ def _(i):
     return nodes.document_text(doc_nodes(i)).select("doc_id", F.sha2("text", 256).alias("digest"), "text_length", "n_nodes")
 
 
-@query("ag9_text_layer_gate", "SELECT doc_id, CASE WHEN sum(CASE WHEN pos >= 3 THEN length(text) END) IS NULL OR sum(CASE WHEN pos >= 3 THEN length(text) END) < 8 THEN 'TEXT_LAYER_REQUIRED' END AS error_code FROM {doc_lines} GROUP BY 1")
+@query("ag9_text_layer_gate", "SELECT CAST(d.doc_id AS STRING) AS doc_id, CASE WHEN n.n IS NULL OR n.chars < 8 THEN 'TEXT_LAYER_REQUIRED' WHEN n.chars > 5000000 OR n.n >= 100000 THEN 'FILE_TOO_LARGE' END AS error_code FROM {documents} d LEFT JOIN (SELECT doc_id, sum(length(text)) AS chars, count(*) AS n FROM {doc_lines} GROUP BY 1) n ON n.doc_id = CAST(d.doc_id AS STRING)")
 def _(i):
-    return nodes.text_layer_gate(i("doc_nodes").select(F.col("doc_id").cast("string").alias("doc_id")), doc_nodes(i).filter("pos >= 3"))
+    return nodes.text_layer_gate(i("doc_nodes").select(F.col("doc_id").cast("string").alias("doc_id")), doc_nodes(i))
 
 
 @query("w2_ordinals", "SELECT doc_id, node_id, CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) - 1 AS INT) AS n FROM {template_nodes}")
@@ -348,17 +383,26 @@ def _(i):
     return i("template_nodes").select("doc_id", "node_id", action_id(F.col("doc_id"), F.col("node_id")).alias("action_id"))
 
 
-@query("t4_detect_slots")
+@query(
+    "t4_detect_slots",
+    "SELECT doc_id, candidate_id, label, n FROM {slots_c}",
+)
 def _(i):
     return templates.detected_slots(i("cands"), i("template_nodes"))
 
 
-@query("ag17_fillable_slots")
+@query(
+    "ag17_fillable_slots",
+    "SELECT doc_id, candidate_id, range_kind, fillable_slots, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY fillable_slots DESC, start_pos) AS INT) AS rank FROM {t17_slots} c WHERE NOT EXISTS (SELECT 1 FROM {t17_slots} o WHERE o.doc_id = c.doc_id AND o.start_pos <= c.start_pos AND o.end_pos >= c.end_pos AND o.fillable_slots > c.fillable_slots)) WHERE rank <= 50",
+)
 def _(i):
-    return templates.find_candidates(i("template_nodes")).select("doc_id", "candidate_id", "range_kind", "fillable_slots", "rank")
+    return templates.find_candidates(i.staged("template_nodes")).select("doc_id", "candidate_id", "range_kind", "fillable_slots", "rank")
 
 
-@query("t16_suggested_fields")
+@query(
+    "t16_suggested_fields",
+    "SELECT doc_id, ord, 'slot-' || substr(sha256(label), 1, 12) AS key, label FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_pos, n) AS INT) AS ord FROM (SELECT s.doc_id, s.label, s.n, c.start_pos, row_number() OVER (PARTITION BY s.doc_id, s.label ORDER BY c.start_pos, s.n) AS r FROM {slots_c} s JOIN {cands} c ON c.doc_id = s.doc_id AND c.candidate_id = s.candidate_id) WHERE r = 1) WHERE ord <= 30",
+)
 def _(i):
     s = templates.detected_slots(i("cands"), i("template_nodes")).join(i("cands").select("doc_id", "candidate_id", "start_pos"), ["doc_id", "candidate_id"])
     return reports.suggested_fields(s)
@@ -370,42 +414,65 @@ def _(i):
     return i("template_nodes").select("doc_id", "node_id", F.explode(flags).alias("field"))
 
 
+def _plans(i) -> DataFrame:
+    return i("cands").select("doc_id", "candidate_id", F.lit("form").alias("form_id"))
+
+
 def _form(i) -> DataFrame:
     return i.spark.sql("SELECT DISTINCT 'form' AS form_id, f.field, n_name AS value FROM {nation} JOIN VALUES ('address', 3), ('phone', 5), ('bidderName', 7) AS f(field, k) ON n_nationkey = k", nation=i("nation"))
 
 
-@query("jn15_form_targets")
+@query(
+    "jn15_form_targets",
+    "SELECT doc_id, candidate_id, 'form' AS form_id, substr(sha256(field || '|' || node_id || '|' || value), 1, 24) AS field_id, field AS label, node_id AS target_node_id, 'replace' AS action, 'user-form' AS source, value FROM {form_hits}",
+)
 def _(i):
-    return fillplan.form_targets(i("cands"), i("template_nodes"), _form(i))[0]
+    return fillplan.form_targets(i("cands"), i.staged("template_nodes"), _form(i), _plans(i))[0]
 
 
-@query("ag18_plan_blockers")
+@query(
+    "ag18_plan_blockers",
+    "SELECT c.doc_id, c.candidate_id, 'form' AS form_id, 1 AS unknown_required, 3 - count(h.field) AS unresolved FROM {cands} c LEFT JOIN {form_hits} h ON h.doc_id = c.doc_id AND h.candidate_id = c.candidate_id GROUP BY 1, 2",
+)
 def _(i):
-    return fillplan.plan_blockers(fillplan.form_targets(i("cands"), i("template_nodes"), _form(i))[1])
+    return fillplan.plan_blockers(fillplan.form_targets(i("cands"), i.staged("template_nodes"), _form(i), _plans(i))[1])
 
 
-@query("jn16_extra_targets")
+@query(
+    "jn16_extra_targets",
+    "SELECT doc_id, candidate_id, 'form' AS form_id, substr(sha256('extra|x' || CAST(k AS STRING) || '|' || node_id || '|' || value), 1, 24) AS field_id, '规 格' || CAST(k AS STRING) AS label, node_id AS target_node_id, 'replace' AS action, 'user-form' AS source, value FROM (SELECT c.doc_id, c.candidate_id, n_nationkey AS k, n_name AS value, arg_min(t.node_id, t.pos) AS node_id FROM {cands} c JOIN {nation} ON true JOIN {template_nodes} t ON t.doc_id = c.doc_id AND t.pos BETWEEN c.start_pos AND c.end_pos AND t.text = '规格' || CAST(n_nationkey AS STRING) || '：____' GROUP BY 1, 2, 3, 4)",
+)
 def _(i):
     extras = i.spark.sql("SELECT 'form' AS form_id, 'x' || n_nationkey AS key, '规 格' || n_nationkey AS label, n_name AS value FROM {nation}", nation=i("nation"))
-    return fillplan.extra_targets(i("cands"), i("template_nodes"), extras)[0]
+    return fillplan.extra_targets(i("cands"), i.staged("template_nodes"), extras, _plans(i))[0]
 
 
-@query("jn17_fixed_targets")
+@query(
+    "jn17_fixed_targets",
+    "SELECT doc_id, doc_id AS candidate_id, substr(sha256('tender-fixed|' || label || '|' || node_id || 'x|' || node_id || '|' || value), 1, 24) AS field_id, label, node_id || 'x' AS target_node_id, 'replace' AS action, 'tender-fixed' AS source, value, node_id AS evidence_node_id FROM (SELECT doc_id, node_id, CASE pos WHEN 1 THEN 'projectNumber' WHEN 4 THEN 'duration' ELSE 'qualityStandard' END AS label, substr(text, strpos(text, '：') + 1) AS value FROM {tender_nodes} WHERE pos IN (1, 4, 5))",
+)
 def _(i):
     blanks = i.spark.sql("SELECT doc_id, pos + 100 AS pos, node_id || 'x' AS node_id, 'paragraph' AS kind, CASE pos WHEN 1 THEN '项目编号：____' WHEN 4 THEN '工期：待填写' ELSE '质量标准：____' END AS text FROM {t} WHERE pos IN (1, 4, 5)", t=i("tender_nodes"))
     n = i("tender_nodes").unionByName(blanks)
     cands = n.groupBy("doc_id").agg(F.lit(0).cast("long").alias("start_pos"), F.max("pos").alias("end_pos")).withColumn("candidate_id", F.col("doc_id"))
+    n = stage(n, "blanks")
     return fillplan.fixed_targets(cands, n, facts.extract_facts(n))
 
 
-@query("t8_apply_actions")
+@query(
+    "t8_apply_actions",
+    "SELECT doc_id, node_id, CASE WHEN text = '【请插入：图片】 [[签章]]' THEN '【请插入：签章】 [[签章]]' WHEN text = '【请插入证照】' THEN '【请插入：证照】' WHEN text = '地址：____' THEN '地址：' || doc_id ELSE text END AS new_text FROM {template_nodes}",
+)
 def _(i):
     steps = fillplan.image_placeholders(i("template_nodes")).select("doc_id", F.col("node_id").alias("target_node_id"), "ord", F.lit("placeholder").alias("action"), "label", F.lit(None).cast("string").alias("value"), "placeholder_type")
     form = i("template_nodes").filter("text = '地址：____'").select("doc_id", F.col("node_id").alias("target_node_id"), F.lit(9).alias("ord"), F.lit("replace").alias("action"), F.lit("address").alias("label"), F.col("doc_id").alias("value"), F.lit(None).cast("string").alias("placeholder_type"))
     return fillplan.apply_actions(i("template_nodes"), steps.unionByName(form)).select("doc_id", "node_id", "new_text")
 
 
-@query("ag15_plan_digest")
+@query(
+    "ag15_plan_digest",
+    """SELECT plan_id, sha256('[' || string_agg('{"ord":' || CAST(ord AS STRING) || ',"source":"' || source || '","action":"' || action || '"' || coalesce(',"value":"' || value || '"', '') || coalesce(',"placeholder_type":"' || placeholder_type || '"', '') || coalesce(',"evidence_node_id":"' || evidence_node_id || '"', '') || '}', ',' ORDER BY ord) || ']') AS plan_digest, count(*) AS n_actions FROM {actions_table} GROUP BY 1""",
+)
 def _(i):
     return fillplan.plan_digest(i("actions_table"), ["plan_id"], "ord")
 
@@ -657,6 +724,101 @@ def _(i):
     return tasks.diagnostic_summary(i("diagnostics"), F.lit("d7"), F.lit("2024-01-20").cast("timestamp"))
 
 
+# ---- text, packages and files ---------------------------------------------------------------
+
+
+@query("t1_normalize_text", f"SELECT doc_id, sha256(lower(regexp_replace(text, '{W}+', '', 'g'))) AS digest FROM {{documents}}")
+def _(i):
+    return normalize_text(i("wide_nodes"), "wide", "n").select("doc_id", F.sha2("n", 256).alias("digest"))
+
+
+@query("t5_label_pattern", "SELECT c_custkey, c_custkey % 2 = 0 AS found FROM {customer}")
+def _(i):
+    spaced = F.when(F.col("c_custkey") % 2 == 0, F.regexp_replace("c_name", "(.)", "$1\u3000 ")).otherwise(F.concat(F.lit("x"), F.substring("c_name", 2, 100)))
+    return i("customer").withColumn("p", fillplan.slot_pattern(F.col("c_name"))).withColumn("t", spaced).select("c_custkey", F.expr("t rlike p").alias("found"))
+
+
+@query("t7_replace_field", "SELECT doc_id, node_id, CASE WHEN text LIKE '工期：%' THEN '工期：' || doc_id || '$1' WHEN text LIKE '服务期：%' THEN '服务期：' || doc_id || '$1' ELSE doc_id || '$1' END AS new_text FROM {bid_nodes}")
+def _(i):
+    value = F.concat("doc_id", F.lit("$1"))
+    return i("bid_nodes").withColumn("p", fillplan.slot_pattern(F.lit("duration"))).select("doc_id", "node_id", fillplan.replace_field(F.col("text"), F.col("p"), value).alias("new_text"))
+
+
+@query("tk2_per_key_limits", "SELECT pair_id, node_id FROM {missing} WHERE r <= 3")
+def _(i):
+    need = review.required_sections(i.staged("tender_nodes"))
+    return review.missing_nodes(i.staged("pairs"), need, i.staged("bid_nodes"), most=3).select("pair_id", "node_id")
+
+
+@query(
+    "flt2_outline_levels",
+    """SELECT doc_id, node_id, CAST(CASE WHEN outline BETWEEN 0 AND 8 THEN outline + 1 WHEN style_id = 'h2' THEN 2 WHEN style_id = 'title' THEN 1 WHEN style_id = 'own' THEN 5 WHEN style_id = 'Heading7' THEN 7 WHEN style_id = 'Heading12' THEN 9 END AS INT) AS level FROM {styled_nodes}""",
+)
+def _(i):
+    return nodes.outline_levels(i("styled_nodes"), i("doc_styles")).select("doc_id", "node_id", "level")
+
+
+@query("flt12_randomized_valid", "SELECT doc_id, part, locator, trim(original_value) <> '' AND (value_type <> 'integer' OR regexp_matches(original_value, '^-?[0-9]+$')) AND (value_type <> 'timestamp' OR substr(original_value, 1, 10) <= '2020-01-05') AS valid FROM {occurrences_out}")
+def _(i):
+    valid = metadata.randomized_valid(F.col("original_value"), F.col("value_type"), F.lit("2020-01-05").cast("timestamp"))
+    return i("occurrences_out").select("doc_id", "part", "locator", valid.alias("valid"))
+
+
+@query(
+    "flt14_unsafe_parts",
+    """SELECT * FROM (SELECT doc_id, name, CASE WHEN name LIKE '../%' OR name LIKE '/%' OR name LIKE 'C:%' OR name LIKE '%/./%' THEN 'path' WHEN flags % 2 = 1 THEN 'encrypted' WHEN mode = 41471 THEN 'symlink' WHEN size > 268435456 THEN 'entry-size' WHEN size > 0 AND compressed_size * 100 < size THEN 'ratio' END AS reason FROM {zip_entries}) WHERE reason IS NOT NULL""",
+)
+def _(i):
+    return package.unsafe_parts(i("zip_entries"))
+
+
+@query(
+    "flt15_package_kind",
+    """SELECT doc_id, CASE WHEN NOT bool_or(lower(name) = 'word/document.xml') OR NOT bool_or(lower(name) = '[content_types].xml') THEN 'INVALID_DOCUMENT' WHEN bool_or(name LIKE '%vbaProject.bin') THEN 'MACRO_ENABLED' WHEN bool_or(name LIKE '!_xmlsignatures/%' ESCAPE '!') THEN 'SIGNED_DOCUMENT' END AS error_code FROM {zip_names} GROUP BY 1""",
+)
+def _(i):
+    return package.package_kind(i("zip_names"))
+
+
+@query("src7_read_diagnostics", "SELECT detail_id AS \"detailId\", stage, CAST(seq AS STRING) AS code FROM {log_lines} WHERE NOT broken AND stage IN ('view', 'click')")
+def _(i):
+    event = F.to_json(F.struct(F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.col("detail_id").alias("detailId"), "stage", F.col("seq").cast("string").alias("code")))
+    path = f"{stage_dir(i.spark)}/log-{uuid.uuid4().hex}"
+    i("log_lines").select(F.when(F.col("broken"), F.lit("{not json")).otherwise(event).alias("value")).write.text(path)
+    return files.read_diagnostics(i.spark, path, ["view", "click"]).select("detailId", "stage", "code")
+
+
+@query("src1_file_snapshots")
+def _(i):
+    # the tables' own files: none is a DOCX or PDF
+    return files.file_snapshots(i.spark, f"{i.sf_dir}/documents.parquet")
+
+
+@query(
+    "src2_docx_parts",
+    """SELECT doc_id, ord, name, CASE ord WHEN 0 THEN 8 WHEN 1 THEN strlen(coalesce(source, '')) + 87 END AS size FROM {doc_xml}, (VALUES (0, '[Content_Types].xml'), (1, 'docProps/core.xml'), (2, 'word/document.xml')) AS p(ord, name)""",
+)
+def _(i):
+    parts = files.docx_parts(docx_packages(i("doc_xml")))[0]
+    return parts.select("doc_id", "ord", "name", F.when(F.col("ord") < 2, F.col("size")).alias("size"))
+
+
+@query(
+    "src3_docx_nodes",
+    f"SELECT doc_id, CAST(k - 1 AS BIGINT) AS pos, 'p-' || CAST(k - 1 AS STRING) AS node_id, 'paragraph' AS kind, substr({trim('x')}, 1, 10000) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM {{doc_xml}})",
+)
+def _(i):
+    return files.docx_nodes(files.docx_parts(docx_packages(i("doc_xml")))[0])[0].select("doc_id", "pos", "node_id", "kind", "text")
+
+
+@query(
+    "src5_docx_metadata",
+    """SELECT doc_id, f AS field, a AS action, CASE f WHEN 'core:creator' THEN coalesce(source, '') WHEN 'core:revision' THEN '3' ELSE '2020-01-01T00:00:00Z' END AS original_value FROM {doc_xml}, (VALUES ('core:creator', 'randomize'), ('core:revision', 'randomize'), ('core:created', 'preserve')) AS p(f, a)""",
+)
+def _(i):
+    return files.docx_metadata(files.docx_parts(docx_packages(i("doc_xml")))[0]).select("doc_id", "field", "action", "original_value")
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(Inputs(spark, sf_dir))) for name, f in QUERIES.items()}
 

@@ -19,6 +19,8 @@ from ..schemas import DIAGNOSTICS, PARTS
 
 MAX_FILE = 200 << 20
 MAX_ENTRIES, MAX_TOTAL, MAX_ENTRY = 10_000, 1 << 30, 256 << 20
+#: Bytes of unpacked entries held at once, beside the largest one.
+BATCH = 16 << 20
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _TRIM = re.compile("^[\\s﻿]+|[\\s﻿]+$")
 
@@ -50,28 +52,38 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
 def docx_parts(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parts in archive order, rejects with a code) of `packages(doc_id, content)` (SRC2).
 
-    Entries over the limits come without contents; a broken archive is one reject.
+    Entries over the limits come without contents; a broken archive is one reject. Sizes are checked on
+    the archive's directory first, then entries go out in batches of `BATCH` bytes, so one archive is never unpacked whole.
     """
     names = ["doc_id", "ord", "name", "contents", "is_dir", "method", "flags", "mode", "size", "compressed_size", "error_code"]
 
+    def readable(e: zipfile.ZipInfo) -> bool:
+        return e.file_size <= MAX_ENTRY and not e.flag_bits & 1
+
     def entries(doc: str, content: bytes) -> Iterator[tuple]:
-        total = 0
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             infos = z.infolist()
-            if len(infos) > MAX_ENTRIES:
-                raise ValueError("entries")
+            if len(infos) > MAX_ENTRIES or sum(e.file_size for e in infos) > MAX_TOTAL:
+                raise ValueError("limits")
+            for e in infos:  # checksums first: a broken archive gives no parts
+                if readable(e):
+                    with z.open(e) as f:
+                        while f.read(1 << 20):
+                            pass
             for i, e in enumerate(infos):
-                total += e.file_size
-                if total > MAX_TOTAL:
-                    raise ValueError("total")
-                ok = e.file_size <= MAX_ENTRY and not e.flag_bits & 1
-                yield doc, i, e.filename, z.read(e) if ok else None, e.is_dir(), e.compress_type, e.flag_bits, e.external_attr >> 16, e.file_size, e.compress_size, None
+                yield doc, i, e.filename, z.read(e) if readable(e) else None, e.is_dir(), e.compress_type, e.flag_bits, e.external_attr >> 16, e.file_size, e.compress_size, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, content in zip(b["doc_id"], b["content"], strict=True):
+                rows, size = [], 0
                 try:
-                    rows = list(entries(doc, bytes(content)))
+                    for row in entries(doc, bytes(content)):
+                        rows.append(row)
+                        size += len(row[3] or b"")
+                        if size > BATCH:
+                            yield pd.DataFrame(rows, columns=names, dtype=object)
+                            rows, size = [], 0
                 except Exception:  # noqa: BLE001  whatever is wrong with a file, it is that file's row
                     rows = [(doc, None, None, None, None, None, None, None, None, None, "INVALID_DOCUMENT")]
                 yield pd.DataFrame(rows, columns=names, dtype=object)

