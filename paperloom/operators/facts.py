@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from ..functions.text import normalize_text
 from ..functions.vocab import FACT_LABELS, FACT_NAME, FACT_VALUES, WS
 
 _ANY = "|".join(x for v in FACT_LABELS.values() for x in v)
+#: A node that ends within what stands before a value: the value may be in a later node.
+_OPEN_END = f"(?iu)(?:{_ANY}){WS}*(?:{'|'.join(FACT_NAME.values())})?{WS}*(?:为|[：:])?{WS}*\\z"
 #: Characters of a joined text in one bucket of the join of facts with nodes.
 BUCKET = 4096
 
@@ -19,46 +24,63 @@ def fact_pattern(kind: str) -> str:
     return f"(?iu)(?:{'|'.join(FACT_LABELS[kind])}){WS}*{f'(?:{name}{WS}*)?' if name else ''}(?:为{WS}*|[：:]){WS}*({FACT_VALUES.get(kind, FACT_VALUES['other'])})"
 
 
-def _matches(whole: Column, kind: str) -> Column:
-    """ord, begin (from 0) and value of each match in a text: what lies before a match is the gaps and matches before it."""
+def _matches(text: Column, kind: str) -> Column:
+    """begin (from 0), value and k of each match in a text. A match is the first place of its own string behind the match before it."""
     pattern = fact_pattern(kind)
-    found = F.struct(F.split(whole, pattern, -1).alias("gaps"), F.regexp_extract_all(whole, F.lit(pattern), 0).alias("hits"))
 
-    def places(s: Column) -> Column:
-        def one(hit: Column, k: Column) -> Column:
-            before = F.aggregate(F.slice(s["gaps"], 1, k + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(s["hits"], 1, k), F.lit(0), lambda a, x: a + F.length(x))
-            raw = F.regexp_extract(hit, pattern, 1)
-            lead = F.length(raw) - F.length(F.regexp_replace(raw, f"^{WS}+", ""))
-            value = F.regexp_replace(F.regexp_replace(raw, f"^{WS}+", ""), f"{WS}+\\z", "")
-            return F.struct((before + F.position(raw, hit) - 1 + lead).alias("begin"), value.alias("value"), k.alias("k"))
+    def add(done: Column, hit: Column) -> Column:
+        at = F.position(hit, text, done["next"])
+        raw = F.regexp_extract(hit, pattern, 1)
+        cut = F.regexp_replace(raw, f"^{WS}+", "")
+        begin = at + F.position(raw, hit) - 2 + F.length(raw) - F.length(cut)
+        found = F.struct(begin.alias("begin"), F.regexp_replace(cut, f"{WS}+\\z", "").alias("value"), F.size(done["found"]).alias("k"))
+        return F.struct((at + F.length(hit)).alias("next"), F.concat(done["found"], F.array(found)).alias("found"))
 
-        return F.transform(s["hits"], one)
+    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<begin:int,value:string,k:int>>").alias("found"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), 0), none, add, lambda done: done["found"])
 
-    return F.element_at(F.transform(F.array(found), places), 1)
 
+def _holds(text: Column, kinds: Iterable[str]) -> Column:
+    """The text holds a label of one of the kinds (labels have no case): a plain search before any pattern."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(x)) for k in kinds for x in FACT_LABELS[k]])
 
-def extract_facts(nodes: DataFrame) -> DataFrame:
-    """All labelled facts over the documents' joined texts; a value may stand in the node after its label.
 
-    `nodes(doc_id, pos, node_id, text)`; null texts count as empty. Built-in functions only: the
-    patterns run over the joined text of each document that has a label, and the places found are
-    joined back to the nodes by document and range of characters. A fact counts if its value lies in
-    one node; where a match holds its value twice, its first place counts. Documents are bounded by the text gate.
-    """
-    text = F.coalesce("text", F.lit("")).alias("text")
+def _hits(d: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per match of any kind in `text`: kind, begin, value, k."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(_holds(F.col(text), [k]), _matches(F.col(text), k)).alias("found")) for k in FACT_LABELS])
+    hits = d.select(*keep, F.explode(kinds).alias("x")).select(*keep, "x.kind", F.explode("x.found").alias("f"))
+    return hits.select(*keep, "kind", "f.*").filter("value <> ''")
+
+
+def _over_nodes(n: DataFrame) -> DataFrame:
+    """Facts of documents whose nodes are not whole alone: patterns over the joined text, places joined back to nodes."""
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    n = nodes.select("doc_id", "pos", "node_id", text).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    n = n.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
     rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    docs = nodes.select("doc_id", "pos", text).groupBy("doc_id").agg(rows.alias("whole"), F.max(F.col("text").rlike(_ANY)).alias("has")).filter("has")
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _matches(F.col("whole"), k).alias("found")) for k in FACT_LABELS])
-    hits = docs.select("doc_id", F.explode(kinds).alias("x")).select("doc_id", "x.kind", F.explode("x.found").alias("f")).select("doc_id", "kind", "f.*").filter("value <> ''")
-    hits = hits.withColumn("bucket", F.floor(F.col("begin") / BUCKET))
+    hits = _hits(n.groupBy("doc_id").agg(rows.alias("whole")), "whole", "doc_id").withColumn("bucket", F.floor(F.col("begin") / BUCKET))
     spans = F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("start") + F.length("text")) / BUCKET))
-    d = hits.join(n.withColumn("bucket", F.explode(spans)), ["doc_id", "bucket"])
-    inside = F.col("begin") - F.col("start")
-    d = d.filter((inside >= 0) & (inside <= F.length("text"))).withColumn("inside", inside.cast("int"))
+    d = hits.join(n.withColumn("bucket", F.explode(spans)), ["doc_id", "bucket"]).withColumn("inside", F.col("begin") - F.col("start"))
+    d = d.filter((F.col("inside") >= 0) & (F.col("inside") <= F.length("text")))
+    return d.select("doc_id", "kind", F.lit(0).cast("long").alias("place"), "k", "node_id", "value", F.col("inside").cast("int").alias("inside"), "text")
+
+
+def extract_facts(nodes: DataFrame) -> DataFrame:
+    """All labelled facts over the documents' joined texts; a value may stand in the node after its label.
+
+    `nodes(doc_id, pos, node_id, text)`; null texts count as empty. Built-in functions only. A value
+    ends at its line, so nodes are searched one by one; only documents with a node that ends before
+    its value are searched as joined texts, and the places found there are joined back to the nodes
+    by document and range of characters. A fact counts if its value lies in one node; where a match
+    holds its value twice, its first place counts. Such documents are bounded by the text gate.
+    """
+    n = nodes.select("doc_id", "pos", "node_id", F.coalesce("text", F.lit("")).alias("text"))
+    labelled = n.filter(_holds(F.col("text"), FACT_LABELS))
+    across = labelled.filter(F.col("text").rlike(_OPEN_END)).select("doc_id").distinct()
+    alone = labelled.join(across, "doc_id", "left_anti")
+    alone = _hits(alone, "text", "doc_id", "pos", "node_id", "text").select("doc_id", "kind", F.col("pos").alias("place"), "k", "node_id", "value", F.col("begin").alias("inside"), "text")
+    d = alone.union(_over_nodes(n.join(across, "doc_id", "left_semi")))
     d = d.filter(F.substring("text", F.col("inside") + 1, F.length("value")) == F.col("value"))
-    order = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("k")) - 1
+    order = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("place", "k")) - 1
     d = d.withColumn("ord", order.cast("int")).withColumn("excerpt", F.substring("text", F.greatest(F.lit(0), F.col("inside") - 120) + 1, F.lit(300)))
     return normalize_text(d, "value", "normalized").select("doc_id", "kind", "ord", "node_id", "value", "normalized", "excerpt")
 
