@@ -6,13 +6,11 @@ frame of its own, and carries the user's row as one struct where rows are return
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bitmap import BITMAP_BITS, may_contain  # noqa: F401
+from ..functions.staging import clear_stages, stage, stage_dir  # noqa: F401
 
 #: ASCII white space that separates words: 0x20 and 0x09 to 0x0D.
 WORD_SEP = r"[\x20\x09-\x0D]"
@@ -23,39 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. A temporary one only in local mode; a cluster must name one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stage_dir(spark: SparkSession) -> str:
-    """Where this application stages tables; results that were not written yet still read them."""
-    return f"{shared_dir(spark)}/paperloom/{spark.sparkContext.applicationId}"
-
-
-def clear_stages(spark: SparkSession) -> None:
-    """Remove all tables this application staged, once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` once to the shared folder and read it back.
-
-    A lost executor then costs a re-read of one file, not a re-run of the plan.
-    """
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession, least: int = 8) -> int:
     """Number of shuffle partitions of this session, for salts and bucket counts."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
