@@ -8,6 +8,8 @@ A byte goes if a string of `LENGTH` bytes around it also starts in a document wi
    binary search, which leaves the samples that more than one place has.
 2. Consecutive windows with one shared sample make a block of text. Blocks go to content shards
    by the sample's key, so windows that may be equal meet in one shard. Equal blocks are one.
+   Blocks are counted by key first: a key with more of them than a shard should hold (a 20-gram in
+   very many contexts) is dealt window by window, by key and the window's text.
 3. Every shard builds the suffix array of its blocks by Larsson-Sadakane refinement and
    the longest common prefixes by Kasai's method. Neighbours that share LENGTH bytes are equal
    windows; the smallest document id of each such group goes back to the batches.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,15 +53,15 @@ def _expand(data: bytes, dtype="u1") -> np.ndarray:
 # ---- samples -------------------------------------------------------------------------------
 
 
-def window_samples(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share a sample: first window, number of windows, key of the sampled K-gram.
+def window_samples(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share a sample: first window, number of windows, key of the sampled K-gram, a mark of the run's text (its key and the K-grams at its ends).
 
     `x` holds the documents' bytes one after the other, `ends` where each one ends.
     """
     n = len(x)
     none = np.zeros(0, dtype=np.int64)
     if n < LENGTH:
-        return none, none, np.zeros(0, dtype=np.uint64)
+        return none, none, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     base = 0x9E3779B97F4A7C15
 
     def join(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
@@ -92,7 +95,9 @@ def window_samples(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     new = np.r_[True, (place[1:] != place[:-1]) | ~inside[:-1]] & inside
     first = np.flatnonzero(new)
     stop = np.flatnonzero(inside & np.r_[new[1:] | ~inside[1:], True])
-    return first, stop - first + 1, h[place[first]]
+    key = h[place[first]]
+    mark = (key * np.uint64(base) + h[first]) * np.uint64(base) + h[stop + LENGTH - K]
+    return first, stop - first + 1, key, mark
 
 
 def _split_key(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +105,12 @@ def _split_key(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(64 - bits)).astype(np.int64), ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-BATCH_SCHEMA = "batch long, bucket int, data binary, ids binary, ends binary"
+BATCH_SCHEMA = "batch long, bucket int, data binary, counts binary, ids binary, ends binary"
 
 
 def _batches(docs: DataFrame, bits: int, batch_bytes: int) -> DataFrame:
-    """Per batch one row with its documents (bucket -1) and one per key range with its sorted sample keys."""
-    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("ids", pa.binary()), ("ends", pa.binary())])
+    """Per batch one row with its documents (bucket -1) and one per key range with its sorted sample keys and how many different runs have each."""
+    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("data", "counts", "ids", "ends")]])
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -114,12 +119,17 @@ def _batches(docs: DataFrame, bits: int, batch_bytes: int) -> DataFrame:
             nonlocal number
             x = np.frombuffer(b"".join(texts), dtype=np.uint8)
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            rows = [(number, -1, _squeeze(x.tobytes()), np.array(ids, dtype=np.int64).tobytes(), ends.tobytes())]
-            _, _, key = window_samples(x, ends)
-            bucket, rest = _split_key(np.unique(key), bits)
+            rows = [(number, -1, _squeeze(x.tobytes()), None, np.array(ids, dtype=np.int64).tobytes(), ends.tobytes())]
+            _, _, key, mark = window_samples(x, ends)
+            _, once = np.unique(mark, return_index=True)
+            bucket, rest = _split_key(np.sort(key[once]), bits)
+            head = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (rest[1:] != rest[:-1])]) if len(rest) else np.zeros(0, dtype=np.int64)
+            counts = np.minimum(np.diff(np.r_[head, len(rest)]), 65535).astype(np.uint16)
+            bucket, rest = bucket[head], rest[head]
             cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             for b in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
-                rows.append((number, b, np.unique(rest[cuts[b] : cuts[b + 1]]).tobytes(), None, None))
+                part = slice(cuts[b], cuts[b + 1])
+                rows.append((number, b, rest[part].tobytes(), _squeeze(counts[part].tobytes()), None, None))
             number += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -153,19 +163,24 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(twice))
 
 
-def _shared_keys(keys: DataFrame) -> DataFrame:
+def _shared_keys(keys: DataFrame, hot_runs: int) -> DataFrame:
+    """Per batch and key range the keys that other batches have too, and those of them with over `hot_runs` different runs in all batches."""
+
     def merge(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         runs = [np.frombuffer(d, dtype=np.uint32) for d in f["data"]]
         twice = merge_runs(list(runs))
-        out = []
-        for batch, run in zip(f["batch"], runs, strict=True):
+        total = np.zeros(len(twice), dtype=np.int64)
+        places = []
+        for run, counts in zip(runs, f["counts"], strict=True):
             at = np.searchsorted(twice, run)
-            got = run[(at < len(twice)) & (twice[np.minimum(at, max(0, len(twice) - 1))] == run)] if len(twice) else run[:0]
-            if len(got):
-                out.append((batch, int(key[0]), got.tobytes()))
-        return pd.DataFrame(out, columns=["batch", "bucket", "data"])
+            hit = (at < len(twice)) & (twice[np.minimum(at, max(0, len(twice) - 1))] == run) if len(twice) else np.zeros(len(run), dtype=bool)
+            places.append(at[hit].astype(np.uint32))
+            total[places[-1]] += _expand(counts, np.uint16)[hit]
+        hot = total > hot_runs
+        out = [(batch, int(key[0]), twice[at].tobytes(), twice[at[hot[at]]].tobytes()) for batch, at in zip(f["batch"], places, strict=True) if len(at)]
+        return pd.DataFrame(out, columns=["batch", "bucket", "data", "hot"])
 
-    return keys.groupBy("bucket").applyInPandas(merge, "batch long, bucket int, data binary")
+    return keys.groupBy("bucket").applyInPandas(merge, "batch long, bucket int, data binary, hot binary")
 
 
 # ---- blocks --------------------------------------------------------------------------------
@@ -174,28 +189,39 @@ BLOCK_SCHEMA = "shard int, batch long, data binary, lengths binary, number binar
 
 
 def _find_blocks(row: pd.Series, shared: pd.DataFrame, bits: int) -> tuple:
-    """Bytes, ids and ends of a batch; first window, document and block number of each run with a shared sample; keys and texts of its blocks."""
+    """Bytes, ids and ends of a batch; first window, document and block number of each run with a shared sample; keys and texts of its blocks.
+
+    A run with a hot key is cut into its windows, whose keys take in their texts.
+    """
     x, ids, ends = _expand(row["data"]), np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["ends"], dtype=np.int64)
-    first, count, key = window_samples(x, ends)
+    first, count, key, _ = window_samples(x, ends)
     doc = np.searchsorted(ends, first, side="right")
     use = ids[doc] != NO_ID
     first, count, key, doc = first[use], count[use], key[use], doc[use]
     bucket, rest = _split_key(key, bits)
     whole = (bucket.astype(np.uint64) << np.uint64(32)) | rest
-    known = [np.zeros(0, dtype=np.uint64)]
-    for b, d in zip(shared["bucket"], shared["data"], strict=True):
-        known.append((np.uint64(b) << np.uint64(32)) | np.frombuffer(d, dtype=np.uint32).astype(np.uint64))
+    listed = lambda c: [np.zeros(0, dtype=np.uint64)] + [(np.uint64(b) << np.uint64(32)) | np.frombuffer(d, dtype=np.uint32).astype(np.uint64) for b, d in zip(shared["bucket"], shared[c], strict=True)]
+    known = listed("data")
     # samples that two documents of this batch have
     order = np.lexsort((doc, whole))
     pair = np.flatnonzero((whole[order][1:] == whole[order][:-1]) & (doc[order][1:] != doc[order][:-1]))
     known.append(whole[order][pair])
     use = np.isin(whole, np.unique(np.concatenate(known)))
-    first, count, key, doc = first[use], count[use], key[use], doc[use]
+    first, count, key, doc, whole = first[use], count[use], key[use], doc[use], whole[use]
+    hot = np.isin(whole, np.concatenate(listed("hot")))
+    if hot.any():
+        n = np.where(hot, count, 1)
+        first = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        count, key, doc, hot = np.repeat(np.where(hot, 1, count), n), np.repeat(key, n), np.repeat(doc, n), np.repeat(hot, n)
     text = x.tobytes()
     found: dict[bytes, int] = {}
     number = np.fromiter((found.setdefault(text[a : a + c + LENGTH - 1], len(found)) for a, c in zip(first.tolist(), count.tolist(), strict=True)), dtype=np.int64, count=len(first))
     keys = np.zeros(len(found), dtype=np.uint64)
     keys[number] = key
+    if hot.any():
+        texts = list(found)
+        part = np.unique(number[hot])
+        keys[part] += np.array([zlib.crc32(texts[i]) for i in part.tolist()], dtype=np.uint64) << np.uint64(32)
     return x, ids, ends, first, doc, number, keys, list(found)
 
 
@@ -452,7 +478,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(4, int(np.ceil(np.log2(max(parts(spark), total / RANGE_BYTES)))))
     batches = _bucketed(_batches(d, bits, batch_bytes), "batch", parts(spark))
     payload = batches.filter("bucket = -1").select("batch", "data", "ids", "ends")
-    shared = stage(_shared_keys(batches.filter("bucket >= 0").select("batch", "bucket", "data")), "shared")
+    shared = stage(_shared_keys(batches.filter("bucket >= 0").select("batch", "bucket", "data", "counts"), shard_bytes // (LENGTH + SPAN)), "shared")
     shards = max(4, -(-total // shard_bytes))
 
     def blocks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -460,8 +486,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     made = payload.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(blocks, BLOCK_SCHEMA)
     nothing = F.lit(None).cast("binary")
-    owners = _shard_owners(made).select("batch", F.lit(-1).alias("bucket"), F.col("number").alias("data"), "windows", "owner")
-    marks = shared.select("batch", "bucket", "data", nothing.alias("windows"), nothing.alias("owner")).union(owners)
+    owners = _shard_owners(made).select("batch", F.lit(-1).alias("bucket"), F.col("number").alias("data"), nothing.alias("hot"), "windows", "owner")
+    marks = shared.select("batch", "bucket", "data", "hot", nothing.alias("windows"), nothing.alias("owner")).union(owners)
     schema = "doc_id long, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

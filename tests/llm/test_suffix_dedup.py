@@ -82,3 +82,33 @@ def test_null_repeated_and_empty(spark):
     rows = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in S.remove_repeats(df).collect())
     assert rows == [(0, 0), (3, 0), (3, 0), (4, len(p))]
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_key_in_very_many_contexts(spark):
+    """A hot 20-gram is dealt window by window: no block over one window has it, and the result stays exact."""
+    rng = random.Random(4)
+    ruler = "=" * 24 + " licence " + "=" * 24
+    texts = []
+    for i in range(300):
+        lead, tail = ("".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(2))
+        texts.append(lead + ruler + tail)
+        if i % 3 == 0:  # the same surroundings again, cut short on one side
+            texts.append(lead[rng.randint(0, 30) :] + ruler + tail[: rng.randint(0, 40)])
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert _digest(S.remove_repeats(df, batch_bytes=4000, shard_bytes=2000).collect()) == brute(docs)
+
+    x = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    _, _, key, mark = S.window_samples(x, ends)
+    assert len(np.unique(mark)) > len(np.unique(key))
+    bits = 4
+    bucket, rest = S._split_key(np.unique(key), bits)
+    shared = [{"bucket": int(b), "data": r.tobytes(), "hot": r.tobytes()} for b, r in zip(bucket, rest, strict=True)]
+    row = S.pd.Series({"data": S._squeeze(x.tobytes()), "ids": np.arange(len(texts)).tobytes(), "ends": ends.tobytes()})
+    _, _, _, first, _, number, keys, blocks = S._find_blocks(row, S.pd.DataFrame(shared), bits)
+    assert {len(b) for b in blocks} == {S.LENGTH}
+    assert len(first) == sum(max(0, len(t) - S.LENGTH + 1) for t in texts)
+    assert all(blocks[k] == x[a : a + S.LENGTH].tobytes() for a, k in zip(first.tolist(), number.tolist(), strict=True))
+    assert len(np.unique(keys)) > 0.99 * len(blocks)
