@@ -72,9 +72,9 @@ CORPORA["benchmark_required"] = "SELECT 'bench' AS doc_id, CAST(item_id AS BIGIN
 CORPORA["bid_langs"] = "SELECT lang AS doc_id, CAST(doc_id AS BIGINT) AS pos, text FROM {documents}"
 CORPORA["lang_pairs"] = "SELECT DISTINCT lang AS pair_id, 'bench' AS tender_id, lang AS bid_id FROM {documents}"
 
-# templates: one document per brand; headings, label cells and blanks from parts
+# templates: one document per brand and range of 5000 part keys, so that documents stay small; headings, label cells and blanks from parts
 CORPORA["template_nodes"] = """
-SELECT p_brand AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, step) - 1 AS pos,
+SELECT p_brand || '-' || CAST(CAST(floor(p_partkey / 5000) AS BIGINT) AS STRING) AS doc_id, row_number() OVER (PARTITION BY p_brand, floor(p_partkey / 5000) ORDER BY p_partkey, step) - 1 AS pos,
   CASE WHEN step = 2 THEN 'cell-0-' || CAST(p_partkey AS STRING) || '-0' WHEN step = 3 THEN 'cell-0-' || CAST(p_partkey AS STRING) || '-1'
        ELSE 'p-' || CAST(p_partkey AS STRING) || '-' || CAST(step AS STRING) END AS node_id,
   CASE step WHEN 0 THEN 'heading' WHEN 2 THEN 'cell' WHEN 3 THEN 'cell' WHEN 5 THEN CASE WHEN p_partkey % 6 = 0 THEN 'footer' ELSE 'paragraph' END ELSE 'paragraph' END AS kind,
