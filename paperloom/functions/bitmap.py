@@ -17,5 +17,7 @@ def may_contain(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     at = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
     bits = keys.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
     out = df.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).withColumn("_pos", F.bitmap_bit_position("_at").cast("int"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, _pos div 8 + 1, 1)")), 16, 10).cast("int")
-    return out.join(F.broadcast(bits), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0).drop("_at", "_bucket", "_pos", "_bits")
+    # the hex digit that holds the bit (high half of the byte first) as a number
+    digit = F.ascii(F.expr("substring(hex(substring(_bits, _pos div 8 + 1, 1)), 2 - _pos % 8 div 4, 1)"))
+    half = F.when(digit >= 65, digit - 55).otherwise(digit - 48)
+    return out.join(F.broadcast(bits), "_bucket").filter(half.bitwiseAND(F.expr("shiftleft(1, _pos % 4)")) != 0).drop("_at", "_bucket", "_pos", "_bits")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bitmap import may_contain
+from ..functions.staging import stage
 from ..functions.text import digest, normalize_text
 from ..functions.vocab import COMPARED, PLACEHOLDER, REQUIRED
 from ..schemas import ANCHOR
@@ -112,11 +113,12 @@ def required_sections(nodes: DataFrame, pattern: str = REQUIRED) -> DataFrame:
 
 def _windows(texts: DataFrame, lengths: DataFrame) -> DataFrame:
     """doc_id and key: every substring of `n` of one of the lengths, by pieces so that long texts take linear time."""
-    starts = F.sequence(F.lit(1), F.length("n"), F.lit(PIECE))
-    piece = F.explode(F.transform(starts, lambda i: F.substring(F.col("n"), i, F.lit(PIECE) + F.col("size") - 1))).alias("piece")
-    pieces = texts.filter("n <> ''").join(F.broadcast(lengths)).select("doc_id", "size", piece).filter("length(piece) >= size")
-    at = F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1)
-    return pieces.select("doc_id", F.explode(F.transform(at, lambda j: F.substring(F.col("piece"), j, F.col("size")))).alias("key"))
+    # outer: no filter on the size of the starts is derived, which would normalise every text twice
+    starts = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.length("n"), F.lit(1)), F.lit(PIECE)))
+    pieces = texts.join(F.broadcast(lengths)).select("doc_id", "size", "n", starts.alias("i"))
+    pieces = pieces.select("doc_id", "size", F.substring("n", F.col("i"), F.lit(PIECE) + F.col("size") - 1).alias("piece")).filter("length(piece) >= size")
+    at = F.explode(F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1))
+    return pieces.select("doc_id", "size", "piece", at.alias("j")).select("doc_id", F.substring("piece", F.col("j"), F.col("size")).alias("key"))
 
 
 def missing_nodes(pairs: DataFrame, required: DataFrame, bid_nodes: DataFrame, prefix: int = 18, most: int | None = 20) -> DataFrame:
@@ -127,7 +129,7 @@ def missing_nodes(pairs: DataFrame, required: DataFrame, bid_nodes: DataFrame, p
     of nodes, and no row longer than a node, however many nodes a bid has.
     """
     need = normalize_text(required.select("doc_id", "pos", "node_id", "text"), "text", "n").withColumn("key", F.substring("n", 1, prefix)).drop("n")
-    d = _sided(pairs, need, "tender", "")
+    d = stage(_sided(pairs, need, "tender", ""), "required")  # normalised once, read three times
     keys = d.filter("key <> ''").select(F.col("bid_id").alias("doc_id"), "key").distinct()
     lengths = keys.select(F.length("key").alias("size")).distinct()
     windows = _windows(normalize_text(bid_nodes.select("doc_id", "text"), "text", "n").select("doc_id", "n"), lengths)
