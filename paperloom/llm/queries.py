@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
+from . import ann, line_dedup, merkle, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
 from .common import stage, table
 
 
@@ -55,6 +55,10 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op11(spark, sf_dir: str) -> DataFrame:
+    return merkle.op11(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op8_near_dedup": op8,
         "op9_packing": op9,
         "op10_mixing": op10,
+        "op11_merkle": op11,
     }
 
 
