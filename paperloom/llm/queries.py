@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, merkle, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
+from . import ann, decontamination, line_dedup, merkle, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
 from .common import stage, table
 
 
@@ -59,6 +59,10 @@ def op11(spark, sf_dir: str) -> DataFrame:
     return merkle.op11(table(spark, sf_dir, "documents"))
 
 
+def op12(spark, sf_dir: str) -> DataFrame:
+    return decontamination.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
@@ -72,6 +76,7 @@ def queries() -> dict:
         "op9_packing": op9,
         "op10_mixing": op10,
         "op11_merkle": op11,
+        "op12_decontamination": op12,
     }
 
 
