@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, line_dedup, merkle, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup, toxicity
+from . import ann, decontamination, line_dedup, merkle, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, toxicity
 from .common import stage, table
 
 
@@ -63,6 +63,10 @@ def op12(spark, sf_dir: str) -> DataFrame:
     return decontamination.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13(spark, sf_dir: str) -> DataFrame:
+    return spelling.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
@@ -77,6 +81,7 @@ def queries() -> dict:
         "op10_mixing": op10,
         "op11_merkle": op11,
         "op12_decontamination": op12,
+        "op13_spelling": op13,
     }
 
 
