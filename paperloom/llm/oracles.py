@@ -67,5 +67,97 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y F
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c.b AS component_id, c.b = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY 1) c USING (doc_id)"""
 
 
+#: DuckDB has no crc32: `t` is the table of 256 entries that the sum over a list of bytes needs.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda x: list_reduce([x] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def _crc(data: str) -> str:
+    return f"xor(4294967295, list_reduce([4294967295] || {data}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _bytes(text: str) -> str:
+    """UTF-8 bytes of a string as numbers."""
+    return f"list_transform(range(CAST(strlen({text}) AS BIGINT)), lambda i: CAST(('0x' || substr(hex(encode({text})), 2 * i + 1, 2)) AS BIGINT))"
+
+
+def _nodes(tree: str, leaves: str) -> str:
+    """All nodes of the trees of `leaves(g, i, h, n)`, level by level."""
+    return f"""{tree}_nodes AS (SELECT g, 0 AS level, i, h, n FROM {leaves} UNION ALL
+  SELECT g, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM {tree}_nodes WHERE n > 1 GROUP BY g, level, i // 3),
+{tree}_all AS MATERIALIZED (SELECT * FROM {tree}_nodes)"""
+
+
+def _ways(tree: str, leaves: str) -> str:
+    """From `leaves(id, g, i, now, proof)` up to the top: the folded digest and all siblings."""
+    return f"""{tree}_way AS (SELECT id, g, 0 AS level, i, now, proof FROM {leaves} UNION ALL
+  SELECT w.id, any_value(w.g), any_value(w.level) + 1, any_value(w.i) // 3, sha256(string_agg(CASE WHEN x.i = w.i THEN w.now ELSE x.h END, '' ORDER BY x.i)), any_value(w.proof) || coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i <> w.i), '')
+  FROM {tree}_way w JOIN {tree}_all x ON x.g = w.g AND x.level = w.level AND x.i // 3 = w.i // 3 AND x.n > 1 GROUP BY w.id),
+{tree}_end AS (SELECT id, g, arg_max(now, level) AS now, arg_max(proof, level) AS proof FROM {tree}_way GROUP BY id, g)"""
+
+
+def op11() -> str:
+    """Levels of all trees, and the way of every leaf, by recursion."""
+
+    def leaf(text: str) -> str:
+        fields = (f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256({' || '.join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields)})"
+
+    return f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+h AS (SELECT row_number() OVER () AS id, doc_id, source, {leaf("text")} AS h, {leaf("replace(text, chr(10), '')")} AS other, coalesce({_crc(_bytes("CAST(doc_id AS VARCHAR)"))} % 2 = 0, false) AS even FROM documents, crc),
+leaves AS MATERIALIZED (SELECT id, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, h, CASE WHEN even THEN other ELSE h END AS now FROM h),
+{_nodes("doc", "leaves")},
+subroots AS MATERIALIZED (SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM doc_all WHERE n = 1),
+{_nodes("top", "subroots")},
+{_ways("doc", "(SELECT id, g, i, now, '' AS proof FROM leaves)")},
+{_ways("top", "(SELECT e.id, 0 AS g, s.i, e.now, e.proof FROM doc_end e JOIN subroots s ON s.source = e.g)")},
+root AS (SELECT h FROM top_all WHERE n = 1)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.now AS folded_root, e.now = r.h AS verified
+FROM leaves l JOIN subroots s ON s.source = l.g JOIN top_end e ON e.id = l.id, root r"""
+
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op12(window: int = 10) -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '{word}') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w FROM (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '{word}') AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, least(len(w), {window}) AS n, array_to_string(w[i:i + {window - 1}], ' ') AS g FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - {window - 1}) + 1)) AS i FROM b)),
+ns AS (SELECT DISTINCT n FROM win),
+p AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns)),
+hit AS MATERIALIZED (SELECT p.r, p.i, p.n, win.item FROM p JOIN win ON win.n = p.n AND win.g = p.g),
+words AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY 1),
+met AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(met.n, 0) AS n_items, sha256(coalesce(met.items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN met USING (r)"""
+
+
+def op13() -> str:
+    """Near words by deleted and replaced places instead of letter counts."""
+    return f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+runs AS (SELECT id, w, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) GROUP BY 1, 2),
+h AS (SELECT w, n, {_crc(_bytes("id || ':' || w"))} AS h FROM runs, crc WHERE length(w) >= 5),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+one_less AS (SELECT DISTINCT c.word AS long, c.n AS long_n, w.word AS short, w.n AS short_n FROM cut c JOIN words w ON w.word = c.a || c.b),
+pair AS (SELECT x.word, y.word AS near, y.n FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word UNION ALL SELECT long, short, short_n FROM one_less UNION ALL SELECT short, long, long_n FROM one_less),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'near': near}}) AS best FROM pair GROUP BY 1),
+form AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * w.n THEN best.near END AS form, CASE WHEN -best.less >= 2 * w.n THEN -best.less END AS form_n FROM words w LEFT JOIN best USING (word)),
+step AS (SELECT word, word AS root, 0 AS k FROM form UNION ALL SELECT s.word, f.form, s.k + 1 FROM step s JOIN form f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT word, form, r.root, n, n_near, form_n FROM form JOIN (SELECT word, arg_max(root, k) AS root FROM step GROUP BY 1) r USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": op3(), "op4_quality_rules": op4(), "op7_line_dedup": op7(), "op8_near_dedup": op8()}
+    return {
+        "op3_suffix_dedup": op3(),
+        "op4_quality_rules": op4(),
+        "op7_line_dedup": op7(),
+        "op8_near_dedup": op8(),
+        "op11_merkle": op11(),
+        "op12_decontamination": op12(),
+        "op13_spelling": op13(),
+    }
