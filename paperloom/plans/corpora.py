@@ -166,6 +166,10 @@ class Inputs:
         return self._seen[key]
 
 
+#: Corpora of the twins that are read several times and costly to work out: kept, never inlined.
+KEPT = {"t_facts", "b_facts", "mismatch", "missing"}
+
+
 def with_corpora(body: str, extra: dict[str, str] | None = None) -> str:
     """DuckDB query: `body` with its corpora (names in braces) as common table expressions."""
     extra = extra or {}
@@ -181,7 +185,7 @@ def with_corpora(body: str, extra: dict[str, str] | None = None) -> str:
 
     need(body)
     plain = lambda s: re.sub(r"\{([a-z]\w*)\}", r"\1", s)
-    ctes = ", ".join(f"{n} AS ({plain(extra.get(n) or CORPORA[n])})" for n in order)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' * (n in KEPT)}({plain(extra.get(n) or CORPORA[n])})" for n in order)
     return f"WITH {ctes} {plain(body)}" if ctes else plain(body)
 
 
