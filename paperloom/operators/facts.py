@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
 from ..functions.text import normalize_text
 from ..functions.vocab import FACT_LABELS, FACT_NAME, FACT_VALUES, WS
 
@@ -61,28 +62,38 @@ def _over_nodes(n: DataFrame) -> DataFrame:
     spans = F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("start") + F.length("text")) / BUCKET))
     d = hits.join(n.withColumn("bucket", F.explode(spans)), ["doc_id", "bucket"]).withColumn("inside", F.col("begin") - F.col("start"))
     d = d.filter((F.col("inside") >= 0) & (F.col("inside") <= F.length("text")))
-    return d.select("doc_id", "kind", F.lit(0).cast("long").alias("place"), "k", "node_id", "value", F.col("inside").cast("int").alias("inside"), "text")
+    d = d.filter(F.substring("text", F.col("inside") + 1, F.length("value")) == F.col("value"))
+    d = normalize_text(d.withColumn("inside", F.col("inside").cast("int")), "value", "normalized")
+    return d.select("doc_id", F.lit(0).cast("long").alias("place"), "node_id", "text", "kind", "k", "inside", "value", "normalized")
+
+
+def text_facts(texts: DataFrame) -> DataFrame:
+    """`text, kind, k, inside, value, normalized`: every fact within each of the distinct `texts(text)`."""
+    return normalize_text(_hits(texts, "text", "text").withColumnRenamed("begin", "inside"), "value", "normalized").select("text", "kind", "k", "inside", "value", "normalized")
 
 
 def extract_facts(nodes: DataFrame) -> DataFrame:
     """All labelled facts over the documents' joined texts; a value may stand in the node after its label.
 
-    `nodes(doc_id, pos, node_id, text)`; null texts count as empty. Built-in functions only. A value
-    ends at its line, so nodes are searched one by one; only documents with a node that ends before
-    its value are searched as joined texts, and the places found there are joined back to the nodes
-    by document and range of characters. A fact counts if its value lies in one node; where a match
-    holds its value twice, its first place counts. Such documents are bounded by the text gate.
+    `nodes(doc_id, pos, node_id, text)`, read more than once; null texts count as empty. A value ends at its line, so
+    nodes are searched one by one. Labelled lines repeat from document to document: they make a dictionary
+    of distinct texts, each of which is searched and normalised once, and its facts join the nodes
+    again by text. Only documents with a node that ends before its value are searched as joined
+    texts, and the places found there are joined back to the nodes by document and range of characters. A fact counts
+    if its value lies in one node; where a match holds its value twice, its first place counts. Such documents are bounded by the text gate.
     """
     n = nodes.select("doc_id", "pos", "node_id", F.coalesce("text", F.lit("")).alias("text"))
     labelled = n.filter(_holds(F.col("text"), FACT_LABELS))
-    across = labelled.filter(F.col("text").rlike(_OPEN_END)).select("doc_id").distinct()
-    alone = labelled.join(across, "doc_id", "left_anti")
-    alone = _hits(alone, "text", "doc_id", "pos", "node_id", "text").select("doc_id", "kind", F.col("pos").alias("place"), "k", "node_id", "value", F.col("begin").alias("inside"), "text")
-    d = alone.union(_over_nodes(n.join(across, "doc_id", "left_semi")))
-    d = d.filter(F.substring("text", F.col("inside") + 1, F.length("value")) == F.col("value"))
+    texts = stage(labelled.select("text").distinct().withColumn("open", F.col("text").rlike(_OPEN_END)), "labelled-texts")
+    d = labelled.join(stage(text_facts(texts.select("text")), "text-facts"), "text")
+    d = d.select("doc_id", F.col("pos").alias("place"), "node_id", "text", "kind", "k", "inside", "value", "normalized")
+    open_texts = texts.filter("open").select("text")
+    if not open_texts.isEmpty():
+        across = stage(labelled.join(open_texts, "text", "left_semi").select("doc_id").distinct(), "open-documents")
+        d = d.join(across, "doc_id", "left_anti").union(_over_nodes(n.join(across, "doc_id", "left_semi")))
     order = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("place", "k")) - 1
     d = d.withColumn("ord", order.cast("int")).withColumn("excerpt", F.substring("text", F.greatest(F.lit(0), F.col("inside") - 120) + 1, F.lit(300)))
-    return normalize_text(d, "value", "normalized").select("doc_id", "kind", "ord", "node_id", "value", "normalized", "excerpt")
+    return d.select("doc_id", "kind", "ord", "node_id", "value", "normalized", "excerpt")
 
 
 def requirement_ledger(facts: DataFrame) -> DataFrame:

@@ -112,6 +112,11 @@ def both_facts(i: Inputs) -> DataFrame:
     return facts.extract_facts(i.staged("tender_nodes").unionByName(i.staged("bid_nodes")))
 
 
+def kept_facts(i: Inputs) -> DataFrame:
+    """The facts for rules that read them more than once."""
+    return stage(both_facts(i), "facts")
+
+
 def _flat(f: DataFrame, *more: str) -> DataFrame:
     return f.select("pair_id", "type", "severity", "summary", *more)
 
@@ -131,23 +136,23 @@ def _(i):
 
 @query("jn1_fixed_mismatch", "SELECT pair_id, type, 'error' AS severity, summary, t_node, b_node FROM {mismatch}")
 def fixed_mismatch(i):
-    f = review.fixed_mismatch(i("pairs"), both_facts(i))
+    f = review.fixed_mismatch(i("pairs"), kept_facts(i))
     return f.select("pair_id", "type", "severity", "summary", F.col("tender_evidence")[0]["nodeId"].alias("t_node"), F.col("bid_evidence")[0]["nodeId"].alias("b_node"))
 
 
 @query("ag4_bidder_names", "SELECT pair_id, 'multiple-bidder-names' AS type, 'needs-review' AS severity, summary FROM {many_names}")
 def _(i):
-    return _flat(review.bidder_names(i("pairs"), both_facts(i)))
+    return _flat(review.bidder_names(i("pairs"), kept_facts(i)))
 
 
 @query("ag5_internal_conflicts", "SELECT pair_id, summary, CAST(least(n, 5) AS INT) AS n_evidence FROM {conflicts}")
 def _(i):
-    return review.internal_conflicts(i("pairs"), both_facts(i)).select("pair_id", "summary", F.size("bid_evidence").alias("n_evidence"))
+    return review.internal_conflicts(i("pairs"), kept_facts(i)).select("pair_id", "summary", F.size("bid_evidence").alias("n_evidence"))
 
 
 @query("ag6_role_confusion", "SELECT pair_id, 'warning' AS severity, CAST(n_bid AS INT) AS n_bid, 1 AS n_tender FROM {roles}")
 def _(i):
-    return review.role_confusion(i("pairs"), both_facts(i)).select("pair_id", "severity", F.size("bid_evidence").alias("n_bid"), F.size("tender_evidence").alias("n_tender"))
+    return review.role_confusion(i("pairs"), kept_facts(i)).select("pair_id", "severity", F.size("bid_evidence").alias("n_bid"), F.size("tender_evidence").alias("n_tender"))
 
 
 @query("flt6_placeholder_nodes", "SELECT pair_id, node_id, '投标文件仍包含未替换的内容：“' || substr(text, 1, 120) || '”。' AS summary FROM {blanks}")
@@ -175,7 +180,7 @@ def _(i):
 
 
 def all_findings(i) -> DataFrame:
-    return review.deterministic_findings(i.staged("pairs"), i.staged("tender_nodes"), i.staged("bid_nodes"), stage(both_facts(i), "facts"))
+    return review.deterministic_findings(i.staged("pairs"), i.staged("tender_nodes"), i.staged("bid_nodes"), kept_facts(i))
 
 
 @query("ag3_finding_counts", "SELECT pair_id, count(*) AS deterministic_count, CAST(0 AS BIGINT) AS ai_count, count(*) AS total FROM {all_findings} GROUP BY 1")
@@ -190,7 +195,7 @@ def _(i):
 
 @query("set1_merge_findings", "SELECT pair_id, count(*) AS deterministic_count, count(*) AS ai_count, 2 * count(*) AS total FROM {mismatch} GROUP BY 1")
 def _(i):
-    found = stage(review.fixed_mismatch(i.staged("pairs"), both_facts(i)), "mismatches")
+    found = stage(review.fixed_mismatch(i.staged("pairs"), kept_facts(i)), "mismatches")
     rules = review.finish(found)
     same = rules.withColumn("source", F.lit("ai"))
     new = review.finish(found.withColumn("summary", F.concat("summary", F.lit(" ai"))), "ai")
@@ -199,7 +204,7 @@ def _(i):
 
 @query("q1_check_findings", "SELECT pair_id, 'error-needs-both-sides' AS rule, count(*) AS n FROM {mismatch} GROUP BY 1")
 def _(i):
-    f = review.finish(review.fixed_mismatch(i("pairs"), both_facts(i))).withColumn("bid_evidence", review.none())
+    f = review.finish(review.fixed_mismatch(i("pairs"), kept_facts(i))).withColumn("bid_evidence", review.none())
     return quality.check_findings(f).groupBy("pair_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -216,7 +221,7 @@ def _(i):
     """SELECT pair_id, '{"schemaVersion":1,"taskId":"' || pair_id || '","findings":[' || string_agg('{"id":"' || substr(sha256(type || '|' || summary || '|' || te || '|' || be), 1, 24) || '","type":"' || type || '","severity":"error","confidence":0.98,"summary":"' || summary || '","tender_evidence":' || te || ',"bid_evidence":' || be || ',"suggestion":"请核对招标文件的固定参数。","source":"deterministic","status":"open"}', ',' ORDER BY ord) || ']}' AS report FROM {mismatch_json} GROUP BY 1""",
 )
 def _(i):
-    return reports.review_json(review.finish(review.fixed_mismatch(i("pairs"), both_facts(i))), ["id", "type", "severity", "confidence", "summary", "tender_evidence", "bid_evidence", "suggestion", "source", "status"])
+    return reports.review_json(review.finish(review.fixed_mismatch(i("pairs"), kept_facts(i))), ["id", "type", "severity", "confidence", "summary", "tender_evidence", "bid_evidence", "suggestion", "source", "status"])
 
 
 @query(
@@ -224,7 +229,7 @@ def _(i):
     """SELECT pair_id, '<!doctype html><meta charset="utf-8"><title>对照审查</title><h1>对照审查</h1><table>' || string_agg('<tr><td>error</td><td>deterministic</td><td>0.98</td><td>' || summary || '</td><td>请核对招标文件的固定参数。</td><td><ul><li>tender / ' || label || ' / ' || t_node || '：' || t_quote || '</li><li>bid / ' || label || ' / ' || b_node || '：' || b_quote || '</li></ul></td></tr>', '' ORDER BY ord) || '</table>' AS html FROM {mismatch_rows} GROUP BY 1""",
 )
 def _(i):
-    return reports.render_review_html(review.finish(review.fixed_mismatch(i("pairs"), both_facts(i))))
+    return reports.render_review_html(review.finish(review.fixed_mismatch(i("pairs"), kept_facts(i))))
 
 
 @query(
