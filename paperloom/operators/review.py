@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bitmap import may_contain
+from ..functions.minimisers import index_keys, index_texts
 from ..functions.staging import stage
 from ..functions.text import digest, normalize_text
 from ..functions.vocab import COMPARED, PLACEHOLDER, REQUIRED
@@ -13,8 +14,6 @@ from ..schemas import ANCHOR
 from .facts import requirement_ledger
 
 MAX_ANCHORS = 10
-#: Window starts of one piece of a text.
-PIECE = 256
 
 
 def anchor(document: str, node_id: Column, label: Column, excerpt: Column) -> Column:
@@ -111,30 +110,21 @@ def required_sections(nodes: DataFrame, pattern: str = REQUIRED) -> DataFrame:
     return nodes.filter(F.col("text").rlike("(?iu)" + pattern))
 
 
-def _windows(texts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """doc_id and key: every substring of `n` of one of the lengths, by pieces so that long texts take linear time."""
-    # outer: no filter on the size of the starts is derived, which would normalise every text twice
-    starts = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.length("n"), F.lit(1)), F.lit(PIECE)))
-    pieces = texts.join(F.broadcast(lengths)).select("doc_id", "size", "n", starts.alias("i"))
-    pieces = pieces.select("doc_id", "size", F.substring("n", F.col("i"), F.lit(PIECE) + F.col("size") - 1).alias("piece")).filter("length(piece) >= size")
-    at = F.explode(F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1))
-    return pieces.select("doc_id", "size", "piece", at.alias("j")).select("doc_id", F.substring("piece", F.col("j"), F.col("size")).alias("key"))
-
-
 def missing_nodes(pairs: DataFrame, required: DataFrame, bid_nodes: DataFrame, prefix: int = 18, most: int | None = 20) -> DataFrame:
     """pair_id and required nodes whose first normalised characters no bid node holds (JN2, TK2).
 
-    Normalised text has no white space, so a key lies within one node. Nodes are cut into windows of
-    the keys' lengths (at most `prefix` of them) and joined to the keys of their bid by value: no pairs
-    of nodes, and no row longer than a node, however many nodes a bid has.
+    Normalised text has no white space, so a key lies within one node. Nodes go into an index of sampled
+    windows for the lengths that keys of their bid have; keys meet it by document and gram and are verified on the
+    text around the place. No pairs of nodes, and no row longer than a node, however many nodes a bid has.
     """
     need = normalize_text(required.select("doc_id", "pos", "node_id", "text"), "text", "n").withColumn("key", F.substring("n", 1, prefix)).drop("n")
     d = stage(_sided(pairs, need, "tender", ""), "required")  # normalised once, read three times
-    keys = d.filter("key <> ''").select(F.col("bid_id").alias("doc_id"), "key").distinct()
-    lengths = keys.select(F.length("key").alias("size")).distinct()
-    windows = _windows(normalize_text(bid_nodes.select("doc_id", "text"), "text", "n").select("doc_id", "n"), lengths)
-    mark = F.xxhash64("doc_id", "key")
-    held = may_contain(windows.withColumn("mark", mark), keys.select(mark.alias("mark")), "mark").drop("mark").distinct()
+    keys = stage(index_keys(d.filter("key <> ''").select(F.col("bid_id").alias("doc_id"), "key").distinct()), "keys")
+    sizes = keys.groupBy("doc_id").agg(F.collect_set(F.length("key")).alias("sizes"))
+    places = index_texts(normalize_text(bid_nodes.select("doc_id", "text").filter("text is not null"), "text", "n").join(sizes, "doc_id"))
+    mark = F.xxhash64("doc_id", "gram")
+    held = may_contain(places.withColumn("mark", mark), keys.select(mark.alias("mark")), "mark").drop("mark")
+    held = held.join(keys, ["doc_id", "gram"]).filter(F.contains("context", "key")).select("doc_id", "key").distinct()
     held = held.union(bid_nodes.select("doc_id", F.lit("")).distinct())  # any node holds an empty key
     d = d.join(held.withColumnRenamed("doc_id", "bid_id"), ["bid_id", "key"], "left_anti").select("pair_id", "pos", "node_id", "text")
     if most is None:

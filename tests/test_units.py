@@ -9,6 +9,7 @@ import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +370,15 @@ def test_missing_nodes_without_gathering_a_document(spark):
     assert got == {("p", 3), ("p", 9)} | {("q", i) for i in range(10)} | {("r", i) for i in range(10) if i != 2}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "array_join" not in plan
+
+
+def test_missing_nodes_by_all_pairs(spark):
+    """Many keys of all lengths over few letters, also across the pieces of long texts."""
+    rng = np.random.default_rng(8)
+    text = lambda n, k: "".join(rng.choice(list("abc项目"[:k]), n))
+    bids = [("B" if i % 2 else "C", text(rng.integers(0, 60), 2 + i % 4)) for i in range(60)] + [("B", text(70_000, 5))]
+    need = [text(rng.integers(0, 25), 2 + i % 4) for i in range(300)] + [bids[-1][1][65_525:65_550], bids[-1][1][-18:]]
+    pairs = spark.createDataFrame([("p", "T", "B"), ("q", "T", "C")], "pair_id string, tender_id string, bid_id string")
+    nodes = spark.createDataFrame([(d, i, f"n{i}", t) for i, (d, t) in enumerate(bids)], "doc_id string, pos long, node_id string, text string")
+    got = {(r["pair_id"], r["pos"]) for r in review.missing_nodes(pairs, _nodes(spark, need, "T"), nodes, most=None).collect()}
+    assert got == {(p, i) for p, d in (("p", "B"), ("q", "C")) for i, t in enumerate(need) if not any(t[:18] in x for y, x in bids if y == d)}
