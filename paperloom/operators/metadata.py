@@ -208,6 +208,29 @@ def content_diff(source: DataFrame, output: DataFrame) -> DataFrame:
     return s.join(o, ["doc_id", "name"], "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("doc_id", "name", F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").otherwise("changed").alias("reason"))
 
 
+def masked_content_diff(source: DataFrame, output: DataFrame, source_scan: DataFrame, output_scan: DataFrame) -> DataFrame:
+    """Parts that differ beyond their identity metadata, or stand on one side only (JN9): doc_id, name, reason.
+
+    Parts of the source with a value to randomise are compared by the hash of their masked form, all others byte by byte.
+    A masked part that cannot be read on either side is `invalid`. Parts are hashed before the join.
+    """
+
+    def side(parts: DataFrame, scan: DataFrame, p: str) -> DataFrame:
+        plan = F.exists("occurrences", lambda x: x["action"] == "randomize")
+        masks = scan.select("doc_id", F.col("part").alias("name"), F.col("masked_sha256").alias(p + "mask"), plan.alias(p + "plan"), F.col("error_code").isNotNull().alias(p + "bad"))
+        return parts.select("doc_id", "name", F.sha2("contents", 256).alias(p + "raw")).join(masks, ["doc_id", "name"], "left")
+
+    d = side(source, source_scan, "s_").join(side(output, output_scan, "o_"), ["doc_id", "name"], "full")
+    masked = F.coalesce("s_plan", F.lit(False))
+    reason = (
+        F.when(F.col("o_raw").isNull(), "missing")
+        .when(F.col("s_raw").isNull(), "added")
+        .when(F.coalesce("s_bad", F.lit(False)) | (masked & F.coalesce("o_bad", F.lit(False))), "invalid")
+        .when(F.when(masked, F.col("s_mask") != F.col("o_mask")).otherwise(F.col("s_raw") != F.col("o_raw")), "changed")
+    )
+    return d.withColumn("reason", reason).filter("reason is not null").select("doc_id", "name", "reason")
+
+
 def structure_diff(source: DataFrame, output: DataFrame) -> DataFrame:
     """Grouped fingerprints (number of parts, names, sizes) that differ between two versions (JN10)."""
     f = lambda d, p: d.groupBy("doc_id").agg(F.count(F.lit(1)).alias(p + "n"), digest(F.array_join(F.sort_array(F.collect_list("name")), "|")).alias(p + "names"), F.sum(F.length("contents")).alias(p + "size"))

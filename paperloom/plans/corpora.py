@@ -261,3 +261,63 @@ def docx_packages(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "content": [package(s or "", t) for s, t in zip(b["source"], b["text"], strict=True)]})
 
     return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id string, content binary")
+
+
+CORPORA["office_docs"] = "SELECT CAST(doc_id AS BIGINT) AS k, source, lang, text FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL"
+
+
+def office_packages(docs: DataFrame, output: bool = False) -> DataFrame:
+    """doc_id (`k`), content: a whole DOCX package per row of `docs(k, source, lang, text)`, or what a sanitiser made of it.
+
+    Packages hold types, relationships, properties, styles, a header, comments and a revision; by remainders of `k` some have a
+    fault in one of them, and outputs differ from their sources in more than the values of identity metadata.
+    """
+    o = "http://schemas.openxmlformats.org/"
+    main = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+    q = {'"': "&quot;"}
+
+    def package(k: int, source: str, lang: str, text: str) -> bytes:
+        who, w = escape(source, q), f'xmlns:w="{o}wordprocessingml/2006/main"'
+        new = lambda old, value: value if output else old
+        type_ = "application/vnd.ms-word.document.macroEnabled.main+xml" if k % 17 == 5 else main
+        signed = f'<Override PartName="/sig.bin" ContentType="application/vnd.openxmlformats-package.digital-signature-origin"/>' if k % 19 == 3 else ""  # noqa: F541
+        parts = {"[Content_Types].xml": f'<Types xmlns="{o}package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{type_}"/>{signed}</Types>'}
+        if k % 23 != 4:
+            parts["_rels/.rels"] = f'<Relationships xmlns="{o}package/2006/relationships"><Relationship Id="r1" Type="{o}officeDocument/2006/relationships/officeDocument" Target="{"/" * (k % 2)}word/document.xml"/></Relationships>'
+        revision = str(k) if k % 13 else new("n/a", "n/b")
+        parts["docProps/core.xml"] = (
+            f'<cp:coreProperties xmlns:cp="{o}package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:dcterms="http://purl.org/dc/terms/">'
+            f'<dc:creator>{new(who, f"Person-{k}")}</dc:creator><cp:revision>{new(revision, "7") if k % 13 else revision}</cp:revision><dcterms:created>2020-01-01T00:00:00Z</dcterms:created><dc:title>{new(escape(lang), "Title")}</dc:title><creator>kept</creator></cp:coreProperties>'
+        )
+        vt = "vt:"
+        parts["docProps/custom.xml"] = (
+            f'<Properties xmlns="{o}officeDocument/2006/custom-properties" xmlns:vt="{o}officeDocument/2006/docPropsVTypes"><property name="a"><{vt}ui1>{new(str(k % 300), "9") if k % 300 < 256 else k % 300}</{vt}ui1></property>'
+            f'<property name="b"><{vt}lpwstr>{new("own", "other")}</{vt}lpwstr></property><property name="c"><{vt}blob>x</{vt}blob></property><property name="d"/></Properties>'
+        )
+        body = text.replace(" the ", " thy ", 1) if output and k % 7 == 0 else text
+        rows = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in body.split("\n"))
+        parts["word/document.xml"] = f'<w:document {w}><w:body><w:p w:author="kept"><w:ins w:id="1" w:author="{new(who, "P")}" w:date="{new("2021-02-03T04:05:06Z", "2020-01-01T00:00:00Z")}"/></w:p>{rows}</w:body></w:document>'
+        date = "bad" if k % 7 == 1 else new("2021-02-03T04:05:06Z", "2020-01-01T00:00:00Z")
+        parts["word/comments.xml"] = f'<w:comments {w}><w:comment w:id="{int(output and k % 11 == 0)}" w:author="{new(who, "P")}" w:initials="{new("AB", "CD")}" w:date="{date}"><w:p/></w:comment></w:comments>'
+        parts["word/header1.xml"] = f'<w:hdr {w}><w:p><w:r><w:t>{escape(lang)}</w:t></w:r></w:p></w:hdr>' + "\n" * (output and k % 5 == 2)
+        if not (output and k % 10 == 3):
+            parts["word/styles.xml"] = f'<w:styles {w}><w:style w:styleId="a3"><w:name w:val="heading 2"/></w:style></w:styles>'
+        if output and k % 10 == 4:
+            parts["customXml/item1.xml"] = "<x/>"
+        target = "../../up.xml" if k % 29 == 1 else "%2e%2e/word/styles.xml" if k % 31 == 2 else "gone.xml" if k % 37 == 0 else "styles.xml" if k % 2 else "/word/styles.xml"
+        kind = "digital-signature/origin" if k % 41 == 6 else "comments"
+        links = [("styles", target, ""), (kind, "./comments.xml", ""), ("header", "header1.xml?x#top", ""), ("hyperlink", "https://example.org/a b", ' TargetMode="External"')]
+        rels = "".join(f'<Relationship Id="r{i}" Type="{o}relationships/{a}" Target="{b}"{c}/>' for i, (a, b, c) in enumerate(links))
+        ghost = "word/_rels/ghost.xml.rels" if k % 43 == 5 else "word/_rels/document.xml.rels"
+        parts[ghost] = f'<Relationships xmlns="{o}package/2006/relationships">{rels}</Relationships>'
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, contents in parts.items():
+                z.writestr(name, contents)
+        return out.getvalue()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["k"].astype(str), "content": [package(int(k), s or "", x or "", t) for k, s, x, t in zip(b["k"], b["source"], b["lang"], b["text"], strict=True)]})
+
+    return docs.select("k", "source", "lang", "text").mapInPandas(run, "doc_id string, content binary")

@@ -12,8 +12,8 @@ from ..functions.staging import stage, stage_dir
 from ..functions.text import display_value, escape_html, normalize_text
 from ..functions.vocab import COMPARED, FACT_LABELS, FORM_FIELDS, PLACEHOLDER, TRANSITIONS
 from ..operators import chunks, facts, fillplan, grounding, metadata, nodes, package, quality, reports, review, tasks, templates
-from ..sources import files
-from .corpora import Inputs, docx_packages, with_corpora
+from ..sources import files, packages
+from .corpora import Inputs, docx_packages, office_packages, with_corpora
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -630,7 +630,7 @@ def _(i):
     LEFT JOIN {parts_src} p ON p.doc_id = r.doc_id AND p.name = r.path GROUP BY 1""",
 )
 def _(i):
-    return package.relationship_audit(i("rels"), i("parts_src"))
+    return package.relationship_audit(i("rels"), i("parts_src")).drop("unsafe")
 
 
 # ---- requests and responses ----------------------------------------------------------------
@@ -824,6 +824,85 @@ def _(i):
     return files.docx_metadata(files.docx_parts(docx_packages(i("doc_xml")))[0]).select("doc_id", "field", "action", "original_value")
 
 
+# ---- whole packages ------------------------------------------------------------------------
+
+
+def office_parts(i: Inputs, output: bool = False) -> DataFrame:
+    """Parts of the packages made from the documents, unpacked once."""
+    return stage(files.docx_parts(office_packages(i("office_docs"), output))[0], "office-parts")
+
+
+@query(
+    "src2_package_relationships",
+    """SELECT CAST(k AS STRING) AS doc_id, source_part, rel_id, target, external, path FROM (
+      SELECT k, '' AS source_part, 'r1' AS rel_id, repeat('/', CAST(k % 2 AS INT)) || 'word/document.xml' AS target, false AS external, 'word/document.xml' AS path FROM {office_docs} WHERE k % 23 <> 4
+      UNION ALL SELECT k, CASE WHEN k % 43 = 5 THEN 'word/ghost.xml' ELSE 'word/document.xml' END, 'r' || r.i,
+        CASE r.i WHEN 0 THEN CASE WHEN k % 29 = 1 THEN '../../up.xml' WHEN k % 31 = 2 THEN '%2e%2e/word/styles.xml' WHEN k % 37 = 0 THEN 'gone.xml' WHEN k % 2 = 1 THEN 'styles.xml' ELSE '/word/styles.xml' END WHEN 1 THEN './comments.xml' WHEN 2 THEN 'header1.xml?x#top' ELSE 'https://example.org/a b' END,
+        r.i = 3,
+        CASE r.i WHEN 0 THEN CASE WHEN k % 29 = 1 OR k % 31 = 2 THEN NULL WHEN k % 37 = 0 THEN 'word/gone.xml' ELSE 'word/styles.xml' END WHEN 1 THEN 'word/comments.xml' WHEN 2 THEN 'word/header1.xml' END
+      FROM {office_docs}, (VALUES (0), (1), (2), (3)) AS r(i))""",
+)
+def _(i):
+    r = packages.relationships(files.docx_parts(office_packages(i("office_docs")))[0])
+    return r.select("doc_id", "source_part", "rel_id", "target", "external", package.resolved_target(F.col("source_part"), F.col("target")).alias("path"))
+
+
+@query(
+    "flt15_inspect_packages",
+    """SELECT CAST(k AS STRING) AS doc_id, CASE WHEN k % 23 = 4 THEN 'INVALID_DOCUMENT' WHEN k % 17 = 5 THEN 'UNSUPPORTED_TYPE' WHEN k % 19 = 3 THEN 'SIGNED_DOCUMENT' WHEN k % 43 = 5 THEN 'INVALID_DOCUMENT'
+      WHEN k % 29 = 1 OR k % 31 = 2 OR k % 37 = 0 THEN 'INVALID_DOCUMENT' WHEN k % 41 = 6 THEN 'SIGNED_DOCUMENT' END AS error_code, CAST(1 AS BIGINT) AS external FROM {office_docs}""",
+)
+def _(i):
+    parts = office_parts(i)
+    return package.inspect_packages(parts, packages.content_types(parts), packages.relationships(parts))
+
+
+@query(
+    "jn11_package_relationships",
+    """SELECT CAST(k AS STRING) AS doc_id, CAST(CASE WHEN k % 43 = 5 THEN 4 ELSE 0 END AS BIGINT) AS no_source, CAST(CASE WHEN k % 29 = 1 OR k % 31 = 2 OR k % 37 = 0 THEN 1 ELSE 0 END AS BIGINT) AS no_target,
+      CAST(1 AS BIGINT) AS external, CAST(CASE WHEN k % 29 = 1 OR k % 31 = 2 THEN 1 ELSE 0 END AS BIGINT) AS unsafe FROM {office_docs}""",
+)
+def _(i):
+    parts = office_parts(i)
+    return package.relationship_audit(packages.relationships(parts), parts)
+
+
+@query(
+    "src5_package_metadata",
+    """SELECT CAST(k AS STRING) AS doc_id, part, field, action, replacement_kind, value FROM (
+      SELECT k, 'docProps/core.xml' AS part, 'core:creator' AS field, 'randomize' AS action, 'person' AS replacement_kind, coalesce(source, '') AS value FROM {office_docs}
+      UNION ALL SELECT k, 'docProps/core.xml', 'core:revision', CASE WHEN k % 13 = 0 THEN 'warn' ELSE 'randomize' END, CASE WHEN k % 13 <> 0 THEN 'integer' END, CASE WHEN k % 13 = 0 THEN 'n/a' ELSE CAST(k AS STRING) END FROM {office_docs}
+      UNION ALL SELECT k, 'docProps/core.xml', 'core:created', 'preserve', NULL, '2020-01-01T00:00:00Z' FROM {office_docs}
+      UNION ALL SELECT k, 'docProps/core.xml', 'core:title', 'randomize', 'description', coalesce(lang, '') FROM {office_docs}
+      UNION ALL SELECT k, 'docProps/custom.xml', 'custom:property:1', CASE WHEN k % 300 < 256 THEN 'randomize' ELSE 'warn' END, CASE WHEN k % 300 < 256 THEN 'integer' END, CAST(k % 300 AS STRING) FROM {office_docs}
+      UNION ALL SELECT k, 'docProps/custom.xml', 'custom:property:2', 'randomize', 'description', 'own' FROM {office_docs}
+      UNION ALL SELECT k, 'docProps/custom.xml', 'custom:property:3', 'warn', NULL, 'x' FROM {office_docs}
+      UNION ALL SELECT k, 'docProps/custom.xml', 'custom:property:4', 'warn', NULL, '' FROM {office_docs}
+      UNION ALL SELECT k, p.part, p.part || ':w:author', 'randomize', 'person', coalesce(source, '') FROM {office_docs}, (VALUES ('word/document.xml'), ('word/comments.xml')) AS p(part)
+      UNION ALL SELECT k, 'word/comments.xml', 'word/comments.xml:w:initials', 'randomize', 'initials', 'AB' FROM {office_docs}
+      UNION ALL SELECT k, 'word/document.xml', 'word/document.xml:w:date', 'randomize', 'timestamp', '2021-02-03T04:05:06Z' FROM {office_docs}
+      UNION ALL SELECT k, 'word/comments.xml', 'word/comments.xml:w:date', CASE WHEN k % 7 = 1 THEN 'warn' ELSE 'randomize' END, CASE WHEN k % 7 <> 1 THEN 'timestamp' END, CASE WHEN k % 7 = 1 THEN 'bad' ELSE '2021-02-03T04:05:06Z' END FROM {office_docs})""",
+)
+def _(i):
+    scanned = packages.scan_metadata_parts(files.docx_parts(office_packages(i("office_docs")))[0])
+    return packages.package_occurrences(scanned).select("doc_id", "part", "field", "action", "replacement_kind", F.col("original_value").alias("value"))
+
+
+@query(
+    "jn9_masked_content",
+    """SELECT CAST(k AS STRING) AS doc_id, name, reason FROM (
+      SELECT k, 'word/document.xml' AS name, 'changed' AS reason FROM {office_docs} WHERE k % 7 = 0 AND contains(text, ' the ')
+      UNION ALL SELECT k, 'word/comments.xml', 'changed' FROM {office_docs} WHERE k % 11 = 0
+      UNION ALL SELECT k, 'docProps/core.xml', 'changed' FROM {office_docs} WHERE k % 13 = 0
+      UNION ALL SELECT k, 'word/header1.xml', 'changed' FROM {office_docs} WHERE k % 5 = 2
+      UNION ALL SELECT k, 'word/styles.xml', 'missing' FROM {office_docs} WHERE k % 10 = 3
+      UNION ALL SELECT k, 'customXml/item1.xml', 'added' FROM {office_docs} WHERE k % 10 = 4)""",
+)
+def _(i):
+    source, output = office_parts(i), office_parts(i, output=True)
+    return metadata.masked_content_diff(source, output, packages.scan_metadata_parts(source), packages.scan_metadata_parts(output))
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(Inputs(spark, sf_dir))) for name, f in QUERIES.items()}
 
