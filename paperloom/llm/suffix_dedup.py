@@ -39,6 +39,7 @@ from .common import parts, stage, stage_dir
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1  # K-grams in a window
 BATCH_BYTES, SHARD_BYTES, RANGE_BYTES = 4_000_000, 4_000_000, 256_000_000
+#: Stands for no owner of a window: the largest id is never smaller than another.
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -105,6 +106,17 @@ def _split_key(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(64 - bits)).astype(np.int64), ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _pack_ids(ids: list) -> bytes:
+    """Ids, then a mask of the nulls if there are any: every long is an id."""
+    null = np.array([i is None for i in ids], dtype=bool)
+    return np.array([NO_ID if i is None else i for i in ids], dtype=np.int64).tobytes() + null.tobytes() * bool(null.any())
+
+
+def _unpack_ids(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    null = np.frombuffer(data, dtype=bool, offset=8 * n) if len(data) > 8 * n else np.zeros(n, dtype=bool)
+    return np.frombuffer(data, dtype=np.int64, count=n), null
+
+
 BATCH_SCHEMA = "batch long, bucket int, data binary, counts binary, ids binary, ends binary"
 
 
@@ -119,7 +131,7 @@ def _batches(docs: DataFrame, bits: int, batch_bytes: int) -> DataFrame:
             nonlocal number
             x = np.frombuffer(b"".join(texts), dtype=np.uint8)
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            rows = [(number, -1, _squeeze(x.tobytes()), None, np.array(ids, dtype=np.int64).tobytes(), ends.tobytes())]
+            rows = [(number, -1, _squeeze(x.tobytes()), None, _pack_ids(ids), ends.tobytes())]
             _, _, key, mark = window_samples(x, ends)
             _, once = np.unique(mark, return_index=True)
             bucket, rest = _split_key(np.sort(key[once]), bits)
@@ -140,7 +152,7 @@ def _batches(docs: DataFrame, bits: int, batch_bytes: int) -> DataFrame:
                 if texts and size + len(t) > batch_bytes:
                     yield finish(ids, texts)
                     ids, texts, size = [], [], 0
-                ids.append(NO_ID if i is None else i)
+                ids.append(i)
                 texts.append(t)
                 size += len(t)
         if texts:
@@ -189,14 +201,15 @@ BLOCK_SCHEMA = "shard int, batch long, data binary, lengths binary, number binar
 
 
 def _find_blocks(row: pd.Series, shared: pd.DataFrame, bits: int) -> tuple:
-    """Bytes, ids and ends of a batch; first window, document and block number of each run with a shared sample; keys and texts of its blocks.
+    """Bytes, ids, mask of null ids and ends of a batch; first window, document and block number of each run with a shared sample; keys and texts of its blocks.
 
     A run with a hot key is cut into its windows, whose keys take in their texts.
     """
-    x, ids, ends = _expand(row["data"]), np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["ends"], dtype=np.int64)
+    x, ends = _expand(row["data"]), np.frombuffer(row["ends"], dtype=np.int64)
+    ids, null = _unpack_ids(row["ids"], len(ends))
     first, count, key, _ = window_samples(x, ends)
     doc = np.searchsorted(ends, first, side="right")
-    use = ids[doc] != NO_ID
+    use = ~null[doc]
     first, count, key, doc = first[use], count[use], key[use], doc[use]
     bucket, rest = _split_key(key, bits)
     whole = (bucket.astype(np.uint64) << np.uint64(32)) | rest
@@ -222,7 +235,7 @@ def _find_blocks(row: pd.Series, shared: pd.DataFrame, bits: int) -> tuple:
         texts = list(found)
         part = np.unique(number[hot])
         keys[part] += np.array([zlib.crc32(texts[i]) for i in part.tolist()], dtype=np.uint64) << np.uint64(32)
-    return x, ids, ends, first, doc, number, keys, list(found)
+    return x, ids, null, ends, first, doc, number, keys, list(found)
 
 
 def _blocks_of_batch(payload: pd.DataFrame, shared: pd.DataFrame, bits: int, shards: int) -> pd.DataFrame:
@@ -231,7 +244,7 @@ def _blocks_of_batch(payload: pd.DataFrame, shared: pd.DataFrame, bits: int, sha
     if not len(payload):
         return pd.DataFrame([], columns=columns)
     row = payload.iloc[0]
-    _, ids, _, _, doc, number, keys, texts = _find_blocks(row, shared, bits)
+    _, ids, _, _, _, doc, number, keys, texts = _find_blocks(row, shared, bits)
     low, high = np.full(len(texts), NO_ID, dtype=np.int64), np.full(len(texts), -NO_ID, dtype=np.int64)
     np.minimum.at(low, number, ids[doc])
     np.maximum.at(high, number, ids[doc])
@@ -416,7 +429,7 @@ def _cut_batch(payload: pd.DataFrame, marks: pd.DataFrame, bits: int, with_text:
         return pd.DataFrame([], columns=columns)
     row = payload.iloc[0]
     got = marks[marks["owner"].notna()]
-    x, ids, ends, first, doc, number, _, _ = _find_blocks(row, marks[marks["owner"].isna()], bits)
+    x, ids, null, ends, first, doc, number, _, _ = _find_blocks(row, marks[marks["owner"].isna()], bits)
     depth = np.zeros(len(x) + 1, dtype=np.int64)
     if len(got):
         block = np.concatenate([_expand(d, np.uint32) for d in got["data"]])
@@ -442,15 +455,16 @@ def _cut_batch(payload: pd.DataFrame, marks: pd.DataFrame, bits: int, with_text:
     text = x.tobytes()
     rows = []
     i0, i1 = np.searchsorted(a, starts), np.searchsorted(a, ends)
-    for own, s, e, p, q in zip(ids.tolist(), starts.tolist(), ends.tolist(), i0.tolist(), i1.tolist(), strict=True):
+    for own, unknown, s, e, p, q in zip(ids.tolist(), null.tolist(), starts.tolist(), ends.tolist(), i0.tolist(), i1.tolist(), strict=True):
         kept, at = [], s
         for u, v in zip(a[p:q].tolist(), b[p:q].tolist(), strict=True):
             kept.append(text[at:u])
             at = v
         kept.append(text[at:e])
         left = b"".join(kept)
-        rows.append((None if own == NO_ID else own, e - s, e - s - len(left), a[p:q] - s, b[p:q] - s, hashlib.sha256(left).hexdigest(), left)[: len(columns)])
-    return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+        rows.append((None if unknown else own, e - s, e - s - len(left), a[p:q] - s, b[p:q] - s, hashlib.sha256(left).hexdigest(), left)[: len(columns)])
+    # ids as they are: a null among them would turn a column of large ones into floats
+    return pd.DataFrame(rows, columns=columns).assign(doc_id=pd.array([r[0] for r in rows], dtype="Int64"))
 
 
 def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:

@@ -84,6 +84,19 @@ def test_null_repeated_and_empty(spark):
     assert S.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_ids_over_the_whole_range(spark):
+    """The smallest and the largest long are ids like others, also beside null ones."""
+    low, high = -(2**63), 2**63 - 1
+    text = "".join(chr(97 + i * i % 23) + str(i) for i in range(40))[:80]
+    for docs in ([(high, text), (1, text)], [(low, text), (high, text), (None, text)], [(low, text), (low + 1, text + "!"), (high - 1, "x" + text), (high, text)], [(high, text), (high, text), (None, None)]):
+        for batch in (1, 10_000):
+            df = spark.createDataFrame(docs, "doc_id long, text string")
+            rows = S.remove_repeats(df, batch_bytes=batch).collect()
+            known = [(d, t) for d, t in docs if d is not None]
+            assert _digest([r for r in rows if r["doc_id"] is not None]) == brute(known)
+            assert [(r["doc_id"], r["n_removed"]) for r in rows if r["doc_id"] is None] == [(None, 0)] * (len(docs) - len(known))
+
+
 def test_key_in_very_many_contexts(spark):
     """A hot 20-gram is dealt window by window: no block over one window has it, and the result stays exact."""
     rng = random.Random(4)
