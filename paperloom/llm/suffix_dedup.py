@@ -201,7 +201,7 @@ BLOCK_SCHEMA = "shard int, batch long, data binary, lengths binary, number binar
 
 
 def _find_blocks(row: pd.Series, shared: pd.DataFrame, bits: int) -> tuple:
-    """Bytes, ids, mask of null ids and ends of a batch; first window, document and block number of each run with a shared sample; keys and texts of its blocks.
+    """Bytes, ids and ends of a batch; first window, document and block number of each run with a shared sample; keys and texts of its blocks.
 
     A run with a hot key is cut into its windows, whose keys take in their texts.
     """
@@ -235,7 +235,7 @@ def _find_blocks(row: pd.Series, shared: pd.DataFrame, bits: int) -> tuple:
         texts = list(found)
         part = np.unique(number[hot])
         keys[part] += np.array([zlib.crc32(texts[i]) for i in part.tolist()], dtype=np.uint64) << np.uint64(32)
-    return x, ids, null, ends, first, doc, number, keys, list(found)
+    return x, ids, ends, first, doc, number, keys, list(found)
 
 
 def _blocks_of_batch(payload: pd.DataFrame, shared: pd.DataFrame, bits: int, shards: int) -> pd.DataFrame:
@@ -244,7 +244,7 @@ def _blocks_of_batch(payload: pd.DataFrame, shared: pd.DataFrame, bits: int, sha
     if not len(payload):
         return pd.DataFrame([], columns=columns)
     row = payload.iloc[0]
-    _, ids, _, _, _, doc, number, keys, texts = _find_blocks(row, shared, bits)
+    _, ids, _, _, doc, number, keys, texts = _find_blocks(row, shared, bits)
     low, high = np.full(len(texts), NO_ID, dtype=np.int64), np.full(len(texts), -NO_ID, dtype=np.int64)
     np.minimum.at(low, number, ids[doc])
     np.maximum.at(high, number, ids[doc])
@@ -429,7 +429,7 @@ def _cut_batch(payload: pd.DataFrame, marks: pd.DataFrame, bits: int, with_text:
         return pd.DataFrame([], columns=columns)
     row = payload.iloc[0]
     got = marks[marks["owner"].notna()]
-    x, ids, null, ends, first, doc, number, _, _ = _find_blocks(row, marks[marks["owner"].isna()], bits)
+    x, ids, ends, first, doc, number, _, _ = _find_blocks(row, marks[marks["owner"].isna()], bits)
     depth = np.zeros(len(x) + 1, dtype=np.int64)
     if len(got):
         block = np.concatenate([_expand(d, np.uint32) for d in got["data"]])
@@ -455,6 +455,7 @@ def _cut_batch(payload: pd.DataFrame, marks: pd.DataFrame, bits: int, with_text:
     text = x.tobytes()
     rows = []
     i0, i1 = np.searchsorted(a, starts), np.searchsorted(a, ends)
+    _, null = _unpack_ids(row["ids"], len(ends))
     for own, unknown, s, e, p, q in zip(ids.tolist(), null.tolist(), starts.tolist(), ends.tolist(), i0.tolist(), i1.tolist(), strict=True):
         kept, at = [], s
         for u, v in zip(a[p:q].tolist(), b[p:q].tolist(), strict=True):
