@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
 from ..functions.text import action_id, any_field_pattern, digest, field_pattern, js_trim, label_pattern, normalize_text
 from ..functions.vocab import EMPTY_SLOT, FIELD_SYNONYMS, FIXED_BLANK, FIXED_FIELDS, FORM_FIELDS, IMAGE_MARKER, LEFTOVER, MARKER, PLACEHOLDER_NAMES, SEPARATOR, WS
 from .templates import _END, adjacent_cells, candidate_nodes, form_slot
@@ -168,11 +172,41 @@ def plan_digest(actions: DataFrame, by: list[str], order: str = "field_id") -> D
 
 
 def range_leak(cands: DataFrame, nodes: DataFrame, output: DataFrame) -> DataFrame:
-    """Body texts of eight characters or more outside the range that the generated text holds (JN18). `output(doc_id, candidate_id, text)`."""
-    c = cands.select(*CAND, "start_pos", "end_pos").join(output.withColumnRenamed("text", "_out"), CAND)
+    """Body texts of eight characters or more outside the range that the generated text holds (JN18). `output(doc_id, candidate_id, text)`.
+
+    The distinct body texts of a document become one automaton, through which each of its outputs is
+    walked once: time follows the texts, not their product. A document's texts (bounded by the text gate) and one output are
+    held at a time. The texts found are joined back to the nodes by document and text.
+    """
     body = nodes.filter(~F.col("kind").isin("header", "footer")).withColumn("_t", js_trim(F.col("text"))).filter(F.length("_t") >= 8)
-    d = body.join(c, "doc_id").filter(~F.col("pos").between(F.col("start_pos"), F.col("end_pos")))
-    return d.filter(F.contains("_out", F.col("_t"))).select(*CAND, "node_id")
+    ranges = stage(cands.select(*CAND, "start_pos", "end_pos"), "ranges")
+    texts = output.join(ranges.select(*CAND).distinct(), CAND, "left_semi").select("doc_id", "candidate_id", F.col("text").alias("_t"))
+    # a document's patterns stand before its outputs
+    rows = body.select("doc_id", F.lit(None).cast("string").alias("candidate_id"), "_t").distinct().withColumn("_out", F.lit(False)).unionByName(texts.withColumn("_out", F.lit(True)))
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "_out").select("doc_id", "candidate_id", "_t", "_out")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        doc, machine = None, None
+        for b in batches:
+            found: set[tuple] = set()
+            for d, c, t, is_output in zip(*(b.column(k) for k in range(4)), strict=True):
+                d, t = d.as_py(), t.as_py()
+                if machine is None or d != doc:
+                    doc, machine = d, ahocorasick.Automaton()
+                if not is_output.as_py():
+                    machine.add_word(t, t)
+                    continue
+                if t and len(machine):
+                    if machine.kind != ahocorasick.AHOCORASICK:
+                        machine.make_automaton()
+                    found |= {(d, c.as_py(), hit) for _, hit in machine.iter(t)}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["doc_id", "candidate_id", "_t"])
+
+    held = rows.mapInArrow(walk, "doc_id string, candidate_id string, _t string").distinct()
+    d = held.join(ranges, CAND).join(body.select("doc_id", "pos", "node_id", "_t"), ["doc_id", "_t"])
+    return d.filter(~F.col("pos").between(F.col("start_pos"), F.col("end_pos"))).select(*CAND, "node_id")
 
 
 def text_fidelity(expected: DataFrame, output: DataFrame, by: list[str], order: str = "ord") -> DataFrame:

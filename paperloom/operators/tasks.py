@@ -22,18 +22,24 @@ def transition_audit(events: DataFrame, order: list[str]) -> DataFrame:
     return d.join(F.broadcast(allowed), ["before", "state"], "left_anti")
 
 
+def confirmation_outcome(digest: Column, planned: Column, blockers: Column) -> Column:
+    """PLAN_EXPIRED without a preview in time, PLAN_MISMATCH, BLOCKED or OK."""
+    return F.when(planned.isNull(), "PLAN_EXPIRED").when(planned != digest, "PLAN_MISMATCH").when(blockers > 0, "BLOCKED").otherwise("OK")
+
+
 def valid_confirmations(confirms: DataFrame, previews: DataFrame, minutes: int = 30) -> DataFrame:
-    """Outcome of each confirmation against its preview: latest one of the task created before it (JN20).
+    """Outcome of each confirmation against the latest preview of its task before it (JN20), if that is within the time to live.
 
-    An interval join on the task within the time to live; codes PLAN_EXPIRED, PLAN_MISMATCH, BLOCKED or OK.
+    An as-of join: both sides in one order of time per task, the last preview carried along, so a
+    confirmation never meets the other previews. A preview of the same instant comes first; of equal ones the largest seq counts.
     """
-    p = previews.select("task_id", F.col("plan_digest").alias("p_digest"), "created_at", F.col("seq").alias("p_seq"), "blockers")
-    near = (confirms["task_id"] == p["task_id"]) & (p["created_at"] <= confirms["ts"]) & (p["created_at"] >= confirms["ts"] - F.expr(f"INTERVAL {minutes} MINUTES"))
-    d = confirms.join(p, near, "left").drop(p["task_id"])
-    w = Window.partitionBy("task_id", "seq").orderBy(F.desc("created_at"), F.desc("p_seq"))
-    d = d.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    outcome = F.when(F.col("p_digest").isNull(), "PLAN_EXPIRED").when(F.col("p_digest") != F.col("plan_digest"), "PLAN_MISMATCH").when(F.col("blockers") > 0, "BLOCKED").otherwise("OK")
-    return d.select("task_id", "seq", outcome.alias("outcome"))
+    p = F.struct(F.col("plan_digest").alias("digest"), "created_at", "blockers")
+    events = previews.select("task_id", F.col("created_at").alias("ts"), F.lit(0).alias("kind"), "seq", F.lit(None).cast("string").alias("plan_digest"), p.alias("preview"))
+    events = events.unionByName(confirms.select("task_id", "ts", F.lit(1).alias("kind"), "seq", "plan_digest"), allowMissingColumns=True)
+    w = Window.partitionBy("task_id").orderBy("ts", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    d = events.withColumn("last", F.last("preview", ignorenulls=True).over(w)).filter("kind = 1")
+    alive = F.when(F.col("last.created_at") >= F.col("ts") - F.expr(f"INTERVAL {minutes} MINUTES"), F.col("last.digest"))
+    return d.select("task_id", "seq", confirmation_outcome(F.col("plan_digest"), alive, F.col("last.blockers")).alias("outcome"))
 
 
 def changed_inputs(stored: DataFrame, current: DataFrame) -> DataFrame:

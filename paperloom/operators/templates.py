@@ -64,10 +64,41 @@ def candidates(nodes: DataFrame) -> DataFrame:
     )
 
 
+#: A segment of one level holds as many of the level below; five levels cover a document of 2 ** 20 nodes.
+FAN_BITS, LEVELS = 4, 5
+
+
+def range_segments(start: Column, end: Column) -> Column:
+    """The range of places as whole segments (level, number): at each level the few at its two edges that fill no segment of the next.
+
+    The highest level takes all that is left, so ranges of any length are covered.
+    """
+    fan, parts = 1 << FAN_BITS, []
+    lo, hi = start, end + 1  # in segments of the level, end excluded
+    for level in range(LEVELS):
+        seg = lambda a, b, level=level: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda x: F.struct(F.lit(level).alias("level"), x.cast("long").alias("segment")))).otherwise(F.array())
+        if level == LEVELS - 1:
+            parts.append(seg(lo, hi))
+            break
+        up, down = F.least(hi, F.ceil(lo / fan) * fan), F.floor(hi / fan) * fan
+        parts += [seg(lo, up), seg(F.greatest(up, down), hi)]
+        lo, hi = F.ceil(lo / fan), F.floor(hi / fan)
+    return F.concat(*parts)
+
+
 def candidate_nodes(cands: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes between start and end of each candidate (JN4): equal document, then a range of places."""
-    c = cands.select("doc_id", "candidate_id", "start_pos", "end_pos")
-    return nodes.join(c, "doc_id").filter(F.col("pos").between(F.col("start_pos"), F.col("end_pos"))).drop("start_pos", "end_pos")
+    """Nodes between start and end of each candidate (JN4).
+
+    Ranges are cut into segments of 1, 16, 256 and more places, and nodes meet them by document, level and
+    segment: every pair of the join is a row of the result, however many candidates overlap in a document.
+    """
+    c = cands.filter("start_pos <= end_pos").select("doc_id", "candidate_id", F.explode(range_segments(F.col("start_pos").cast("long"), F.col("end_pos").cast("long"))).alias("_s"))
+    c = c.select("doc_id", "candidate_id", F.col("_s.level").alias("_level"), F.col("_s.segment").alias("_segment"))
+    # a node is sent only to the levels that its document's ranges use
+    used = c.groupBy("doc_id").agg(F.collect_set("_level").alias("_levels"))
+    n = nodes.join(used, "doc_id").withColumn("_level", F.explode("_levels")).drop("_levels")
+    n = n.withColumn("_segment", F.expr(f"shiftright(CAST(pos AS BIGINT), {FAN_BITS} * _level)"))
+    return n.join(c, ["doc_id", "_level", "_segment"]).drop("_level", "_segment")
 
 
 def cell_place(c: Column) -> Column:
@@ -120,10 +151,22 @@ def fillable_slots(cands: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def prune_contained(cands: DataFrame) -> DataFrame:
-    """Drop a candidate inside another one with strictly more slots (JN6)."""
-    o = cands.select(F.col("doc_id").alias("d"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), F.col("fillable_slots").alias("f"))
-    inside = (F.col("doc_id") == F.col("d")) & (F.col("s") <= F.col("start_pos")) & (F.col("e") >= F.col("end_pos")) & (F.col("f") > F.col("fillable_slots"))
-    return cands.join(o, inside, "left_anti")
+    """Drop a candidate inside another one with strictly more slots (JN6).
+
+    "More slots" is parted by the bits of the slots' rank in their document: of two ranks the larger is the one
+    with a one where they first differ. So for each bit, among ranks equal above it, one sweep over the starts
+    carries the furthest end of those with a one past those with a zero. No pairs of candidates are made.
+    """
+    span = ["doc_id", "start_pos", "end_pos", "fillable_slots"]
+    d = cands.select(*span).filter("fillable_slots is not null").distinct()
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("fillable_slots")) - 1
+    d = d.withColumn("_rank", rank).withColumn("_most", F.max("_rank").over(Window.partitionBy("doc_id"))).filter("_most > 0")
+    d = d.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.floor(F.log2("_most")).cast("int"))))
+    one = F.expr("shiftright(_rank, _bit) & 1") == 1
+    sweep = Window.partitionBy("doc_id", "_bit", F.expr("shiftright(_rank, _bit + 1)")).orderBy("start_pos").rangeBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_one", one).withColumn("_reach", F.max(F.when(F.col("_one"), F.col("end_pos"))).over(sweep))
+    inside = d.filter(~F.col("_one") & (F.col("_reach") >= F.col("end_pos"))).select(*span).distinct()
+    return cands.join(inside, span, "left_anti").select(*cands.columns)
 
 
 def rank_candidates(cands: DataFrame, most: int = 50) -> DataFrame:
