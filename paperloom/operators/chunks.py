@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
+
 MAX_CHARS, MAX_REQUESTS, MAX_PROMPT = 8_000, 64, 23_000
 
 
@@ -82,7 +84,7 @@ def review_prompt(pairs: DataFrame, tender_chunks: DataFrame, bid_chunks: DataFr
 
     def side(col: str, chunks: DataFrame, name: str) -> DataFrame:
         line = F.concat(F.lit("["), "node_id", F.lit("] "), "text")
-        rows = chunks.groupBy("doc_id", "chunk_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_ord", line.alias("l")))), lambda x: x["l"]), "\n").alias(name))
+        rows = ordered_fold(chunks, ["doc_id", "chunk_index"], ["piece_ord"], line, name, separator="\n").drop("n", "used")
         return pairs.select("pair_id", F.col(col).alias("doc_id")).join(rows, "doc_id").drop("doc_id")
 
     d = side("tender_id", tender_chunks, "t").join(side("bid_id", bid_chunks, "b"), ["pair_id", "chunk_index"], "full")

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
 from ..functions.staging import stage
-from ..functions.text import action_id, any_field_pattern, digest, field_pattern, js_trim, label_pattern, normalize_text
+from ..functions.text import action_id, any_field_pattern, field_pattern, js_trim, label_pattern, normalize_text
 from ..functions.vocab import EMPTY_SLOT, FIELD_SYNONYMS, FIXED_BLANK, FIXED_FIELDS, FORM_FIELDS, IMAGE_MARKER, LEFTOVER, MARKER, PLACEHOLDER_NAMES, SEPARATOR, WS
 from .templates import _END, adjacent_cells, candidate_nodes, form_slot
 
@@ -167,8 +168,9 @@ def plan_blockers(unresolved: DataFrame) -> DataFrame:
 def plan_digest(actions: DataFrame, by: list[str], order: str = "field_id") -> DataFrame:
     """sha256 over the ordered JSON of a plan's actions (AG15)."""
     cols = [c for c in actions.columns if c not in by]
-    rows = F.sort_array(F.collect_list(F.struct(order, *[c for c in cols if c != order])))
-    return actions.groupBy(*by).agg(digest(F.to_json(rows)).alias("plan_digest"), F.count(F.lit(1)).alias("n_actions"))
+    row = F.to_json(F.struct(order, *[c for c in cols if c != order]))
+    out = ordered_fold(actions, by, [order, *[c for c in cols if c != order]], row, "plan_digest", separator=",", digest=("[", "]"))
+    return out.select(*by, "plan_digest", F.col("n").alias("n_actions"))
 
 
 def range_leak(cands: DataFrame, nodes: DataFrame, output: DataFrame) -> DataFrame:

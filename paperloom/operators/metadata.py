@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
 from ..functions.staging import stage
 from ..functions.text import digest, display_value, js_trim
 from ..functions.vocab import INTEGER_BOUNDS
@@ -41,7 +42,7 @@ def assign_action(occurrences: DataFrame, specs: DataFrame) -> DataFrame:
 
     `specs(field, spec_action)`; fields without a spec are preserved.
     """
-    d = occurrences.drop("spec_action").join(F.broadcast(specs.select("field", "spec_action")), "field", "left")
+    d = occurrences.drop("spec_action").join(specs.select("field", "spec_action"), "field", "left")  # Spark broadcasts it if it is small
     bad = (F.col("spec_action") == "randomize") & ~value_valid(F.col("original_value"), F.col("value_type"))
     action = F.when(bad, "warn").otherwise(F.coalesce("spec_action", F.lit("preserve")))
     return d.withColumn("action", action).withColumn("warning", F.when(bad, F.concat_ws(": ", "part", "field"))).drop("spec_action")
@@ -253,8 +254,8 @@ def verification_status(checks: DataFrame) -> DataFrame:
 
 def verification_rollup(files: DataFrame) -> DataFrame:
     """Task hash over its files' hashes in order, and status (AG12). `files(task_id, ord, sha256, passed)`."""
-    rows = F.sort_array(F.collect_list(F.struct("ord", "sha256")))
-    return files.groupBy("task_id").agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["sha256"]), ":"), 256).alias("sha256"), F.bool_and("passed").alias("passed"))
+    whole = ordered_fold(files, ["task_id"], ["ord"], F.col("sha256"), "sha256", separator=":", digest=("", "")).select("task_id", "sha256")
+    return whole.join(files.groupBy("task_id").agg(F.bool_and("passed").alias("passed")), "task_id")
 
 
 def flattened_checks(checks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
 from ..functions.text import js_trim
 from ..functions.vocab import NUMBERING, PDF_NUMBERING, PDF_SECTION, SECTION_SUFFIX
 
@@ -104,8 +105,9 @@ def layout_pairs(items: DataFrame, gap: float = 48.0) -> DataFrame:
 
 def document_text(nodes: DataFrame) -> DataFrame:
     """Joined text, its length in nodes' characters and the number of nodes per document (AG8)."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    return nodes.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), F.sum(F.length("text")).alias("text_length"), F.count(F.lit(1)).alias("n_nodes"))
+    d = ordered_fold(nodes, ["doc_id"], ["pos"], F.col("text"), "text", separator="\n")
+    length = F.when(F.col("used") > 0, F.length("text") - F.col("used") + 1)  # without the line ends between nodes
+    return d.select("doc_id", "text", length.alias("text_length"), F.col("n").alias("n_nodes"))
 
 
 def text_layer_gate(docs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
 from ..functions.text import action_id, escape_html, normalize_text
 from ..functions.vocab import SUMMARY_KINDS, WS
 
@@ -15,8 +16,9 @@ def review_json(findings: DataFrame, columns: list[str], most: int = MAX_FINDING
     """pair_id and one JSON report of its findings in order (SNK1)."""
     w = Window.partitionBy("pair_id").orderBy("ord", "id")
     d = findings.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("_r", F.struct(*columns).alias("f")))), lambda x: x["f"])
-    return d.groupBy("pair_id").agg(rows.alias("findings")).select("pair_id", F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col("pair_id").alias("taskId"), "findings")).alias("report"))
+    d = ordered_fold(d, ["pair_id"], ["_r"], F.to_json(F.struct(*columns)), "rows", separator=",")
+    head = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col("pair_id").alias("taskId")))
+    return d.select("pair_id", F.concat(F.left(head, F.length(head) - 1), F.lit(',"findings":['), "rows", F.lit("]}")).alias("report"))
 
 
 def _cells(*cols: Column) -> Column:
@@ -29,16 +31,15 @@ def render_review_html(findings: DataFrame, most: int = MAX_FINDINGS) -> DataFra
     evidence = F.concat(F.lit("<ul>"), F.array_join(F.transform(F.concat("tender_evidence", "bid_evidence"), item), ""), F.lit("</ul>"))
     row = _cells(escape_html(F.col("severity")), escape_html(F.col("source")), F.col("confidence").cast("string"), escape_html(F.col("summary")), escape_html(F.col("suggestion")), evidence)
     d = findings.withColumn("_r", F.row_number().over(Window.partitionBy("pair_id").orderBy("ord", "id"))).filter(F.col("_r") <= most)
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", row.alias("h")))), lambda x: x["h"]), "")
+    d = ordered_fold(d, ["pair_id"], ["_r"], row, "body")
     page = F.concat(F.lit('<!doctype html><meta charset="utf-8"><title>对照审查</title><h1>对照审查</h1><table>'), F.col("body"), F.lit("</table>"))
-    return d.groupBy("pair_id").agg(body.alias("body")).select("pair_id", page.alias("html"))
+    return d.select("pair_id", page.alias("html"))
 
 
 def render_rows_html(df: DataFrame, by: str, order: list[str], cols: list[str]) -> DataFrame:
     """One page per key with one escaped table row per input row (SNK2)."""
     row = _cells(*[escape_html(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols])
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("h")))), lambda x: x["h"]), "")
-    return df.groupBy(by).agg(F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
+    return ordered_fold(df, [by], order, row, "rows").select(by, F.concat(F.lit("<table>"), "rows", F.lit("</table>")).alias("html"))
 
 
 def sanitize_report(fields: DataFrame, warnings: DataFrame, status: DataFrame) -> DataFrame:

@@ -131,3 +131,24 @@ def test_confirmations_batch_and_stream(spark, tmp_path):
         assert sorted(map(tuple, spark.table("outcomes").filter("task_id <> 'end'").collect())) == want
     finally:
         q.stop()
+
+
+def test_ordered_folds(spark):
+    """Text and digest of keys of any type, nulls and ties, over several batches; no array of a key's rows in the plan."""
+    from hashlib import sha256
+
+    from paperloom.functions.folds import ordered_fold
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(["a", None]), rng.choice([None, *range(50)]), rng.choice([None, "", "x", "é😀", "yy"])) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, "k int, g string, o int, v string")
+    groups: dict = {}
+    for k, g, o, v in rows:
+        groups.setdefault((k, g), []).append((o is not None, o or 0, v is not None, v or ""))
+    want = {key: (";".join(v for *_, some, v in sorted(r) if some), len(r), sum(x[2] for x in r)) for key, r in groups.items()}
+    text = ordered_fold(df, ["k", "g"], ["o"], F.col("v"), "text", separator=";")
+    assert {(r["k"], r["g"]): (r["text"], r["n"], r["used"]) for r in text.collect()} == want
+    sums = ordered_fold(df, ["k", "g"], ["o"], F.col("v"), "sum", separator=";", digest=("<", ">"))
+    assert {(r["k"], r["g"]): r["sum"] for r in sums.collect()} == {key: sha256(f"<{t}>".encode()).hexdigest() for key, (t, _, _) in want.items()}
+    assert "collect_list" not in sums._jdf.queryExecution().optimizedPlan().toString()
+    assert ordered_fold(df.limit(0), ["k"], ["o"], F.col("v"), "text").collect() == []
