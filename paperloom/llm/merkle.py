@@ -27,6 +27,8 @@ from .common import parts, stage
 FANOUT = 3
 #: Levels that one task folds at once: a block has at most 729 nodes.
 LEVELS = 6
+#: Rows that one range sorts about.
+RANGE_ROWS = 1_000_000
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 _PATH = "array<struct<before:array<string>,after:array<string>>>"
 
@@ -44,7 +46,8 @@ def ordered_index(df: DataFrame, order: list[str]) -> DataFrame:
     the row counts of each range are summed in order. `df` must be staged: ranges are sampled from it.
     """
     # row numbers of a sorted range are the low 33 bits of the increasing id, the range the bits above
-    ranges = df.repartitionByRange(parts(df.sparkSession), "g", *order).sortWithinPartitions("g", *order).withColumn("at", F.monotonically_increasing_id())
+    number = max(parts(df.sparkSession), -(-df.count() // RANGE_ROWS))
+    ranges = df.repartitionByRange(number, "g", *order).sortWithinPartitions("g", *order).withColumn("at", F.monotonically_increasing_id())
     ranges = stage(ranges.withColumn("part", F.shiftright("at", 33)), "ranges")
     counts = ranges.groupBy("g", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
     of_group = Window.partitionBy("g")
