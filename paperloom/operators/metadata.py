@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import ordered_fold
+from ..functions.keyed import hmac_sha256 as _hmac
+from ..functions.keyed import number_at
 from ..functions.staging import stage
 from ..functions.text import digest, display_value, js_trim
 from ..functions.vocab import INTEGER_BOUNDS
+from .aliases import ENUMS, spaced_aliases
 
 KEY = ["doc_id", "part", "locator"]
 UUID4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\\z"
@@ -59,55 +60,60 @@ def action_counts(fields: DataFrame) -> DataFrame:
     return fields.groupBy("doc_id").agg(of("randomize").alias("randomize"), of("preserve").alias("preserve"), of("warn").alias("warn"), F.sum("occurrences").alias("total"))
 
 
-def _hmac(salt: bytes, message: Column) -> Column:
-    """HMAC-SHA256 in SQL functions; pads are computed here, the salt itself is never written out."""
-    key = (hashlib.sha256(salt).digest() if len(salt) > 64 else salt).ljust(64, b"\0")
-    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in key).hex()))
-    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
-
-
-def _number(h: Column, at: int, digits: int = 8) -> Column:
-    return F.conv(F.substring(h, at, digits), 16, 10).cast("long")
+#: Milliseconds that an alias of a timestamp may lie back.
+YEAR = 365 * 86_400_000
 
 
 def _shape(kind: Column, h: Column, original: Column, now: int) -> Column:
     up = lambda n: F.upper(F.substring(h, 1, n))
-    letter = lambda i: F.char(65 + _number(h, 1 + 8 * i) % 26)
-    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (_number(h, 20, 1) % 4 + 1).cast("int"))
+    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (number_at(h, 20, 1) % 4 + 1).cast("int"))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 13, 3)), F.concat(variant, F.substring(h, 17, 3)), F.substring(h, 21, 12))
-    n = 1 + _number(h, 1) % 2147483646
+    bounds = F.split(kind, ":")  # integer, or integer:lowest:highest
+    lo = F.coalesce(F.get(bounds, F.lit(1)).try_cast("long"), F.lit(1))
+    hi = F.coalesce(F.get(bounds, F.lit(2)).try_cast("long"), F.lit(2147483646))
+    n = lo + number_at(h, 1) % (hi - lo + 1)
     same = n.cast("string") == js_trim(original)
-    n = F.when(~same, n).when(n == 2147483646, F.lit(1)).otherwise(n + 1)
-    past = F.date_format(F.timestamp_seconds(F.lit(now) - _number(h, 1) % (365 * 86400)), "yyyy-MM-dd'T'HH:mm:ss'.000Z'")
+    n = F.when(~same, n).when(n == hi, lo).otherwise(n + 1)
+    past = F.lit(now * 1000) - number_at(h, 1, 12) % (YEAR + 1)  # written without the session's time zone
+    part = lambda unit, of: (F.floor(past / F.lit(unit)) % of).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(past / F.lit(86_400_000)).cast("int")).cast("string")
+    time = F.format_string("%sT%02d:%02d:%02d.%03dZ", day, part(3_600_000, 24), part(60_000, 60), part(1000, 60), part(1, 1000))
     return (
         F.when(kind == "person", F.concat(F.lit("User-"), up(12)))
-        .when(kind == "initials", F.concat(*[letter(i) for i in range(4)]))
         .when(kind == "organization", F.concat(F.lit("Org-"), up(12)))
         .when(kind == "application", F.concat(F.lit("App-"), up(12)))
         .when(kind == "uuid", uuid)
-        .when(kind == "integer", n.cast("string"))
+        .when(kind.rlike("^integer(:|\\z)"), n.cast("string"))
         .when(kind == "number", (n.cast("double") / 1000).cast("string"))
         .when(kind == "boolean", F.when(F.lower(js_trim(original)).isin("true", "1"), "false").otherwise("true"))
-        .when(kind == "timestamp", past)
+        .when(kind == "timestamp", time)
         .otherwise(F.concat(F.lit("Document-"), up(16)))
     )
 
 
-#: Kinds whose aliases must differ between originals.
-DISTINCT_KINDS = ["person", "initials", "organization", "application", "description", "uuid"]
+#: Kinds whose aliases must differ between originals; those of the first list are so many that they hardly collide.
+_BY_HMAC = ["person", "organization", "application", "description", "uuid", "timestamp"]
+DISTINCT_KINDS = [*_BY_HMAC, "initials"]
 
 
-def aliases(occ: DataFrame, salt: bytes, now: int, scope: list[str] | None = None, max_attempts: int = 100) -> DataFrame:
-    """One alias per (scope, kind, original): stable for a salt, distinct within scope and kind, never the original.
+def aliases(occ: DataFrame, salt: bytes, now: int, scope: list[str] | None = None, max_attempts: int = 100, enums: dict[str, list[str]] | None = None) -> DataFrame:
+    """One alias per (scope, kind, original): distinct within scope and kind, never the original.
 
-    Aliases are made from an HMAC of the key, so no state is shared. Only keys that collide are
+    Aliases are made from an HMAC of the key, so they are stable for a salt and no state is shared. Only keys that collide are
     made again, with the next attempt number, and a round joins only the aliases that were made in it;
-    the loop ends when none collided. `now` is in epoch seconds.
+    the loop ends when none collided. Kinds with few aliases, initials and those of `enums` (kind: values), collide too
+    often for that: they come from `spaced_aliases`, where the ones that no alias is left for get an error_code.
+    An integer kind may carry its bounds (`integer:-128:127`). `now` is in epoch seconds.
     """
     scope = scope or ["doc_id"]
+    enums = ENUMS if enums is None else enums
     key = [*scope, "kind", "original_value"]
+    cols = [*key, "alias", "attempt", "error_code"]
     d = occ.filter("action = 'randomize'").select(*scope, F.col("replacement_kind").alias("kind"), "original_value").distinct().withColumn("attempt", F.lit(0))
+    few = F.coalesce(F.col("kind").isin("initials", *enums), F.lit(False))
+    keys = stage(d.filter(few).drop("attempt"), "keys")
+    spaced = None if keys.isEmpty() else spaced_aliases(keys, salt, scope, enums).select(*cols)
+    d = d.filter(~few)
 
     def made(x: DataFrame) -> DataFrame:
         message = F.concat_ws("\0", "kind", F.lit("string"), "original_value", F.concat_ws("|", *scope), F.col("attempt").cast("string"))
@@ -118,25 +124,26 @@ def aliases(occ: DataFrame, salt: bytes, now: int, scope: list[str] | None = Non
     for _ in range(max_attempts):
         first = F.row_number().over(Window.partitionBy(*holder).orderBy("original_value")) == 1
         own = F.col("alias").eqNullSafe(F.col("original_value"))
-        marked = new.withColumn("fresh", ~F.col("kind").isin(*DISTINCT_KINDS) | first & ~own)
+        marked = new.withColumn("fresh", ~F.col("kind").isin(*_BY_HMAC) | first & ~own)
         if kept is not None:  # what was settled in an earlier round keeps its alias
-            taken = kept.filter(F.col("kind").isin(*DISTINCT_KINDS)).select(*holder, F.lit(True).alias("taken"))
+            taken = kept.filter(F.col("kind").isin(*_BY_HMAC)).select(*holder, F.lit(True).alias("taken"))
             marked = marked.join(taken, holder, "left").withColumn("fresh", F.col("fresh") & F.col("taken").isNull()).drop("taken")
         marked = stage(marked, "marked")
         settled = marked.filter("fresh").drop("fresh")
         kept = settled if kept is None else kept.unionByName(settled)
         again = marked.filter("not fresh").drop("fresh", "alias").withColumn("attempt", F.col("attempt") + 1)
         if again.isEmpty():
-            return kept.select(*key, "alias", "attempt")
+            kept = kept.withColumn("error_code", F.lit(None).cast("string")).select(*cols)
+            return kept if spaced is None else kept.unionByName(spaced)
         new = stage(made(again), "aliases")
     raise RuntimeError("aliases did not become distinct")
 
 
 def plan_replacements(occ: DataFrame, alias: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """replacements(doc_id, part, locator, value) of randomised occurrences."""
+    """replacements(doc_id, part, locator, value) of randomised occurrences; none where no alias was left, which `apply_replacements` reports."""
     scope = scope or ["doc_id"]
     d = occ.filter("action = 'randomize'").withColumnRenamed("replacement_kind", "kind")
-    return d.join(alias, [*scope, "kind", "original_value"]).select(*KEY, F.col("alias").alias("value"))
+    return d.join(alias.filter("alias is not null").drop("error_code"), [*scope, "kind", "original_value"]).select(*KEY, F.col("alias").alias("value"))
 
 
 def apply_replacements(occ: DataFrame, replacements: DataFrame) -> DataFrame:

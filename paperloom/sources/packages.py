@@ -44,6 +44,12 @@ _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|0[xX][0-9A-Fa-f]+|0
 _TIME = re.compile(r"(\d{4}-\d\d-\d\d)(?:T(\d\d:\d\d(?::\d\d)?)(?:\.\d+)?(Z|[+-]\d\d:\d\d)?)?", re.ASCII)
 
 
+def alias_kind(local: str) -> str:
+    """Alias kind of a custom integer: its bounds, within 32 bits."""
+    low, high = INTEGER_BOUNDS[local]
+    return f"integer:{max(low, -(2**31))}:{min(high, 2**31 - 1)}"
+
+
 def value_valid(value: str, kind: str) -> bool:
     """A legal value of its type; times in ISO form."""
     v = _TRIM.sub("", value)
@@ -213,7 +219,7 @@ class _Metadata(_Reader):
         if good and kind == "integer":
             low, high = INTEGER_BOUNDS[local]
             good = low <= int(_TRIM.sub("", value)) <= high
-        alias = "description" if kind == "string" else kind
+        alias = "description" if kind == "string" else alias_kind(local) if kind == "integer" else kind
         value = value if len(children) == 1 else ""
         self._add((n,), f"custom:{n}", f"custom:property:{n + 1}", "custom-property", kind or "string", "randomize" if good else "warn", alias if good else None, value)
         return [*held[:begin], f"\0{alias}", *held[end:]] if good else held

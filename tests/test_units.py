@@ -8,16 +8,18 @@ import io
 import random
 import re
 import zipfile
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import keyed
 from paperloom.functions.text import js_trim, label_pattern, normalize_text, normalize_value
 from paperloom.plans.queries import queries
 from paperloom.operators import chunks, facts, fillplan, grounding, metadata, nodes, package, quality, review, templates
 from paperloom.functions.vocab import WS
-from paperloom.sources import files
+from paperloom.sources import files, packages
 from paperloom.streaming import logs
 
 
@@ -382,3 +384,86 @@ def test_missing_nodes_by_all_pairs(spark):
     nodes = spark.createDataFrame([(d, i, f"n{i}", t) for i, (d, t) in enumerate(bids)], "doc_id string, pos long, node_id string, text string")
     got = {(r["pair_id"], r["pos"]) for r in review.missing_nodes(pairs, _nodes(spark, need, "T"), nodes, most=None).collect()}
     assert got == {(p, i) for p, d in (("p", "B"), ("q", "C")) for i, t in enumerate(need) if not any(t[:18] in x for y, x in bids if y == d)}
+
+
+def _permutation(index, side, key, rounds=4):
+    left, right = divmod(index, side)
+    for i in range(rounds):
+        step = int(hashlib.sha256(f"{key}:{i}:{right}".encode()).hexdigest()[:12], 16)
+        left, right = right, (left + step) % side
+    return left * side + right
+
+
+def test_permutation_hits_every_number_once(spark):
+    got = spark.range(26**4).select(keyed.permuted(F.col("id"), 26**2, F.lit("k")).alias("x"))
+    assert got.agg(F.min("x"), F.max("x"), F.count_distinct("x")).first() == (0, 26**4 - 1, 26**4)
+    for side, key in [(1, "a"), (2, "b"), (7, "c")]:
+        got = [r["x"] for r in spark.range(side * side).select(keyed.permuted(F.col("id"), side, F.lit(key)).alias("x"), "id").orderBy("id").collect()]
+        assert got == [_permutation(i, side, key) for i in range(side * side)] and sorted(got) == list(range(side * side))
+
+
+def _occurrences(spark, rows):
+    return spark.createDataFrame(rows, "doc_id string, replacement_kind string, original_value string").withColumn("action", F.lit("randomize"))
+
+
+def _aliases(spark, rows, **options):
+    return [r.asDict() for r in metadata.aliases(_occurrences(spark, rows), b"s", 1_700_000_000, **options).collect()]
+
+
+def test_initials_of_a_large_scope_are_distinct(spark):
+    letters = F.concat(*[F.char((65 + F.floor(F.col("id") / F.lit(26**i)) % 26).cast("int")) for i in (3, 2, 1, 0)])
+    occ = lambda n: spark.range(n).select(F.lit("d").alias("doc_id"), F.lit("initials").alias("replacement_kind"), F.when(F.col("id") < 26**4, letters).otherwise(F.col("id").cast("string")).alias("original_value"), F.lit("randomize").alias("action"))
+    for n in (400_000, 26**4):  # the second needs every alias there is, each also an original
+        got = metadata.aliases(occ(n), b"s", 1_700_000_000)
+        row = got.agg(F.count(F.lit(1)), F.count_distinct("alias"), F.count_if(F.col("alias") == F.col("original_value")), F.count_if(F.col("alias").rlike("^[A-Z]{4}\\z")), F.count("error_code")).first()
+        assert row == (n, n, 0, n, 0)
+    row = metadata.aliases(occ(26**4 + 1), b"s", 1_700_000_000).agg(F.count(F.lit(1)), F.count("alias"), F.count_if(F.col("error_code") == "ALIASES_EXHAUSTED")).first()
+    assert row == (26**4 + 1, 0, 26**4 + 1)
+
+
+def test_enumerations_exchange_originals(spark):
+    """All sets of originals over a few words, in many scopes: every alias another word of the list, none twice."""
+    words = ["True", "False", "Unknown"]
+    sets = [[w for i, w in enumerate([*words, "other"]) if bits >> i & 1] for bits in range(1, 16)]
+    rows = [(f"{k}-{j}", "trapped", w) for j, s in enumerate(sets) for k in range(20) for w in s]
+    got = {}
+    for r in _aliases(spark, [*rows, *rows[:9], (None, "trapped", "True"), (None, "trapped", None)]):
+        got.setdefault(r["doc_id"], []).append(r)
+    assert len(got) == 20 * 15 + 1 and len(got[None]) == 2
+    for d, g in got.items():
+        names = [r["alias"] for r in g]
+        if len(g) > 3:
+            assert names == [None] * 4 and {r["error_code"] for r in g} == {"ALIASES_EXHAUSTED"}
+        else:
+            assert set(names) <= set(words) and len(set(names)) == len(g) and all(r["alias"] != r["original_value"] and r["error_code"] is None for r in g)
+    one = _aliases(spark, [("d", "state", "on"), ("e", "state", "x")], enums={"state": ["on"]})
+    assert {(r["doc_id"], r["alias"], r["error_code"]) for r in one} == {("d", None, "ALIASES_EXHAUSTED"), ("e", "on", None)}
+    with pytest.raises(ValueError):
+        _aliases(spark, rows[:1], enums={"trapped": ["True", ""]})
+
+
+def test_aliases_do_not_depend_on_row_order(spark):
+    rows = [("d", k, f"v{i}") for i in range(50) for k in ("initials", "person", "timestamp")]
+    key = lambda g: {(r["kind"], r["original_value"]): r["alias"] for r in g}
+    a, b = _aliases(spark, rows), _aliases(spark, rows[::-1] + rows[:7])
+    assert key(a) == key(b) and len(a) == 150
+    assert _aliases(spark, []) == []
+    c = metadata.aliases(_occurrences(spark, rows), b"other", 1_700_000_000).collect()
+    assert sum(key(a)[r["kind"], r["original_value"]] == r["alias"] for r in c) < 5
+
+
+def test_bounded_integers_and_times(spark):
+    rows = [("d", f"integer:{lo}:{hi}", str(v)) for lo, hi in [(-128, 127), (0, 1), (5, 5), (-(2**31), 2**31 - 1)] for v in [lo, hi, (lo + hi) // 2]]
+    for r in _aliases(spark, rows):
+        _, lo, hi = r["kind"].split(":")
+        assert int(lo) <= int(r["alias"]) <= int(hi) and (r["alias"] != r["original_value"] or lo == hi)
+    assert (packages.alias_kind("i1"), packages.alias_kind("ui8")) == ("integer:-128:127", "integer:0:2147483647")
+    got = _aliases(spark, [("d", "timestamp", f"t{i}") for i in range(2000)])
+    times = [datetime.fromisoformat(r["alias"]).timestamp() for r in got]
+    assert len({r["alias"] for r in got}) == 2000 and 1_700_000_000 - 365 * 86400 <= min(times) and max(times) <= 1_700_000_000
+
+
+def test_exhausted_aliases_leave_the_plan_expired(spark):
+    occ = _occurrences(spark, [("d", "trapped", w) for w in ("True", "False", "Unknown", "x")] + [("e", "trapped", "True")]).withColumn("part", F.lit("p")).withColumn("locator", F.col("original_value"))
+    out = metadata.apply_replacements(occ, metadata.plan_replacements(occ, metadata.aliases(occ, b"s", 1_700_000_000))).collect()
+    assert {(r["doc_id"], r["error_code"]) for r in out} == {("d", "PLAN_EXPIRED"), ("e", None)}
