@@ -81,13 +81,13 @@ def budgets(totals: DataFrame, exponent: float, budget: float | None = None) ->
 def block_plan(blocks: DataFrame, quotas: DataFrame, seed: int = 0) -> DataFrame:
     """source, block, epoch, mix_order: which blocks are read, and where in the mixture (0..1).
 
-    `blocks(source, block, tokens)`. Within an epoch blocks come in the order of a seeded hash; the
-    last epoch ends where its quota does, to half a block.
+    `blocks(source, block, tokens)`. Within an epoch the blocks of a source come in the order of a seeded
+    hash of source, block and epoch, so each source has its own order; the last epoch ends where its quota does, to half a block.
     """
     q = quotas.select(F.col("source").alias("of"), "quota", "epochs", F.col("tokens").alias("total"))
     b = blocks.join(q, F.col("source").eqNullSafe(F.col("of")))
     b = b.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1))))
-    order = F.xxhash64("block", "epoch", F.lit(seed))
+    order = F.xxhash64("source", "block", "epoch", F.lit(seed))
     w = Window.partitionBy("source", "epoch").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("epoch") * F.col("total") + F.coalesce(F.sum("tokens").over(w), F.lit(0)) + F.col("tokens") / 2
     return b.withColumn("at", at).filter((F.col("at") <= F.col("quota") * (1 + 1e-9)) | (F.col("tokens") == 0) & (F.col("epoch") == 0)).select("source", "block", "epoch", (F.col("at") / F.col("quota")).alias("mix_order"))
@@ -114,7 +114,8 @@ def _placed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mixture: all columns of `docs` plus n_tokens, epoch, block, mix_order, which win over columns of these names.
 
-    Sorting by mix_order reads the sources in their target proportions throughout. Without a
+    Sorting by mix_order reads the sources in their target proportions throughout. The rows of a block share its place, as may
+    blocks of several sources; sort by mix_order, source, block, epoch and the id for one defined order. Without a
     `budget` every row is read at least once. Rows of sources without any word are read once
     (epoch 0, mix_order 0). Null sources mix as one source; rows with equal or null ids share a block.
     Options: id_col, source_col, text_col, max_repeats, target_entropy, budget, blocks, seed.

@@ -48,6 +48,19 @@ def test_mixture(spark, sf):
     assert all(abs(r["n_tokens"] - texts[r["doc_id"]]) <= 5 for r in rows)
 
 
+def test_every_source_and_epoch_has_its_own_order_of_blocks(spark):
+    sources = ["a", "b", None]
+    blocks = spark.createDataFrame([(s, b, 10) for s in sources for b in range(32)], "source string, block int, tokens long")
+    quotas = spark.createDataFrame([(s, 320, 640.0, 2.0) for s in sources], "source string, tokens long, quota double, epochs double")
+    orders = defaultdict(list)
+    for r in sorted(mixing.block_plan(blocks, quotas).collect(), key=lambda r: r["mix_order"]):
+        orders[r["source"], r["epoch"]].append(r["block"])
+    assert len(orders) == 6 and all(sorted(o) == list(range(32)) for o in orders.values())
+    assert len({tuple(o) for o in orders.values()}) == 6
+    again = mixing.block_plan(blocks.repartition(5), quotas).collect()
+    assert {(r["source"], r["block"], r["epoch"], r["mix_order"]) for r in again} == {(r["source"], r["block"], r["epoch"], r["mix_order"]) for r in mixing.block_plan(blocks, quotas).collect()}
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, "x y", None), (2, "", "a"), (2, "z", "b"), (2, "z", "b")], "doc_id long, text string, source string").withColumnRenamed("none", "epoch")
     assert mixing.mix(df).count() >= 5
