@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.staging import stage
@@ -321,3 +323,56 @@ def office_packages(docs: DataFrame, output: bool = False) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["k"].astype(str), "content": [package(int(k), s or "", x or "", t) for k, s, x, t in zip(b["k"], b["source"], b["lang"], b["text"], strict=True)]})
 
     return docs.select("k", "source", "lang", "text").mapInPandas(run, "doc_id string, content binary")
+
+
+# files: texts under names with and without a known extension, with and without its first bytes; same ids are told apart by number
+CORPORA["loose_files"] = """
+SELECT CAST(k AS STRING) || '-' || CAST(n AS STRING) || CASE k % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.docx' WHEN 3 THEN '.pdf' WHEN 4 THEN '.txt' WHEN 5 THEN '.PDF' ELSE '' END AS name,
+  CASE WHEN k % 7 IN (0, 5) THEN '%PDF-1.7 ' WHEN k % 7 = 1 THEN 'PK' ELSE '' END || coalesce(text, '') AS body
+FROM (SELECT abs(coalesce(doc_id, 0)) AS k, text, row_number() OVER (PARTITION BY abs(coalesce(doc_id, 0)) ORDER BY text, source) AS n FROM {documents})"""
+
+
+def damaged(packages: DataFrame) -> DataFrame:
+    """`packages(doc_id, content)`, some of them cut in half or with a wrong byte in their last entry, by remainders of the id."""
+
+    def spoil(k: int, content: bytes) -> bytes:
+        if k % 11 == 3:
+            return content[: len(content) // 2]
+        if k % 11 == 5:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                e = z.infolist()[-1]
+            at = e.header_offset + 30 + len(e.filename)
+            return content[:at] + bytes([content[at] ^ 255]) + content[at + 1 :]
+        return content
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "content": [spoil(int(k), c) for k, c in zip(b["doc_id"], b["content"], strict=True)]})
+
+    return packages.mapInPandas(run, "doc_id string, content binary")
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write each row of `rows(name, content)` as a file below `folder`; returns their number.
+
+    A file appears under its name when it is whole, so tasks that are run again leave no torn file. Names start with
+    the first two digits of their hash, as folders of a bounded number of files.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                place = f"{root}/files/{uuid.uuid5(uuid.NAMESPACE_OID, name).hex[:2]}"
+                if place not in made:
+                    system.create_dir(place, recursive=True)
+                    system.create_dir(f"{root}/unfinished", recursive=True)
+                    made.add(place)
+                new = f"{root}/unfinished/{uuid.uuid4().hex}"
+                with system.open_output_stream(new) as f:
+                    f.write(bytes(content))
+                system.move(new, f"{place}/{name}")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return rows.select("name", "content").mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0

@@ -12,8 +12,8 @@ from ..functions.staging import stage, stage_dir
 from ..functions.text import display_value, escape_html, normalize_text
 from ..functions.vocab import COMPARED, FACT_LABELS, FORM_FIELDS, PLACEHOLDER, TRANSITIONS
 from ..operators import chunks, facts, fillplan, grounding, metadata, nodes, package, quality, reports, review, tasks, templates
-from ..sources import files, packages
-from .corpora import Inputs, docx_packages, office_packages, with_corpora
+from ..sources import archives, files, packages
+from .corpora import Inputs, damaged, docx_packages, office_packages, with_corpora, write_files
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -799,6 +799,38 @@ def _(i):
     return files.file_snapshots(i.spark, f"{i.sf_dir}/documents.parquet")
 
 
+def file_folder(i: Inputs, rows: DataFrame) -> str:
+    """Folder of the shared directory with a file for each row of `rows(name, content)`."""
+    folder = f"{stage_dir(i.spark)}/files-{uuid.uuid4().hex}"
+    write_files(rows, folder)
+    return f"{folder}/files"
+
+
+@query(
+    "src1_document_files",
+    """SELECT name AS display_name, document_type, CAST(size AS BIGINT) AS size, CASE WHEN size <= 20000 THEN sha256(body) END AS sha256, CASE WHEN size > 20000 THEN 'FILE_TOO_LARGE' WHEN document_type IS NULL THEN 'UNSUPPORTED_TYPE'
+      WHEN NOT starts_with(body, CASE document_type WHEN 'pdf' THEN '%PDF-' ELSE 'PK' END) THEN 'INVALID_DOCUMENT' END AS error_code
+      FROM (SELECT name, body, strlen(body) AS size, CASE WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN name LIKE '%.docx' THEN 'docx' END AS document_type FROM {loose_files})""",
+)
+def _(i):
+    folder = file_folder(i, i("loose_files").select("name", F.col("body").cast("binary").alias("content")))
+    return archives.digest_files(i.spark, folder, max_file=20_000).drop("path", "mtime_ms")
+
+
+@query(
+    "src2_archive_parts",
+    """SELECT doc_id, ord, name, CASE ord WHEN 0 THEN 8 WHEN 1 THEN strlen(coalesce(source, '')) + 87 END AS size, CASE WHEN ord = 2 THEN true ELSE false END AS filled, NULL AS error_code
+      FROM {doc_xml}, (VALUES (0, '[Content_Types].xml'), (1, 'docProps/core.xml'), (2, 'word/document.xml')) AS p(ord, name) WHERE CAST(doc_id AS BIGINT) % 11 NOT IN (3, 5)
+      UNION ALL SELECT doc_id, NULL, NULL, NULL, false, 'INVALID_DOCUMENT' FROM {doc_xml} WHERE CAST(doc_id AS BIGINT) % 11 IN (3, 5)""",
+)
+def _(i):
+    made = damaged(docx_packages(i("doc_xml")))
+    folder = file_folder(i, made.select(F.concat("doc_id", F.lit(".docx")).alias("name"), "content"))
+    p = archives.archive_parts(i.spark, folder)
+    filled = F.coalesce((F.col("ord") == 2) & (F.length("contents") == F.col("size")), F.lit(False))
+    return p.select(F.regexp_extract("doc_id", "([^/]+)\\.docx\\z", 1).alias("doc_id"), "ord", "name", F.when(F.col("ord") < 2, F.col("size")).alias("size"), filled.alias("filled"), "error_code")
+
+
 @query(
     "src2_docx_parts",
     """SELECT doc_id, ord, name, CASE ord WHEN 0 THEN 8 WHEN 1 THEN strlen(coalesce(source, '')) + 87 END AS size FROM {doc_xml}, (VALUES (0, '[Content_Types].xml'), (1, 'docProps/core.xml'), (2, 'word/document.xml')) AS p(ord, name)""",

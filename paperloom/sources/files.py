@@ -28,19 +28,24 @@ _TRIM = re.compile("^[\\s﻿]+|[\\s﻿]+$")
 def file_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: name, type, size, sha256, time; error_code by extension, magic bytes or size (SRC1).
 
-    The size is tested on the listing, before any content is read.
+    The size is tested on the listing, before any content is read. Spark's reader gives no rows for empty files, and
+    content passes as one cell: `archives.digest_files` does neither.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    ext = F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)\\z", 1))
-    kind = F.when(ext.isin("docx", "pdf"), ext)
     read = lambda d: d.withColumn("head", F.substring("content", 1, 5)).withColumn("sha256", F.sha2("content", 256)).drop("content")
     small = read(f.filter(F.col("length") <= MAX_FILE))
     large = f.filter(F.col("length") > MAX_FILE).drop("content").withColumn("head", F.lit(None).cast("binary")).withColumn("sha256", F.lit(None).cast("string"))
-    d = small.unionByName(large)
+    return judged_files(small.unionByName(large).withColumn("mtime_ms", F.unix_millis("modificationTime").cast("double")), MAX_FILE)
+
+
+def judged_files(d: DataFrame, max_file: int) -> DataFrame:
+    """Snapshot rows of `d(path, length, mtime_ms, head, sha256)`, `head` being the first five bytes."""
+    name = F.element_at(F.split("path", "/"), -1)
+    ext = F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)\\z", 1))
+    kind = F.when(ext.isin("docx", "pdf"), ext)
     magic = F.when(kind == "pdf", F.hex("head") == "255044462D").when(kind == "docx", F.hex("head").startswith("504B"))
-    code = F.when(F.col("length") > MAX_FILE, "FILE_TOO_LARGE").when(kind.isNull(), "UNSUPPORTED_TYPE").when(~F.coalesce(magic, F.lit(False)), "INVALID_DOCUMENT")
-    return d.select("path", name.alias("display_name"), kind.alias("document_type"), F.col("length").alias("size"), "sha256", (F.unix_millis("modificationTime")).cast("double").alias("mtime_ms"), code.alias("error_code"))
+    code = F.when(F.col("length") > max_file, "FILE_TOO_LARGE").when(kind.isNull(), "UNSUPPORTED_TYPE").when(~F.coalesce(magic, F.lit(False)), "INVALID_DOCUMENT")
+    return d.select("path", name.alias("display_name"), kind.alias("document_type"), F.col("length").alias("size"), "sha256", "mtime_ms", code.alias("error_code"))
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
