@@ -2,20 +2,19 @@
 
 Documents with equal texts are linked. Documents start in shards by hash; in every round
 each group agrees on the shard that holds most of it, and documents move there as far as quotas
-between each two shards allow. All documents of one group in one shard are alike, so a round
-works on counts per (group, shard): a group of any size is eight rows. At the end surplus rows,
-unlinked ones first, move so that the counts are at most one apart.
+between each two shards allow: whole groups in a fixed order, those with the most documents at their goal first
+(each move there joins the most links), and of the one that crosses the quota as many as are left. All documents of one group in one shard are alike, so a round works on counts per
+(group, shard): a group of any size is eight rows. A move never goes to a smaller cell, so the sum of the
+squared counts grows with each round, and rounds end when no move is left. At the end surplus
+rows, unlinked ones first, move so that the counts are at most one apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, join_spread, stage
-
-#: Cells of at least so many documents are split between staying and moving; smaller ones move whole or stay.
-SPLIT = 64
+from .common import BUCKET_ROWS, gapless_rank, join_spread, stage
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,10 +42,41 @@ def quotas(wish: dict[tuple[int, int], int], load: list[int], cap: int) -> dict[
     return share
 
 
-def propagate(cells: DataFrame, singles: list[int], shards: int, *, rounds: int = 6, slack: float = 0.1) -> DataFrame:
-    """Rounds of moves over `cells(link, shard, n)`; `singles` are the unlinked rows per shard, which stay."""
-    spark = cells.sparkSession
-    for step in range(rounds):
+def whole_quotas(wish: dict[tuple[int, int], int], load: list[int], cap: int) -> dict[tuple[int, int], int]:
+    """`quotas` as rows: what the flows into a shard lose by rounding down goes to those that lose the most."""
+    share = quotas(wish, load, cap)
+    exact = {k: share[k] * n for k, n in wish.items()}
+    out = {k: int(x + 1e-9) for k, x in exact.items()}
+    for t in range(len(load)):
+        into = sorted((k for k in wish if k[1] == t), key=lambda k: (out[k] - exact[k], k))
+        spare = int(sum(exact[k] for k in into) + 1e-6) - sum(out[k] for k in into)
+        for k in into[: max(0, spare)]:
+            out[k] += out[k] < wish[k]
+    return out
+
+
+def moves_within(moving: DataFrame, quota: dict[tuple[int, int], int], n_cells: int) -> DataFrame:
+    """link, shard, to, m > 0: what of `moving(link, shard, to, n, gain)` moves, at most `quota` rows from each shard to each other.
+
+    The cells of a flow come by falling gain, then by hashes of links; their running sum is taken within parts of
+    both and over the parts, of which there are more the more cells there are.
+    """
+    buckets = max(64, -(-n_cells // BUCKET_ROWS))
+    b = moving.withColumn("bucket", F.pmod(F.xxhash64("link"), F.lit(buckets)))
+    flow = ["shard", "to"]
+    earlier = Window.unboundedPreceding, -1
+    part = ["gain", "bucket"]
+    sums = b.groupBy(*flow, *part).agg(F.sum("n").alias("s"))
+    sums = sums.select(*flow, *part, F.coalesce(F.sum("s").over(Window.partitionBy(*flow).orderBy(F.desc("gain"), "bucket").rowsBetween(*earlier)), F.lit(0)).alias("before"))
+    local = F.coalesce(F.sum("n").over(Window.partitionBy(*flow, *part).orderBy("link").rowsBetween(*earlier)), F.lit(0))
+    limits = F.broadcast(moving.sparkSession.createDataFrame([(*k, q) for k, q in quota.items()], "shard int, to int, quota long"))  # shards squared at most
+    m = F.least("n", F.col("quota") - F.col("before") - F.col("local"))
+    return b.withColumn("local", local).join(sums, [*flow, *part]).join(limits, flow).select("link", "shard", "to", m.alias("m")).filter("m > 0")
+
+
+def propagate(cells: DataFrame, singles: list[int], shards: int, *, slack: float = 0.1) -> DataFrame:
+    """Rounds of moves over `cells(link, shard, n)` until none is left; `singles` are the unlinked rows per shard, which stay."""
+    while True:
         load = list(singles)
         for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row per shard
             load[r["shard"]] += r["n"]
@@ -55,22 +85,18 @@ def propagate(cells: DataFrame, singles: list[int], shards: int, *, rounds: int
         open_shards = [s for s in range(shards) if load[s] * 100 < cap * 99]
         rank = F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard")
         goal = cells.filter(F.col("shard").isin(open_shards)).groupBy("link").agg(F.max(rank).alias("best"))
-        moving = cells.join(goal, "link").filter(rank < F.col("best")).withColumn("to", F.col("best.shard")).drop("best")
-        wish = {(r["shard"], r["to"]): r["n"] for r in moving.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}  # shards squared at most
-        if not wish:
-            break
-        share = quotas(wish, load, cap)
-        rows = [(a, b, float(s)) for (a, b), s in share.items()]
-        allowed = F.broadcast(spark.createDataFrame(rows, "shard int, to int, share double"))
-        chance = F.pmod(F.xxhash64("link", "shard", F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
-        part = F.when(F.col("n") >= SPLIT, F.floor(F.col("n") * F.col("share"))).when(chance < F.col("share"), F.col("n")).otherwise(0).cast("long")
-        moved = stage(moving.join(allowed, ["shard", "to"]).withColumn("m", part).filter("m > 0").select("link", "shard", "to", "m"), "moves")
-        delta = moved.select("link", "shard", (-F.col("m")).alias("n")).union(moved.select("link", F.col("to"), F.col("m")))
+        moving = stage(cells.join(goal, "link").filter(rank < F.col("best")).select("link", "shard", F.col("best.shard").alias("to"), "n", F.length(F.bin("best.n")).alias("gain")), "moving")
+        wish, n_cells = {}, 0
+        for r in moving.groupBy("shard", "to").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).collect():  # shards squared at most
+            wish[r["shard"], r["to"]] = r["n"]
+            n_cells += r["cells"]
+        quota = whole_quotas(wish, load, cap)
+        if not any(quota.values()):
+            return cells
+        moved = moves_within(moving, quota, n_cells)
+        delta = moved.select("link", "shard", (-F.col("m")).alias("n"), F.col("to"), F.col("m"))
+        delta = delta.select("link", F.explode(F.array(F.struct("shard", "n"), F.struct(F.col("to").alias("shard"), F.col("m").alias("n")))).alias("c")).select("link", "c.shard", "c.n")
         cells = stage(cells.select("link", "shard", "n").union(delta).groupBy("link", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
-        count = moved.agg(F.sum("m")).first()[0] or 0
-        if count * 10_000 < sum(load):
-            break
-    return cells
 
 
 def transfers(load: list[int]) -> list[tuple[int, int, int, int]]:
@@ -95,7 +121,7 @@ def transfers(load: list[int]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, link, shard, slot for every row; counts per shard at most one apart.
 
     Null texts are linked with empty ones; null or repeated ids are rows like others. An empty table gives an empty result.
@@ -110,7 +136,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     for r in rows.filter("linked = 0").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per shard
         singles[r["shard"]] = r["n"]
     cells = stage(rows.filter("linked = 1").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n")), "cells")
-    cells = propagate(cells, singles, shards, rounds=rounds)
+    cells = propagate(cells, singles, shards)
     # hand the cells' counts out to documents: ranks within the group, in ranges
     ranges = cells.groupBy("link").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("c"), F.sum("n").alias("n"))  # at most `shards` entries
     ends = F.transform("c", lambda x, i: F.struct(F.aggregate(F.slice(F.col("c"), 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("end"), x["shard"].alias("shard")))

@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, sharding
 from paperloom.llm.queries import op5, op10
@@ -106,3 +108,94 @@ def test_shard_edges_and_hot_group(spark):
     assert sum(n for _, n in hot.most_common(4)) >= 280  # 400 rows need three shards of 138; by chance four hold 200
     assert sharding.shard_documents(df.limit(0)).count() == 0
     assert len(sharding.shard_documents(df.limit(3)).collect()) == 3
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _tie(link: bytes, shard: int) -> int:
+    return _signed(xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), xxhash.xxh64_intdigest(link, 42)))
+
+
+def _plain_propagation(cells: dict, singles: list[int], shards: int) -> dict:
+    """The rounds in plain Python: every group's goal, then the flows one cell after the other until the quota is used."""
+    cells = {k: dict(v) for k, v in cells.items()}
+    while True:
+        load = [singles[s] + sum(c.get(s, 0) for c in cells.values()) for s in range(shards)]
+        cap = int(sum(load) / shards * 1.1) + 8
+        flows = defaultdict(list)
+        for link, c in cells.items():
+            rank = {s: (n, _tie(link, s), s) for s, n in c.items()}
+            best = max((r for s, r in rank.items() if load[s] * 100 < cap * 99), default=None)
+            for s, n in c.items():
+                if best is not None and rank[s] < best:
+                    flows[s, best[2]].append((-best[0].bit_length(), _signed(xxhash.xxh64_intdigest(link, 42)) % 64, link, n))
+        wish = {k: sum(n for *_, n in v) for k, v in flows.items()}
+        quota = sharding.whole_quotas(wish, load, cap)
+        moved = 0
+        for (a, b), v in flows.items():
+            left = quota[a, b]
+            for *_, link, n in sorted(v):
+                m = min(n, left)
+                left -= m
+                moved += m
+                if m:
+                    c = cells[link]
+                    c[b] = c.get(b, 0) + m
+                    c[a] -= m
+                    if not c[a]:
+                        del c[a]
+        if not moved:
+            return cells
+
+
+@pytest.mark.parametrize("case", ["documents", "pairs", "hot", "few shards", "none"])
+def test_propagation_replayed(spark, sf, case):
+    shards = 3 if case == "few shards" else 8
+    singles = [0] * shards
+    if case == "documents":
+        base = sharding.measured(spark.read.parquet(f"{sf}/documents.parquet"))
+    else:
+        n = {"pairs": [2] * 600, "hot": [2000, 900, 63, 64, 65] + [3] * 200, "few shards": [40, 30, 20] + [2] * 50, "none": []}[case]
+        base = sharding.measured(spark.createDataFrame([(i, f"{g}") for g, k in enumerate(n) for i in range(k)], "doc_id long, text string").withColumn("doc_id", F.monotonically_increasing_id()))
+        singles = [5 * i for i in range(shards)]
+    cells = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")).groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n")).cache()
+    plain = defaultdict(dict)
+    for r in cells.collect():
+        plain[bytes(r["link"])][r["shard"]] = r["n"]
+    got = defaultdict(dict)
+    for r in sharding.propagate(cells, singles, shards).collect():
+        got[bytes(r["link"])][r["shard"]] = r["n"]
+    want = _plain_propagation(plain, singles, shards)
+    assert got == want and {k: sum(v.values()) for k, v in got.items()} == {k: sum(v.values()) for k, v in plain.items()}
+    if case == "pairs":  # nothing is left apart but what a quota split
+        assert sum(len(v) > 1 for v in got.values()) <= shards * shards
+
+
+def test_quotas_keep_every_shard_below_the_cap():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        k = int(rng.integers(2, 9))
+        load = rng.integers(0, 1000, k).tolist()
+        cap = int(sum(load) / k * 1.1) + 8
+        left = list(load)
+        wish = {}
+        for a in range(k):
+            for b in range(k):
+                if a != b and left[a]:
+                    wish[a, b] = int(rng.integers(0, left[a] + 1))
+                    left[a] -= wish[a, b]
+        share = sharding.quotas(wish, load, cap)
+        end = [load[t] + sum(share[x] * n * ((x[1] == t) - (x[0] == t)) for x, n in wish.items()) for t in range(k)]
+        whole = sharding.whole_quotas(wish, load, cap)
+        assert all(abs(q - share[x] * wish[x]) <= 1 and 0 <= q <= wish[x] for x, q in whole.items())
+        assert all(-1e-4 <= sum(share[x] * wish[x] - whole[x] for x in wish if x[1] == t) < 1 + 1e-3 for t in range(k))
+        assert all(0 <= v <= 1 for v in share.values()) and all(e <= max(cap, load[t]) * 1.02 + 1 for t, e in enumerate(end))
+
+
+def test_shards_of_very_long_texts(spark):
+    long = "x" * 3_000_000
+    got = sharding.shard_documents(spark.createDataFrame([(i, long if i % 3 else f"{long}{i}") for i in range(12)], "doc_id long, text string")).collect()
+    _even(got, 8)
+    assert {r["size"] for r in got} == {3_000_001, 3_000_002}
