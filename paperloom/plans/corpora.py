@@ -325,11 +325,12 @@ def office_packages(docs: DataFrame, output: bool = False) -> DataFrame:
     return docs.select("k", "source", "lang", "text").mapInPandas(run, "doc_id string, content binary")
 
 
-# files: texts under names with and without a known extension, with and without its first bytes; same ids are told apart by number
+# files: texts under names with and without a known extension, with and without its first bytes; the digest in the name
+# tells texts of one id apart, and repeated rows are one file
 CORPORA["loose_files"] = """
-SELECT CAST(k AS STRING) || '-' || CAST(n AS STRING) || CASE k % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.docx' WHEN 3 THEN '.pdf' WHEN 4 THEN '.txt' WHEN 5 THEN '.PDF' ELSE '' END AS name,
+SELECT coalesce(CAST(k AS STRING), '') || '-' || md5(coalesce(text, '')) || CASE k % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.docx' WHEN 3 THEN '.pdf' WHEN 4 THEN '.txt' WHEN 5 THEN '.PDF' ELSE '' END AS name,
   CASE WHEN k % 7 IN (0, 5) THEN '%PDF-1.7 ' WHEN k % 7 = 1 THEN 'PK' ELSE '' END || coalesce(text, '') AS body
-FROM (SELECT abs(coalesce(doc_id, 0)) AS k, text, row_number() OVER (PARTITION BY abs(coalesce(doc_id, 0)) ORDER BY text, source) AS n FROM {documents})"""
+FROM (SELECT doc_id AS k, text FROM {documents})"""
 
 
 def damaged(packages: DataFrame) -> DataFrame:

@@ -808,7 +808,7 @@ def file_folder(i: Inputs, rows: DataFrame) -> str:
 
 @query(
     "src1_document_files",
-    """SELECT name AS display_name, document_type, CAST(size AS BIGINT) AS size, CASE WHEN size <= 20000 THEN sha256(body) END AS sha256, CASE WHEN size > 20000 THEN 'FILE_TOO_LARGE' WHEN document_type IS NULL THEN 'UNSUPPORTED_TYPE'
+    """SELECT DISTINCT name AS display_name, document_type, CAST(size AS BIGINT) AS size, CASE WHEN size <= 20000 THEN sha256(body) END AS sha256, CASE WHEN size > 20000 THEN 'FILE_TOO_LARGE' WHEN document_type IS NULL THEN 'UNSUPPORTED_TYPE'
       WHEN NOT starts_with(body, CASE document_type WHEN 'pdf' THEN '%PDF-' ELSE 'PK' END) THEN 'INVALID_DOCUMENT' END AS error_code
       FROM (SELECT name, body, strlen(body) AS size, CASE WHEN lower(name) LIKE '%.pdf' THEN 'pdf' WHEN name LIKE '%.docx' THEN 'docx' END AS document_type FROM {loose_files})""",
 )
