@@ -120,12 +120,25 @@ def known_label(c: Column) -> Column:
     return js_trim(c).rlike("(?iu)^(?:" + any_field_pattern() + ")\\z")
 
 
-def form_slot(c: Column, field: str) -> Column:
+def form_slot(c: Column, field: str, trimmed: bool = False) -> Column:
     """Node is exactly a label of the field, or holds label：<empty slot> (FLT8)."""
-    text = js_trim(c)
+    text = c if trimmed else js_trim(c)
     return text.rlike("(?iu)^(?:" + field_pattern(field) + ")\\z") | text.rlike(_slot("?:" + field_pattern(field)))
 
 
+def form_slots(nodes: DataFrame, fields: list[str]) -> DataFrame:
+    """`nodes` with `field`: a row for each field of which the node is a slot (FLT8).
+
+    A slot is a label alone or has a colon, so most nodes are left out before the patterns of any field are tried.
+    """
+    label = any_field_pattern()
+    alone = F.col("text").rlike(f"(?iu)^{WS}*(?:{label}){WS}*\\z")
+    colon = (F.contains("text", F.lit(":")) | F.contains("text", F.lit("："))) & F.col("text").rlike("(?iu)" + label)
+    d = nodes.filter(colon | alone).withColumn("_t", js_trim(F.col("text")))
+    flags = F.array_compact(F.array(*[F.when(form_slot(F.col("_t"), f, trimmed=True), F.lit(f)) for f in fields]))
+    return d.withColumn("field", F.explode(flags)).drop("_t")
+
+
 def detected_slots(cands: DataFrame, nodes: DataFrame, most: int = 30) -> DataFrame:
     """Labels with an empty slot that no fixed field owns, per candidate in order: doc_id, candidate_id, label, n (T4)."""
     n = candidate_nodes(cands, nodes.filter("kind <> 'table'"))
