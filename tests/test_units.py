@@ -386,6 +386,33 @@ def test_missing_nodes_by_all_pairs(spark):
     assert got == {(p, i) for p, d in (("p", "B"), ("q", "C")) for i, t in enumerate(need) if not any(t[:18] in x for y, x in bids if y == d)}
 
 
+def test_missing_nodes_of_many_bids(spark, monkeypatch):
+    """The stream of a bid's rows finds what the index finds, stages nothing and shuffles no sampled windows."""
+    rng = np.random.default_rng(9)
+    text = lambda n, k: "".join(rng.choice(list("ab项目 ："[:k]), n))
+    nodes = [(f"B{rng.integers(0, 8)}", i, f"n{i}", text(rng.integers(0, 40), 2 + i % 5) if i % 9 else None) for i in range(90)]
+    need = [(f"T{i % 4}", i, f"r{i}", text(rng.integers(0, 9), 2 + i % 5) if i % 31 else None) for i in range(200)]
+    pairs = [(f"p{i}", f"T{i % 4}", f"B{i}" if i < 10 else None) for i in range(11)]
+    schema = "doc_id string, pos long, node_id string, text string"
+    run = lambda: review.missing_nodes(spark.createDataFrame(pairs, "pair_id string, tender_id string, bid_id string"), spark.createDataFrame(need, schema), spark.createDataFrame(nodes, schema), most=None)
+    few = sorted(map(tuple, run().collect()), key=repr)
+    monkeypatch.setattr(review, "FEW_BIDS", 0)
+    monkeypatch.setattr(review, "stage", None)
+    many = run()
+    assert sorted(map(tuple, many.collect()), key=repr) == few and 100 < len(few) < 550
+    norm = lambda t: normalize_value(t)[:18] if t is not None else None
+    held = lambda bid, k: k is not None and any(b == bid and (k == "" or (t is not None and k in normalize_value(t))) for b, _, _, t in nodes)
+    assert few == sorted(((p, i, r, x) for p, t, b in pairs for d, i, r, x in need if d == t and not held(b, norm(x))), key=repr)
+
+
+def test_facts_are_found_where_the_nodes_are(spark):
+    """One shuffle, by document, and no join of texts."""
+    d = facts.extract_facts(_nodes(spark, ["工期：30天", "工期：３１ 天；质量标准：Ａ（b）"]), counted=True)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert [(r["kind"], r["ord"], r["normalized"], r["of"]) for r in d.orderBy("kind", "ord").collect()] == [("duration", 0, "30天", 2), ("duration", 1, "31天", 2), ("quality", 0, "a(b)", 1)]
+
+
 def test_form_slots_by_each_field(spark):
     """The rows left out first are slots of no field, and few rows meet the fields' patterns."""
     texts = ["地址：____", "　地 址　", "地址", "x 地址: 填写", "x地址：____", "EMAIL", "e-mail ：<a>", "Tel", "规格：____", "a:b", "", None, "地址", "电话|手机：待填写", "标段 名称", "ſ"]
