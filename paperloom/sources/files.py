@@ -21,6 +21,8 @@ MAX_FILE = 200 << 20
 MAX_ENTRIES, MAX_TOTAL, MAX_ENTRY = 10_000, 1 << 30, 256 << 20
 #: Bytes of unpacked entries held at once, beside the largest one.
 BATCH = 16 << 20
+#: Entries handed on at once.
+BATCH_ROWS = 2_000
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _TRIM = re.compile("^[\\s﻿]+|[\\s﻿]+$")
 
@@ -79,19 +81,24 @@ def docx_parts(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield doc, i, e.filename, z.read(e) if readable(e) else None, e.is_dir(), e.compress_type, e.flag_bits, e.external_attr >> 16, e.file_size, e.compress_size, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0  # of many small packages or a piece of a large one
         for b in batches:
             for doc, content in zip(b["doc_id"], b["content"], strict=True):
-                rows, size = [], 0
+                own = len(rows)
                 try:
                     for row in entries(doc, bytes(content)):
                         rows.append(row)
                         size += len(row[3] or b"")
                         if size > BATCH:
                             yield pd.DataFrame(rows, columns=names, dtype=object)
-                            rows, size = [], 0
+                            rows, size, own = [], 0, 0
                 except Exception:  # noqa: BLE001  whatever is wrong with a file, it is that file's row
-                    rows = [(doc, None, None, None, None, None, None, None, None, None, "INVALID_DOCUMENT")]
-                yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows[own:] = [(doc, None, None, None, None, None, None, None, None, None, "INVALID_DOCUMENT")]
+                if len(rows) >= BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     out = packages.select("doc_id", "content").mapInPandas(run, f"{PARTS}, error_code string")
     return out.filter("error_code is null").drop("error_code"), out.filter("error_code is not null").select("doc_id", "error_code")
@@ -131,24 +138,30 @@ def _body(root: ET.Element) -> Iterator[tuple]:
 
 def docx_nodes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, styles): body nodes, then headers and footers, each with its style id and own outline; and
-    the style table that `outline_levels` joins (SRC3). One group per document: its XML parts."""
+    the style table that `outline_levels` joins (SRC3). A document's XML parts pass one by one, the body first."""
     xml = parts.filter(F.col("name").rlike("^word/(document\\.xml|styles\\.xml|header[^/]*|footer[^/]*)\\z"))
     cols = ["doc_id", "pos", "node_id", "kind", "text", "style_id", "outline"]
 
-    def nodes(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for name, contents in sorted(zip(f["name"], f["contents"], strict=True), key=lambda x: (x[0] != "word/document.xml", f["ord"][f["name"] == x[0]].iloc[0])):
-            try:
-                root = ET.fromstring(bytes(contents))
-            except (ET.ParseError, TypeError):
-                continue
-            if name == "word/document.xml":
-                rows += list(_body(root))
-            elif not name.endswith("styles.xml"):
-                kind = "header" if name.startswith("word/header") else "footer"
-                if _text(root):
-                    rows.append((f"{kind}-{len(rows)}", kind, _text(root), None, None))
-        return pd.DataFrame([(key[0], i, *r) for i, r in enumerate(rows)], columns=cols)
+    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, count = None, 0
+        for b in batches:
+            rows: list[tuple] = []
+            for d, name, contents in zip(b["doc_id"], b["name"], b["contents"], strict=True):
+                if d != doc:
+                    doc, count = d, 0
+                try:
+                    root = ET.fromstring(bytes(contents))
+                except (ET.ParseError, TypeError):
+                    continue
+                found: list[tuple] = []
+                if name == "word/document.xml":
+                    found = list(_body(root))
+                elif text := _text(root):
+                    kind = "header" if name.startswith("word/header") else "footer"
+                    found = [(f"{kind}-{count}", kind, text, None, None)]
+                rows += [(d, count + i, *r) for i, r in enumerate(found)]
+                count += len(found)
+            yield pd.DataFrame(rows, columns=cols, dtype=object)
 
     def styles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -165,7 +178,9 @@ def docx_nodes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
                         rows.append((doc, s.get(W + "styleId"), name, int(outline) if outline and outline.isdigit() else None))
             yield pd.DataFrame(rows, columns=["doc_id", "style_id", "name", "outline"], dtype=object)
 
-    n = xml.select("doc_id", "ord", "name", "contents").groupBy("doc_id").applyInPandas(nodes, "doc_id string, pos long, node_id string, kind string, text string, style_id string, outline int")
+    body = xml.filter("name <> 'word/styles.xml'").withColumn("_later", F.col("name") != "word/document.xml")
+    body = body.repartition("doc_id").sortWithinPartitions("doc_id", "_later", "ord").select("doc_id", "name", "contents")
+    n = body.mapInPandas(nodes, "doc_id string, pos long, node_id string, kind string, text string, style_id string, outline int")
     s = xml.filter("name = 'word/styles.xml'").select("doc_id", "contents").mapInPandas(styles, "doc_id string, style_id string, name string, outline int")
     return n, s
 

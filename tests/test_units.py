@@ -309,6 +309,21 @@ def test_docx(spark, tmp_path):
     assert package.package_kind(parts).first()["error_code"] is None
 
 
+def test_docx_parts_of_many_packages_together(spark):
+    """Small packages share a batch, a broken one takes none of the others' rows with it, and no group is made for a document."""
+    good, bad = _docx(), _docx()[:-30]
+    df = spark.createDataFrame([(f"d{i:03}", good if i % 5 else bad) for i in range(300)], "doc_id string, content binary").coalesce(1)
+
+    parts, rejects = files.docx_parts(df)
+    n = len(zipfile.ZipFile(io.BytesIO(good)).namelist())
+    assert {r["doc_id"]: r["count"] for r in parts.groupBy("doc_id").count().collect()} == {f"d{i:03}": n for i in range(300) if i % 5}
+    assert sorted(r["doc_id"] for r in rejects.collect()) == [f"d{i:03}" for i in range(0, 300, 5)]
+    nodes = files.docx_nodes(parts)[0]
+    assert "FlatMapGroups" not in nodes._jdf.queryExecution().executedPlan().toString()
+    pos = {r["doc_id"]: sorted(r["p"]) for r in nodes.groupBy("doc_id").agg(F.collect_list("pos").alias("p")).collect()}
+    assert len(pos) == 240 and all(p == list(range(6)) for p in pos.values())
+
+
 def test_unsafe_parts_and_kind(spark):
     rows = [("a", n, f, m, s, c) for n, f, m, s, c in [("ok.xml", 0, 0o100644, 10, 10), ("../x", 0, 0, 1, 1), ("/abs", 0, 0, 1, 1), ("C:x", 0, 0, 1, 1), ("a\\b", 0, 0, 1, 1), ("enc", 1, 0, 1, 1), ("ln", 0, 0o120777, 1, 1), ("big", 0, 0, 300 << 20, 300 << 20), ("bomb", 0, 0, 1000, 1)]]
     df = spark.createDataFrame(rows, "doc_id string, name string, flags int, mode int, size long, compressed_size long")
