@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import keyed
-from paperloom.functions.text import js_trim, label_pattern, normalize_text, normalize_value
+from paperloom.functions.text import JS_WHITE, js_trim, label_pattern, normalize_text, normalize_value
 from paperloom.plans.queries import queries
 from paperloom.operators import chunks, facts, fillplan, grounding, metadata, nodes, package, quality, review, templates
 from paperloom.functions.vocab import WS
@@ -247,6 +247,61 @@ def test_parse_ai(spark):
     assert [(r["key"], r["label"]) for r in fields.filter("doc_id = 'b'").collect()] == [("a", "q")]
 
 
+def test_ground_ai(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    pieces = [("d", 0, 0, "n0", "资格要求 承诺"), ("d", 1, 0, "n1", "b c"), ("d", 1, 1, "n2", None), (None, 0, 0, "n3", "b c")]
+    c = spark.createDataFrame(pieces, "doc_id string, chunk_index int, piece_ord int, node_id string, text string")
+    rows = [
+        ("right", "d", 0, "n0", sha("资格要求 承诺"), "\u3000\ufeff 承诺\n\x0b"),
+        ("both", "d", 0, "n0", sha("资格要求 承诺"), "资格要求"),
+        ("both", "d", 1, "n1", sha("b c"), "b"),
+        ("one wrong", "d", 0, "n0", sha("资格要求 承诺"), "资格要求"),
+        ("one wrong", "d", 1, "n1", sha("b c"), "x"),
+        ("other chunk", "d", 0, "n1", sha("b c"), "b"),
+        ("other document", "e", 1, "n1", sha("b c"), "b"),
+        ("no such node", "d", 1, "n9", sha("b c"), "b"),
+        ("digest", "d", 1, "n1", sha("b"), "b"),
+        ("no digest", "d", 1, "n1", None, "b"),
+        ("blank", "d", 1, "n1", sha("b c"), "\u2003 "),
+        ("no excerpt", "d", 1, "n1", sha("b c"), None),
+        ("no text", "d", 1, "n2", None, "b"),
+        ("no document", None, 0, "n3", sha("b c"), "b"),
+        ("no chunk", "d", None, "n1", sha("b c"), "b"),
+        (None, "d", 1, "n1", sha("b c"), "b"),
+    ]
+    e = spark.createDataFrame(rows, "finding_id string, doc_id string, chunk_index int, node_id string, digest string, excerpt string")
+    asked = spark.createDataFrame([("both",), ("blank",), ("without evidence",)], "finding_id string")
+    got = lambda *a: sorted(r["finding_id"] for r in grounding.ground_ai(*a).collect())
+    assert got(None, e, None, c) == got(None, e, c, c) == ["both", "right"]
+    assert got(asked, e, None, c) == got(asked, e, c, c) == ["both"]
+    # a node cut in two: sent is less than stored in one chunk, and both pieces with a line break in the other
+    n = spark.createDataFrame([("d", "n0", "one two")], "doc_id string, node_id string, text string")
+    c = spark.createDataFrame([("d", 0, 0, "n0", "one "), ("d", 1, 0, "n0", "t"), ("d", 1, 1, "n0", "wo")], c.schema)
+    e = spark.createDataFrame([(x, "d", k, "n0", sha("one two"), x) for k, x in [(0, "one"), (0, "one two"), (1, "t"), (1, "two"), (1, "wo")]], e.schema)
+    assert got(None, e, n, c) == ["one", "t", "wo"]
+
+
+def test_js_white(spark):
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(f"{c}a{c}b{c}{c}",) for c in chars] + [("",), (" \u3000",), (None,)], "t string")
+    assert df.filter(~F.btrim("t", F.lit(JS_WHITE)).eqNullSafe(js_trim(F.col("t")))).count() == 0
+
+
+def test_ground_ai_shuffles(spark, sf):
+    """Lines, evidence, nodes and findings are shuffled once each, and lines are read once."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ["-1", "false"], strict=True):
+            spark.conf.set(n, v)
+        plan = queries()["jn3_ground_ai"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    assert len(re.findall("- Exchange hashpartitioning", plan)) == 4 and plan.count("ReusedExchange") == 1
+    assert plan.count("lineitem.parquet") == 1 and "collect_list" not in plan
+
+
 def test_fixed_targets(spark):
     n = _nodes(spark, ["工期：30天", "工期：____", "工期：60天", "工期：待填写", "工期：____"])
     c = spark.createDataFrame([("d", "c", 0, 9)], "doc_id string, candidate_id string, start_pos long, end_pos long")
