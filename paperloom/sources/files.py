@@ -105,7 +105,7 @@ def docx_parts(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _text(e: ET.Element) -> str:
-    return _TRIM.sub("", "".join(t.text or "" for t in e.iter(W + "t")))[:10_000]
+    return _TRIM.sub("", "".join(t.text or "" for t in e.iter(W + "t")))
 
 
 def _paragraph(p: ET.Element, n: int) -> tuple:
