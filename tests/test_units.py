@@ -407,6 +407,16 @@ def test_outline_levels(spark):
     assert sorted((str(r["style_id"]), r["level"] or 0) for r in nodes.outline_levels(n, s).collect()) == [("Heading4", 4), ("None", 0), ("s1", 2), ("s1", 4), ("s2", 1), ("s3", 5), ("x", 0)]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["ag3_finding_counts"])
+def test_pairs_are_not_broadcast(spark, sf, name):
+    """Staged pairs in a small file may be many rows: their join does not rest on the size of the file."""
+    assert "BroadcastExchange" not in _plan(queries()[name](spark, sf))
+
+
 def test_finding_limits(spark):
     pairs = spark.createDataFrame([("p", "t", "b", "甲 公司")], "pair_id string, tender_id string, bid_id string, bidder_name string")
     n = _nodes(spark, [f"投标人：公司{i}" for i in range(15)], "b").unionByName(_nodes(spark, ["投标人：甲公司", "资格要求"], "t"))
