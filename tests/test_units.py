@@ -411,7 +411,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["ag3_finding_counts", "t3_finding_rows", "flt16_filter_findings", "jn2_missing_response"])
+@pytest.mark.parametrize("name", ["ag3_finding_counts", "t3_finding_rows", "flt16_filter_findings", "jn2_missing_response", "tk2_per_key_limits"])
 def test_pairs_are_not_broadcast(spark, sf, name):
     """Staged pairs in a small file may be many rows: their join does not rest on the size of the file."""
     assert "BroadcastExchange" not in _plan(queries()[name](spark, sf))
