@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import keyed
+from paperloom.functions.staging import stage
 from paperloom.functions.text import JS_WHITE, js_trim, label_pattern, normalize_text, normalize_value
 from paperloom.plans.queries import queries
 from paperloom.operators import chunks, facts, fillplan, grounding, metadata, nodes, package, quality, review, templates
@@ -417,6 +418,31 @@ def test_pairs_are_not_broadcast(spark, sf, name):
     assert "BroadcastExchange" not in _plan(queries()[name](spark, sf))
 
 
+def _mismatch_inputs(spark):
+    """Pairs and facts in files of a few kB: more than one bid of a tender, a kind on one side only, several facts of a kind."""
+    rows = []
+    for d in range(40):
+        tender = [f"工期：{d}天", "工期：1天", "质量标准：合格"]
+        bid = [f"工期：{d + (d % 4 == 0)}天", "质量标准：合 格" if d % 3 else "质量标准：不合格", "标段名称：A"]
+        rows += [(f"{side}{d}", i, f"{side}{i}", "paragraph", t) for side, texts in (("t", tender), ("b", bid)) for i, t in enumerate(texts)]
+    n = spark.createDataFrame(rows, "doc_id string, pos long, node_id string, kind string, text string")
+    pairs = [(f"p{d}", f"t{d}", f"b{d}", "x") for d in range(40)] + [("again", "t0", "b1", "x"), ("none", None, "b1", "x"), ("gone", "t1", "b99", "x")]
+    return stage(spark.createDataFrame(pairs, "pair_id string, tender_id string, bid_id string, bidder_name string"), "pairs"), stage(n, "nodes")
+
+
+def test_mismatch_reads_one_exchange(spark):
+    """No side is broadcast, and facts that were not staged are worked out and dealt by document once for both sides."""
+    pairs, n = _mismatch_inputs(spark)
+    d = review.fixed_mismatch(pairs, facts.extract_facts(n))
+    assert "BroadcastExchange" not in _plan(d)
+    got = sorted((r["pair_id"], r["summary"]) for r in d.collect())
+    line = lambda label, t, b: f"{label}不一致：招标文件为“{t}”，投标文件为“{b}”。"
+    want = [(f"p{d}", line("工期/服务期/交货期", f"{d}天", f"{d + 1}天")) for d in range(0, 40, 4)] + [(f"p{d}", line("质量标准", "合格", "不合格")) for d in range(0, 40, 3)] + [("again", line("工期/服务期/交货期", "0天", "1天"))]
+    assert [p for p, _ in got] == [p for p, _ in sorted(want)] and {s for _, s in got} == {s for _, s in want}
+    final = _plan(d)
+    assert final.split("Initial Plan")[0].count("MapInArrow") == 1 and "ReusedExchange" in final
+
+
 def test_finding_limits(spark):
     pairs = spark.createDataFrame([("p", "t", "b", "甲 公司")], "pair_id string, tender_id string, bid_id string, bidder_name string")
     n = _nodes(spark, [f"投标人：公司{i}" for i in range(15)], "b").unionByName(_nodes(spark, ["投标人：甲公司", "资格要求"], "t"))
